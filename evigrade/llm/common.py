@@ -14,9 +14,21 @@ def id_and_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """df, with Arrow batches sized for whole texts: Spark's 10,000 rows a batch are for narrow rows.
+
+    Both settings are the session's; one that the session was given itself stays.
+    """
+    conf = df.sparkSession.conf
+    for key, usual, own in (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1500"), ("spark.sql.execution.arrow.maxBytesPerBatch", None, str(16 << 20))):
+        if conf.get(key, None) in (usual, None, "-1", str(2**31 - 1), str(2**63 - 1)):
+            conf.set(key, own)
+    return df
+
+
 def id_and_bytes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """As id_and_text, with the text as UTF-8 bytes for Arrow: nothing is decoded on the way."""
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"))
+    return bounded_batches(df).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"))
 
 
 def crc_mod(id_col: str | Column, n: int) -> Column:

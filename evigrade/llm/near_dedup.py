@@ -7,8 +7,10 @@ while unrelated texts share one at most. The inverted index has 32 postings a te
 at a similarity of 0.8 about nineteen texts of twenty meet in one of them, at 0.9 nearly all. Pairs that meet have their
 shared positional bytes tallied, pairs below ``LEAST_BYTES`` go, and the rest are verified exactly on their shingles.
 
-A posting longer than ``max_posting`` isn't paired: its members are compared with a leader, those that the leader doesn't
-take with the next leader, until what is left is short enough to be paired. Each comparison is verified like any other.
+A posting longer than ``max_posting`` isn't paired, as its pairs grow with the square of a group of copies. Each of its
+members is compared with ``LEADERS`` leaders instead, chosen by hashes of the member alone, so that a group that fills
+many postings has few leaders. Every comparison is verified like any other. Two texts that meet in long postings only, and
+of which no leader is similar to both, aren't linked: that can leave a near copy in, and never takes a clean text out.
 
 Defined results: texts with equal sequences of lower-cased words are one node, so copies cost nothing; null and wordless
 texts are one node together; a null id is a row like any other; an empty table gives no rows.
@@ -33,6 +35,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 BYTES, LEAST_BYTES = 64, 12
 #: Triples of positions that key the postings: 21 of neighbours, and 11 across.
 TRIPLES = tuple((3 * j, 3 * j + 1, 3 * j + 2) for j in range(21)) + tuple((b, b + 21, b + 42) for b in range(11))
+#: Members of a long posting that all its others are compared with.
+LEADERS = 4
 #: Slots of the filter that tells which texts have a partner at all; it bounds what is broadcast.
 SLOTS = 1 << 20
 
@@ -82,10 +86,11 @@ def _shingled(taken: np.ndarray, k: int):
                 node = _node(words)
                 if taken[node % SLOTS]:
                     nodes.append(node)
-                    hashed = {xxhash.xxh32_intdigest(b" ".join(words[i : i + k])) - (1 << 31) for i in range(max(1, len(words) - k + 1))}
-                    sets.append(sorted(hashed))
+                    n = max(1, len(words) - k + 1)
+                    sets.append(np.unique(np.fromiter((xxhash.xxh32_intdigest(b" ".join(words[i : i + k])) for i in range(n)), np.uint32, n)).view(np.int32))
             if nodes:
-                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.list_(pa.int32()))], ["node", "shingles"])
+                ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))], ["node", "shingles"])
 
     return run
 
@@ -122,20 +127,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     index = nodes.select("node", F.explode(F.array(*posting)).alias("p")).select("p.s", "p.v", "node")
     sizes = cut(index.groupBy("s", "v").agg(F.count("*").alias("size")).where("size > 1"), "near-sizes")
     index = cut(index.join(sizes, ["s", "v"]), "near-index")
-    short = index.where(F.col("size") <= max_posting)
-    pairs = _paired(short)
-    links = verified(cut(pairs, "near-pairs"), nodes, docs, similarity, words)
     long = index.where(F.col("size") > max_posting).drop("size")
-    while long.take(1):
-        leaders = long.groupBy("s", "v").agg(F.min("node").alias("a"))
-        met = cut(long.join(leaders, ["s", "v"]).where("node <> a"), "near-met")
-        found = verified(met.select("a", F.col("node").alias("b")).distinct(), nodes, docs, similarity, words)
-        links = links.unionByName(found)
-        rest = met.join(found.withColumnRenamed("b", "node"), ["a", "node"], "left_anti").select("s", "v", "node")
-        sized = cut(rest.join(rest.groupBy("s", "v").agg(F.count("*").alias("size")), ["s", "v"]), "near-rest")
-        last = _paired(sized.where(F.col("size").between(2, max_posting)))
-        links = links.unionByName(verified(cut(last, "near-pairs"), nodes, docs, similarity, words))
-        long = sized.where(F.col("size") > max_posting).drop("size")
+    first = F.array(*[F.min_by("node", F.xxhash64("node", F.lit(salt))) for salt in range(LEADERS)])
+    leaders = long.groupBy("s", "v").agg(first.alias("a")).select("s", "v", F.explode(F.array_distinct("a")).alias("a"))
+    met = long.join(leaders, ["s", "v"]).where("node <> a").select(F.least("node", "a").alias("a"), F.greatest("node", "a").alias("b"))
+    pairs = _paired(index.where(F.col("size") <= max_posting)).unionByName(met).distinct()
+    links = verified(cut(pairs, "near-pairs"), nodes, docs, similarity, words)
     roots = connected_components(links).select("node", F.col("root").alias("component"))
     return rows.select("doc_id", "node").join(cut(roots, "near-roots"), "node", "left").select("doc_id", F.coalesce("component", "node").alias("component"))
 

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from evigrade.sources.staging import table
 
-from .common import crc_mod, id_and_bytes
+from .common import bounded_batches, crc_mod, id_and_bytes
 
 TERMS, LATENT, SAMPLE, NEIGHBOURS, THRESHOLD = 4096, 48, 6000, 25, 0.3
 #: Documents whose cosines are computed at once.
@@ -184,7 +184,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
                 keep = np.ones(len(texts), bool) if m["space"] is None else votes(vectors(texts, m["idf"]), m) >= threshold
                 yield part.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return bounded_batches(docs).mapInArrow(run, docs.schema)
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
