@@ -27,13 +27,15 @@ from pyspark.sql import functions as F
 
 from evigrade.sources.staging import cut, table
 
-from .common import crc_mod, id_and_bytes
+from .common import bounded_batches, crc_mod, id_and_bytes
 
 MAX_WORDS, MAX_GRAMS, ORDERS = 60_000, 40_000, (4, 3, 2, 1)
 #: Distinct words and grams that a task gathers before it sends its sums on, and unseen words whose scores it keeps.
 HELD = 400_000
 #: The softmax is over this many times the mean log frequency of a word.
 SHARPNESS = 2.0
+#: Log frequency of a word of which no gram is known.
+FLOOR = -20.0
 _WORDS = re.compile(r"[^\W\d_]+").findall
 
 
@@ -42,22 +44,15 @@ def grams_of(word: str, n: int) -> list[str]:
     return [w[i : i + n] for i in range(max(1, len(w) - n + 1))]
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: dict[str, Counter] = {}
 
     def out() -> pa.RecordBatch:
-        rows = []
-        for lang, words in held.items():
-            grams: list[Counter] = [Counter() for _ in ORDERS]
-            for w, n in words.items():
-                rows.append((lang, 0, w, n))
-                for own, k in zip(grams, ORDERS, strict=True):
-                    for g in grams_of(w, k):
-                        own[g] += n
-            rows += [(lang, k, g, n) for own, k in zip(grams, ORDERS, strict=True) for g, n in own.items()]
+        lang = [x for x, words in held.items() for _ in words]
+        words = [w for words in held.values() for w in words]
+        n = [k for words in held.values() for k in words.values()]
         held.clear()
-        lang, k, item, n = zip(*rows, strict=True)
-        return pa.RecordBatch.from_arrays([pa.array(lang), pa.array(k, pa.int32()), pa.array(item), pa.array(n, pa.int64())], ["lang", "k", "item", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(words, pa.string()), pa.array(n, pa.int64())], ["lang", "item", "n"])
 
     for b in batches:
         for lang, text in zip(b.column(0), b.column(1), strict=True):
@@ -68,10 +63,33 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
+def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: dict[tuple[str, int], Counter] = {}
+
+    def out() -> pa.RecordBatch:
+        rows = [(lang, k, g, n) for (lang, k), own in held.items() for g, n in own.items()]
+        held.clear()
+        lang, k, item, n = zip(*rows, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(lang), pa.array(k, pa.int32()), pa.array(item), pa.array(n, pa.int64())], ["lang", "k", "item", "n"])
+
+    for b in batches:
+        for lang, word, n in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+            for k in ORDERS:
+                own = held.setdefault((lang, k), Counter())
+                for g in grams_of(word, k):
+                    own[g] += n
+        if sum(map(len, held.values())) > HELD:
+            yield out()
+    if any(held.values()):
+        yield out()
+
+
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS) -> dict:
     """The model: languages, words and grams with a log frequency for each language. docs are training rows only."""
     given = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("binary").alias("text"))
-    counts = cut(given.mapInArrow(_count, "lang string, k int, item string, n long").groupBy("lang", "k", "item").agg(F.sum("n").alias("n")), "langid-counts")
+    words = cut(bounded_batches(given).mapInArrow(_words, "lang string, item string, n long").groupBy("lang", "item").agg(F.sum("n").alias("n")), "langid-words")
+    grams = cut(words.mapInArrow(_grams, "lang string, k int, item string, n long").groupBy("lang", "k", "item").agg(F.sum("n").alias("n")), "langid-grams")
+    counts = words.select("lang", F.lit(0).alias("k"), "item", "n").unionByName(grams)
     totals = {(r.lang, r.k): r.n for r in counts.groupBy("lang", "k").agg(F.sum("n").alias("n")).collect()}
     langs = sorted({lang for lang, _ in totals})
     model = {"langs": langs, "words": {}, "grams": {k: {} for k in ORDERS}}
@@ -88,50 +106,64 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max_w
 
 
 class Scorer:
-    """Scores of a task: the model's words as rows of a matrix, and those of the unseen words met, up to a bound."""
+    """Scores of a task: the model's words and grams as rows of matrices, and those of the unseen words met, up to a bound."""
 
     def __init__(self, model: dict) -> None:
-        self.langs, self.grams = model["langs"], {k: {g: np.array(v, np.float32) for g, v in gs.items()} for k, gs in model["grams"].items()}
+        self.langs = model["langs"]
+        wide = max(1, len(self.langs))
         self.row = {w: i for i, w in enumerate(model["words"])}
         self.known = len(self.row)
-        self.matrix = np.zeros((self.known + HELD // 4 + 1, max(1, len(self.langs))), np.float32)
+        self.matrix = np.full((self.known + HELD + 1, wide), FLOOR, np.float32)
         if self.known:
             self.matrix[: self.known] = list(model["words"].values())
-        self.floor = np.full(max(1, len(self.langs)), -20, np.float32)
+        grams = [(k, g, v) for k in ORDERS for g, v in model["grams"][k].items()]
+        self.gram = {k: {} for k in ORDERS}
+        for i, (k, g, _) in enumerate(grams):
+            self.gram[k][g] = i
+        self.gram_matrix = np.array([v for *_, v in grams] or np.zeros((0, wide)), np.float32)
         self.unseen: dict[str, int] = {}
 
-    def back_off(self, word: str) -> np.ndarray:
-        """Scores of an unseen word; below those of any known word of its language by nature of the shorter contexts' sums."""
-        for k in ORDERS:
-            own = self.grams[k]
-            if hits := [own[g] for g in grams_of(word, k) if g in own]:
-                return np.mean(hits, axis=0)
-        return self.floor
+    def back_off(self, words: list[str]) -> np.ndarray:
+        """Scores of unseen words: of each the mean over the known grams of the longest order that has any."""
+        hits: list[int] = []
+        starts, found, out = [], [], np.full((len(words), self.matrix.shape[1]), FLOOR, np.float32)
+        for i, w in enumerate(words):
+            for k in ORDERS:
+                own = self.gram[k]
+                if got := [own[g] for g in grams_of(w, k) if g in own]:
+                    starts.append(len(hits))
+                    found.append(i)
+                    hits += got
+                    break
+        if hits:
+            sums = np.add.reduceat(self.gram_matrix[hits], starts, axis=0)
+            out[found] = sums / np.diff([*starts, len(hits)])[:, None]
+        return out
 
     def score(self, text: str) -> tuple[str, float]:
         words = _WORDS(text.lower())
         if not words or not self.langs:
             return "und", 0.0
-        rows, total, n = [], np.zeros(len(self.langs)), 0
-        for w in words:
-            i = self.row.get(w)
-            if i is None:
-                i = self.unseen.get(w)
-                if i is None:
-                    i = self.known + len(self.unseen)
-                    if i >= len(self.matrix):  # the store starts anew; what has been looked up is added first
-                        total += self.matrix[rows].sum(axis=0, dtype=np.float64)
-                        n += len(rows)
-                        rows = []
-                        self.unseen.clear()
-                        i = self.known
-                    self.unseen[w] = i
-                    self.matrix[i] = self.back_off(w)
-            rows.append(i)
-        mean = (total + self.matrix[rows].sum(axis=0, dtype=np.float64)) / (n + len(rows))
+        get = self.row.get
+        rows = [get(w, w) for w in words]
+        new = list(dict.fromkeys(w for w in rows if w.__class__ is str and w not in self.unseen))
+        if new:
+            if len(self.unseen) + len(new) > HELD:  # the store starts anew, with this text's unseen words
+                self.unseen.clear()
+                new = list(dict.fromkeys(w for w in rows if w.__class__ is str))
+            if len(new) > HELD:  # one text with more unseen words than are held
+                every = np.array([self.matrix[w] if w.__class__ is int else self.back_off([w])[0] for w in rows])
+                return self.best(every.mean(axis=0, dtype=np.float64))
+            at = self.known + len(self.unseen)
+            self.matrix[at : at + len(new)] = self.back_off(new)
+            self.unseen.update(zip(new, range(at, at + len(new)), strict=True))
+        unseen = self.unseen
+        return self.best(self.matrix[[w if w.__class__ is int else unseen[w] for w in rows]].mean(axis=0, dtype=np.float64))
+
+    def best(self, mean: np.ndarray) -> tuple[str, float]:
         p = np.exp(SHARPNESS * (mean - mean.max()))
-        best = int(np.argmax(mean))
-        return self.langs[best], float(p[best] / p.sum())
+        top = int(np.argmax(mean))
+        return self.langs[top], float(p[top] / p.sum())
 
 
 def predict(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
