@@ -100,6 +100,18 @@ def shared_positions(a: Column, b: Column) -> Column:
     return F.size(F.filter(F.sequence(F.lit(1), F.lit(BYTES)), lambda i: F.substring(a, i, F.lit(1)) == F.substring(b, i, F.lit(1))))
 
 
+def slots_of(nodes: DataFrame) -> np.ndarray:
+    """Which of the SLOTS slots the nodes fall into; what reaches the driver is SLOTS bits, however many nodes there are."""
+    place = F.pmod("node", F.lit(SLOTS)) + 1
+    maps = nodes.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).collect()
+    taken = np.zeros(SLOTS, bool)
+    for r in maps:
+        bits = np.unpackbits(np.frombuffer(r.bits, np.uint8), bitorder="little")
+        at = (r.bucket - 1) * len(bits)
+        taken[at : at + len(bits)] = bits[: SLOTS - at]
+    return taken
+
+
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, similarity: float, words: int) -> DataFrame:
     """Of the pairs (a, b), those whose tally reaches the minimum and whose shingles are similar enough."""
     about = nodes.select("node", "n", "fp")
@@ -108,8 +120,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, similarity: fl
     even = F.least("na", "nb") + words >= (F.greatest("na", "nb") - words) * similarity
     likely = cut(both.where(even).where(shared_positions(F.col("fa"), F.col("fb")) >= LEAST_BYTES).select("a", "b"), "near-likely")
     ends = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    taken = np.zeros(SLOTS, bool)
-    taken[[r.slot for r in ends.select(F.pmod("node", F.lit(SLOTS)).alias("slot")).distinct().collect()]] = True
+    taken = slots_of(ends)
     text = id_and_bytes(docs, docs.columns[0], "text").select("text")
     sets = text.mapInArrow(_shingled(taken, words), "node long, shingles array<int>").join(ends, "node", "left_semi").dropDuplicates(["node"])
     sets = cut(sets, "near-shingles")

@@ -205,3 +205,10 @@ def test_pipeline(spark):
     rows = corpus_pipeline.run(spark, SF).collect()
     for k in {r.sequence_id for r in rows}:
         assert sum(r.length for r in rows if r.sequence_id == k) <= 1024
+
+
+def test_slots_of(spark):
+    nodes = [0, 1, -1, near_dedup.SLOTS - 1, near_dedup.SLOTS, 32767, 32768, -(1 << 63), (1 << 63) - 1]
+    taken = near_dedup.slots_of(spark.createDataFrame([(x,) for x in nodes], "node long"))
+    assert sorted(np.nonzero(taken)[0].tolist()) == sorted({x % near_dedup.SLOTS for x in nodes})
+    assert not near_dedup.slots_of(spark.createDataFrame([], "node long")).any()
