@@ -4,20 +4,24 @@ import glob
 import random
 
 import duckdb
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from evigrade.jobs import calibration
+from evigrade.jobs import calibration, evidence
 from evigrade.operators.components import connected_components
+from evigrade.operators.evidence import best_constants, combined_pair, isotonic
 
 SF = "/root/testdata/sf0.001"
+QUERIES, SQL = calibration.QUERIES | evidence.QUERIES, calibration.SQL | evidence.SQL
 
 
-@pytest.mark.parametrize("name", sorted(calibration.QUERIES))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_sql(spark, name):
     con = duckdb.connect()
     for f in glob.glob(f"{SF}/*.parquet"):
         con.sql(f"CREATE VIEW {f.rpartition('/')[2][:-8]} AS SELECT * FROM '{f}'")
-    got, want = calibration.QUERIES[name](spark, SF), con.sql(calibration.SQL[name])
+    got, want = QUERIES[name](spark, SF), con.sql(SQL[name])
     names = sorted(got.columns)
     assert names == sorted(want.columns)
     rows = lambda xs, at: sorted(repr(tuple(x[at(n)] for n in names)) for x in xs)
@@ -42,3 +46,21 @@ def test_components(spark):
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: find(x) for x in root}
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_isotonic():
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 2, 30):
+        y, w = rng.standard_normal(n), rng.integers(1, 9, n).astype(float)
+        means = {(i, j): np.average(y[i : j + 1], weights=w[i : j + 1]) for i in range(n) for j in range(i, n)}
+        want = [max(min(means[i, j] for j in range(k, n)) for i in range(k + 1)) for k in range(n)]
+        assert np.allclose(isotonic(y, w), want)
+
+
+def test_pairs_and_rules(spark):
+    pair = combined_pair(F.col("a"), F.col("b"))
+    rows = spark.createDataFrame([(None, None), (None, -2), (3, None), (2, 4), (-2, -4), (0, -1), (3, -1)], "a long, b long")
+    assert [r[0] for r in rows.select(pair).collect()] == [None, -2, 3, 4, -4, -1, 0]
+    assert best_constants(spark.createDataFrame([], "k string, p double"), ["k"], "p").count() == 0
+    best = best_constants(spark.createDataFrame([("x", 0.1)], "k string, p double"), ["k"], "p", 3000).first()
+    assert 1 <= best.c <= 3000 and best.broken == 0
