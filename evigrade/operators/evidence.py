@@ -34,8 +34,9 @@ def broken_rules(c: Column, prior: Column) -> Column:
     missed = []
     for bound, rules in RULES.values():
         for eighths, times in rules:
-            posterior = F.round(posterior_from_lr(F.pow(c, F.lit(eighths / 8)), prior), 3)
-            missed.append(F.when(posterior < bound if eighths > 0 else posterior > bound, times).otherwise(0))
+            # Posteriors count in whole thousandths; round() on doubles would go through decimals, for millions of rows.
+            posterior, limit = F.floor(posterior_from_lr(F.pow(c, F.lit(eighths / 8)), prior) * 1000 + 0.5), round(1000 * bound)
+            missed.append(F.when(posterior < limit if eighths > 0 else posterior > limit, times).otherwise(0))
     return reduce(Column.__add__, missed)
 
 
