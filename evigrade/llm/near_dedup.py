@@ -9,8 +9,10 @@ shared positional bytes tallied, pairs below ``LEAST_BYTES`` go, and the rest ar
 
 A posting longer than ``max_posting`` isn't paired, as its pairs grow with the square of a group of copies. Each of its
 members is compared with ``LEADERS`` leaders instead, chosen by hashes of the member alone, so that a group that fills
-many postings has few leaders. Every comparison is verified like any other. Two texts that meet in long postings only, and
-of which no leader is similar to both, aren't linked: that can leave a near copy in, and never takes a clean text out.
+many postings has few leaders. Every comparison is verified like any other. Members that then stand outside the posting's
+commonest component lead in further rounds, each compared with all members of other components, until none is left that
+hasn't led. Of two members in different components one at least has led, so no link between components is lost; those
+within a component would add nothing.
 
 Defined results: texts with equal sequences of lower-cased words are one node, so copies cost nothing; null and wordless
 texts are one node together; a null id is a row like any other; an empty table gives no rows.
@@ -35,8 +37,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 BYTES, LEAST_BYTES = 64, 12
 #: Triples of positions that key the postings: 21 of neighbours, and 11 across.
 TRIPLES = tuple((3 * j, 3 * j + 1, 3 * j + 2) for j in range(21)) + tuple((b, b + 21, b + 42) for b in range(11))
-#: Members of a long posting that all its others are compared with.
-LEADERS = 4
+#: Members of a long posting that all its others are compared with at first; each further round has WIDER times as many.
+LEADERS, WIDER = 4, 8
 #: Slots of the filter that tells which texts have a partner at all; it bounds what is broadcast.
 SLOTS = 1 << 20
 
@@ -138,14 +140,42 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     index = nodes.select("node", F.explode(F.array(*posting)).alias("p")).select("p.s", "p.v", "node")
     sizes = cut(index.groupBy("s", "v").agg(F.count("*").alias("size")).where("size > 1"), "near-sizes")
     index = cut(index.join(sizes, ["s", "v"]), "near-index")
-    long = index.where(F.col("size") > max_posting).drop("size")
+    long = cut(index.where(F.col("size") > max_posting).drop("size"), "near-long")
     first = F.array(*[F.min_by("node", F.xxhash64("node", F.lit(salt))) for salt in range(LEADERS)])
-    leaders = long.groupBy("s", "v").agg(first.alias("a")).select("s", "v", F.explode(F.array_distinct("a")).alias("a"))
-    met = long.join(leaders, ["s", "v"]).where("node <> a").select(F.least("node", "a").alias("a"), F.greatest("node", "a").alias("b"))
+    led = cut(long.groupBy("s", "v").agg(first.alias("a")).select("s", "v", F.explode(F.array_distinct("a")).alias("a")), "near-led")
+    met = long.join(led, ["s", "v"]).where("node <> a").select(F.least("node", "a").alias("a"), F.greatest("node", "a").alias("b"))
     pairs = _paired(index.where(F.col("size") <= max_posting)).unionByName(met).distinct()
     links = verified(cut(pairs, "near-pairs"), nodes, docs, similarity, words)
-    roots = connected_components(links).select("node", F.col("root").alias("component"))
-    return rows.select("doc_id", "node").join(cut(roots, "near-roots"), "node", "left").select("doc_id", F.coalesce("component", "node").alias("component"))
+    roots = _rooted(links)
+    if not led.isEmpty():
+        roots = _settled(long, led, roots, nodes, docs, similarity, words)
+    return rows.select("doc_id", "node").join(roots, "node", "left").select("doc_id", F.coalesce("component", "node").alias("component"))
+
+
+def _rooted(links: DataFrame) -> DataFrame:
+    return cut(connected_components(links).select("node", F.col("root").alias("component")), "near-roots")
+
+
+def _settled(long: DataFrame, led: DataFrame, roots: DataFrame, nodes: DataFrame, docs: DataFrame, similarity: float, words: int) -> DataFrame:
+    """roots, after every member of a long posting outside its commonest component has led there."""
+    most = LEADERS
+    while True:
+        placed = cut(long.join(roots, "node", "left").select("s", "v", "node", F.coalesce("component", "node").alias("component")), "near-placed")
+        shares = placed.groupBy("s", "v", "component").agg(F.count("*").alias("n"))
+        bulk = shares.groupBy("s", "v").agg(F.max_by("component", F.struct("n", "component")).alias("bulk"))
+        rest = placed.join(bulk, ["s", "v"]).where("component <> bulk").drop("bulk")
+        rest = cut(rest.join(led.select("s", "v", F.col("a").alias("node")), ["s", "v", "node"], "left_anti"), "near-rest")
+        if rest.isEmpty():
+            return roots
+        most *= WIDER
+        left = rest.groupBy("s", "v").agg(F.count("*").alias("left"))
+        lot = F.pmod(F.xxhash64("node"), F.lit(1 << 20))
+        chosen = cut(rest.join(left, ["s", "v"]).where(lot * F.col("left") < F.lit(most << 20)).select("s", "v", F.col("node").alias("a"), F.col("component").alias("of_a")), "near-chosen")
+        met = chosen.join(placed, ["s", "v"]).where("component <> of_a").select(F.least("node", "a").alias("a"), F.greatest("node", "a").alias("b")).distinct()
+        found = verified(cut(met, "near-pairs"), nodes, docs, similarity, words)
+        led = led.unionByName(chosen.select("s", "v", "a"))
+        if not found.isEmpty():
+            roots = _rooted(roots.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(found))
 
 
 def _paired(postings: DataFrame) -> DataFrame:

@@ -212,3 +212,19 @@ def test_slots_of(spark):
     taken = near_dedup.slots_of(spark.createDataFrame([(x,) for x in nodes], "node long"))
     assert sorted(np.nonzero(taken)[0].tolist()) == sorted({x % near_dedup.SLOTS for x in nodes})
     assert not near_dedup.slots_of(spark.createDataFrame([], "node long")).any()
+
+
+def test_long_postings_lose_no_link(spark):
+    """A chain of texts of which only neighbours are similar, and copies of one text: posting by posting as if all were paired."""
+    chain = [[f"w{i if i >= 3 * k else 1000 + i}" for i in range(120)] for k in range(30)]
+    crowd = [[f"c{i}" if i != 7 * k % 120 else f"x{k}" for i in range(120)] for k in range(30)]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(chain + crowd)] + [(None, None), (70, "")], "doc_id long, text string")
+
+    def groups(max_posting):
+        found = {}
+        for r in near_dedup.near_duplicates(docs, max_posting=max_posting).collect():
+            found.setdefault(r.component, set()).add(r.doc_id)
+        return sorted(map(lambda g: sorted(g, key=str), found.values()), key=str)
+
+    assert groups(3) == groups(1 << 30)
+    assert len(groups(3)) == 3
