@@ -66,21 +66,35 @@ def _node(words: list[bytes]) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        out = []
-        for t in b.column(1):
-            words = t.as_py().lower().split()
-            pairs = list({x + b" " + y for x, y in zip(words, words[1:], strict=False)} or set(words))
-            out.append((_node(words), len(words), _wide(pairs)))
-        node, n, fp = zip(*out, strict=True) if out else ((), (), ())
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(node, pa.int64()), pa.array(n, pa.int32()), pa.array(fp, pa.binary())], ["doc_id", "node", "n", "fp"])
+def shingle_hashes(words: list[bytes], k: int) -> np.ndarray:
+    """Sorted 64-bit hashes of the distinct shingles of k words; fewer than k words are one shingle."""
+    import xxhash
 
+    digest, n = xxhash.xxh64_intdigest, max(1, len(words) - k + 1)
+    each = np.fromiter((digest(w, HASH_SEED) for w in words), np.uint64, len(words))
+    h = np.full(n, 0x9E3779B97F4A7C15, np.uint64)
+    for j in range(min(k, len(words))):
+        h = (h ^ each[j : j + n]) * np.uint64(0xBF58476D1CE4E5B9)
+        h ^= h >> np.uint64(32)
+    return np.unique(h)
 
-def _shingled(taken: np.ndarray, k: int):
+
+def _sketched(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
+        for b in batches:
+            out = []
+            for t in b.column(1):
+                words = t.as_py().lower().split()
+                pairs = list({x + b" " + y for x, y in zip(words, words[1:], strict=False)} or set(words))
+                out.append((_node(words), len(shingle_hashes(words, k)), _wide(pairs)))
+            node, n, fp = zip(*out, strict=True) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(node, pa.int64()), pa.array(n, pa.int32()), pa.array(fp, pa.binary())], ["doc_id", "node", "n", "fp"])
 
+    return run
+
+
+def _shingled(taken: np.ndarray, k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             nodes, sets = [], []
             for t in b.column(0):
@@ -88,8 +102,7 @@ def _shingled(taken: np.ndarray, k: int):
                 node = _node(words)
                 if taken[node % SLOTS]:
                     nodes.append(node)
-                    n = max(1, len(words) - k + 1)
-                    sets.append(np.unique(np.fromiter((xxhash.xxh32_intdigest(b" ".join(words[i : i + k])) for i in range(n)), np.uint32, n)).view(np.int32))
+                    sets.append(np.unique(shingle_hashes(words, k).astype(np.uint32)).view(np.int32))
             if nodes:
                 ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))], ["node", "shingles"])
@@ -119,7 +132,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, similarity: fl
     about = nodes.select("node", "n", "fp")
     left = pairs.join(about.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("fp").alias("fa")), "a")
     both = left.join(about.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("fp").alias("fb")), "b")
-    even = F.least("na", "nb") + words >= (F.greatest("na", "nb") - words) * similarity
+    even = F.least("na", "nb") >= F.greatest("na", "nb") * similarity - 1e-9  # n counts distinct shingles, so no link is lost
     likely = cut(both.where(even).where(shared_positions(F.col("fa"), F.col("fb")) >= LEAST_BYTES).select("a", "b"), "near-likely")
     ends = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     taken = slots_of(ends)
@@ -134,7 +147,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, similarity: fl
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, words: int = SHINGLE, max_posting: int = MAX_POSTING) -> DataFrame:
     """One row per row of docs: doc_id and component, the same for texts that links of at least ``similarity`` connect."""
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    rows = cut(id_and_bytes(docs).mapInArrow(_sketched, "doc_id long, node long, n int, fp binary"), "near-rows")
+    rows = cut(id_and_bytes(docs).mapInArrow(_sketched(words), "doc_id long, node long, n int, fp binary"), "near-rows")
     nodes = cut(rows.groupBy("node").agg(F.first("n").alias("n"), F.first("fp").alias("fp")), "near-nodes")
     posting = [F.struct(F.lit(j).alias("s"), F.concat(*[F.substring("fp", p + 1, 1) for p in t]).alias("v")) for j, t in enumerate(TRIPLES)]
     index = nodes.select("node", F.explode(F.array(*posting)).alias("p")).select("p.s", "p.v", "node")

@@ -228,3 +228,27 @@ def test_long_postings_lose_no_link(spark):
 
     assert groups(3) == groups(1 << 30)
     assert len(groups(3)) == 3
+
+
+def shingle_set(text, k=5):
+    words = text.lower().split()
+    return {tuple(words[i : i + k]) for i in range(max(1, len(words) - k + 1))}
+
+
+def brute_links(texts, similarity=0.8):
+    sets = [shingle_set(t) for t in texts]
+    return [(i, j) for j in range(len(sets)) for i in range(j) if len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j])]
+
+
+def missed(spark, texts):
+    """Links by brute force, and those of them whose ends aren't in one component."""
+    c = {r.doc_id: r.component for r in near_dedup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    links = brute_links(texts)
+    return links, [(i, j) for i, j in links if c[i] != c[j]]
+
+
+def test_near_duplicates_with_repeated_lines(spark):
+    """Similarity is that of sets: the number of copies of a line doesn't count."""
+    texts = [" ".join([prose(100 + k, 20)] * copies) for k in range(30) for copies in (5, 8, 40)]
+    links, lost = missed(spark, texts)
+    assert len(links) == 90 and lost == []
