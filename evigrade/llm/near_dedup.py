@@ -3,9 +3,15 @@
 The contract of two differing bits is for copies that hardly differ. A pipeline wants texts of a stated similarity, the
 Jaccard index of their sets of five-word shingles. Their fingerprints here are 64 positional bytes over the set of word
 pairs; texts at a similarity of 0.8 differ in about a tenth of the bits, so that around 29 of the 64 bytes are equal,
-while unrelated texts share one at most. The inverted index has 32 postings a text, each keyed by three positional bytes:
-at a similarity of 0.8 about nineteen texts of twenty meet in one of them, at 0.9 nearly all. Pairs that meet have their
-shared positional bytes tallied, pairs below ``LEAST_BYTES`` go, and the rest are verified exactly on their shingles.
+while unrelated texts share one at most. The inverted index has 32 postings a text, each keyed by three positional bytes.
+Pairs that meet have their shared positional bytes tallied, pairs below ``LEAST_BYTES`` go, and the rest are verified on
+their shingles. That is likely to find scattered changes of words, but guarantees nothing: block edits, added passages
+and short texts often share no posting.
+
+What guarantees every link is a second kind of posting, keyed by single shingles. All sets are put into one order, rare
+shingles first. Of m shingles a text stands at the first m - ceil(similarity * m) + 1: two texts that share none of those
+cannot be similar enough. Any order that is the same for all texts is right; that of ``ORDER_SLOTS`` counts of the whole
+corpus only makes the postings short. Pairs met there are verified without the tally.
 
 A posting longer than ``max_posting`` isn't paired, as its pairs grow with the square of a group of copies. Each of its
 members is compared with ``LEADERS`` leaders instead, chosen by hashes of the member alone, so that a group that fills
@@ -20,6 +26,7 @@ texts are one node together; a null id is a row like any other; an empty table g
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,6 +48,10 @@ TRIPLES = tuple((3 * j, 3 * j + 1, 3 * j + 2) for j in range(21)) + tuple((b, b
 LEADERS, WIDER = 4, 8
 #: Slots of the filter that tells which texts have a partner at all; it bounds what is broadcast.
 SLOTS = 1 << 20
+#: Slots that count shingles; they only order them, and bound what is broadcast.
+ORDER_SLOTS = 1 << 20
+#: The kind of the postings keyed by a shingle, where others have the number of their triple.
+BY_SHINGLE = -1
 
 
 def _wide(pairs: list[bytes]) -> bytes:
@@ -110,6 +121,65 @@ def _shingled(taken: np.ndarray, k: int):
     return run
 
 
+def _counted(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(ORDER_SLOTS, np.int64)
+        for b in batches:
+            for t in b.column(0):
+                np.add.at(counts, (shingle_hashes(t.as_py().lower().split(), k) % np.uint64(ORDER_SLOTS)).astype(np.int64), 1)
+        yield pa.RecordBatch.from_arrays([pa.array([np.minimum(counts, 2**31 - 1).astype(np.int32).tobytes()], pa.binary())], ["counts"])
+
+    return run
+
+
+def shingle_order(text: DataFrame, words: int) -> np.ndarray:
+    """How often the shingles of each of the ORDER_SLOTS slots occur; tasks add up their counts as a tree."""
+
+    def add(a: np.ndarray | None, b: np.ndarray | None) -> np.ndarray | None:
+        return b if a is None else a if b is None else np.minimum(a.astype(np.int64) + b, 2**31 - 1).astype(np.int32)
+
+    counts = text.mapInArrow(_counted(words), "counts binary").rdd.map(lambda r: np.frombuffer(r.counts, np.int32))
+    found = counts.treeAggregate(None, add, add, depth=3)
+    return np.zeros(ORDER_SLOTS, np.int32) if found is None else found
+
+
+def _prefixed(order, k: int, similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = order.value
+        for b in batches:
+            nodes, sizes, heads = [], [], []
+            for t in b.column(0):
+                words = t.as_py().lower().split()
+                h = shingle_hashes(words, k)
+                m = len(h)
+                keep = m - math.ceil(similarity * m - 1e-9) + 1
+                nodes.append(_node(words))
+                sizes.append(m)
+                heads.append(h[np.argsort(counts[(h % np.uint64(ORDER_SLOTS)).astype(np.int64)], kind="stable")[:keep]].view(np.int64))
+            if nodes:
+                each = [len(x) for x in heads]
+                at = np.concatenate([np.arange(x, dtype=np.int32) for x in each])
+                columns = [np.repeat(np.array(nodes, np.int64), each), np.repeat(np.array(sizes, np.int32), each), at, np.concatenate(heads)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["node", "n", "at", "shingle"])
+
+    return run
+
+
+def shingle_postings(text: DataFrame, similarity: float, words: int) -> DataFrame:
+    """s, v, node, size, n, at of the postings keyed by a shingle that more than one node shares.
+
+    n is how many shingles the node has, at the place of this one in their order.
+    """
+    order = text.sparkSession.sparkContext.broadcast(shingle_order(text, words))
+    heads = cut(text.mapInArrow(_prefixed(order, words, similarity), "node long, n int, at int, shingle long"), "near-heads")
+    shared = heads.groupBy("shingle").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("shingle")
+    met = cut(heads.join(cut(shared, "near-shared"), "shingle", "left_semi"), "near-met").dropDuplicates(["shingle", "node"])
+    met = cut(met, "near-heads-once")
+    sizes = cut(met.groupBy("shingle").agg(F.count("*").alias("size")), "near-head-sizes")
+    key = F.unhex(F.lpad(F.hex("shingle"), 16, "0"))
+    return met.join(sizes, "shingle").select(F.lit(BY_SHINGLE).alias("s"), key.alias("v"), "node", "size", "n", "at")
+
+
 def shared_positions(a: Column, b: Column) -> Column:
     """How many positional bytes two fingerprints have in common."""
     return F.size(F.filter(F.sequence(F.lit(1), F.lit(BYTES)), lambda i: F.substring(a, i, F.lit(1)) == F.substring(b, i, F.lit(1))))
@@ -128,12 +198,12 @@ def slots_of(nodes: DataFrame) -> np.ndarray:
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, similarity: float, words: int) -> DataFrame:
-    """Of the pairs (a, b), those whose tally reaches the minimum and whose shingles are similar enough."""
+    """Of the pairs (a, b, sure), those that are sure or whose tally reaches the minimum, and whose shingles are similar enough."""
     about = nodes.select("node", "n", "fp")
     left = pairs.join(about.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("fp").alias("fa")), "a")
     both = left.join(about.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("fp").alias("fb")), "b")
     even = F.least("na", "nb") >= F.greatest("na", "nb") * similarity - 1e-9  # n counts distinct shingles, so no link is lost
-    likely = cut(both.where(even).where(shared_positions(F.col("fa"), F.col("fb")) >= LEAST_BYTES).select("a", "b"), "near-likely")
+    likely = cut(both.where(even).where(F.col("sure") | (shared_positions(F.col("fa"), F.col("fb")) >= LEAST_BYTES)).select("a", "b"), "near-likely")
     ends = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     taken = slots_of(ends)
     text = id_and_bytes(docs, docs.columns[0], "text").select("text")
@@ -153,18 +223,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     index = nodes.select("node", F.explode(F.array(*posting)).alias("p")).select("p.s", "p.v", "node")
     sizes = cut(index.groupBy("s", "v").agg(F.count("*").alias("size")).where("size > 1"), "near-sizes")
     index = cut(index.join(sizes, ["s", "v"]), "near-index")
-    long = cut(index.where(F.col("size") > max_posting).drop("size"), "near-long")
+    by_shingle = cut(shingle_postings(id_and_bytes(docs).select("text"), similarity, words), "near-by-shingle")
+    whole = index.unionByName(by_shingle.select("s", "v", "node", "size"))
+    long = cut(whole.where(F.col("size") > max_posting).drop("size"), "near-long")
     first = F.array(*[F.min_by("node", F.xxhash64("node", F.lit(salt))) for salt in range(LEADERS)])
     led = cut(long.groupBy("s", "v").agg(first.alias("a")).select("s", "v", F.explode(F.array_distinct("a")).alias("a")), "near-led")
-    met = long.join(led, ["s", "v"]).where("node <> a").select(F.least("node", "a").alias("a"), F.greatest("node", "a").alias("b"))
-    pairs = _paired(index.where(F.col("size") <= max_posting)).unionByName(met).distinct()
-    links = verified(cut(pairs, "near-pairs"), nodes, docs, similarity, words)
+    met = long.join(led, ["s", "v"]).where("node <> a").select(*_pair())
+    short = _paired(index.where(F.col("size") <= max_posting)).unionByName(_paired_by_shingle(by_shingle.where(F.col("size") <= max_posting), similarity))
+    links = verified(cut(_once(short.unionByName(met)), "near-pairs"), nodes, docs, similarity, words)
     roots = _rooted(links)
     if not led.isEmpty():
         roots = _settled(long, led, roots, nodes, docs, similarity, words)
     return rows.select("doc_id", "node").join(roots, "node", "left").select("doc_id", F.coalesce("component", "node").alias("component"))
 
 
+def _pair() -> list[Column]:
+    return [F.least("node", "a").alias("a"), F.greatest("node", "a").alias("b"), (F.col("s") == BY_SHINGLE).alias("sure")]
+
+
+def _once(pairs: DataFrame) -> DataFrame:
+    return pairs.groupBy("a", "b").agg(F.max("sure").alias("sure"))
+
+
 def _rooted(links: DataFrame) -> DataFrame:
     return cut(connected_components(links).select("node", F.col("root").alias("component")), "near-roots")
 
@@ -184,8 +264,8 @@ def _settled(long: DataFrame, led: DataFrame, roots: DataFrame, nodes: DataFrame
         left = rest.groupBy("s", "v").agg(F.count("*").alias("left"))
         lot = F.pmod(F.xxhash64("node"), F.lit(1 << 20))
         chosen = cut(rest.join(left, ["s", "v"]).where(lot * F.col("left") < F.lit(most << 20)).select("s", "v", F.col("node").alias("a"), F.col("component").alias("of_a")), "near-chosen")
-        met = chosen.join(placed, ["s", "v"]).where("component <> of_a").select(F.least("node", "a").alias("a"), F.greatest("node", "a").alias("b")).distinct()
-        found = verified(cut(met, "near-pairs"), nodes, docs, similarity, words)
+        met = chosen.join(placed, ["s", "v"]).where("component <> of_a").select(*_pair())
+        found = verified(cut(_once(met), "near-pairs"), nodes, docs, similarity, words)
         led = led.unionByName(chosen.select("s", "v", "a"))
         if not found.isEmpty():
             roots = _rooted(roots.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(found))
@@ -193,7 +273,16 @@ def _settled(long: DataFrame, led: DataFrame, roots: DataFrame, nodes: DataFrame
 
 def _paired(postings: DataFrame) -> DataFrame:
     a, b = postings.select("s", "v", F.col("node").alias("a")), postings.select("s", "v", F.col("node").alias("b"))
-    return a.join(b, ["s", "v"]).where("a < b").select("a", "b").distinct()
+    return a.join(b, ["s", "v"]).where("a < b").select("a", "b").distinct().withColumn("sure", F.lit(False))
+
+
+def _paired_by_shingle(postings: DataFrame, similarity: float) -> DataFrame:
+    """Pairs of each posting; the first shingle of a pair tells how many it can share at most, and every pair has a first one."""
+    a, b = (postings.select("v", F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("at").alias(f"at{x}")) for x in "ab")
+    even = F.least("na", "nb") >= F.greatest("na", "nb") * similarity - 1e-9
+    most = F.least(F.col("na") - F.col("ata"), F.col("nb") - F.col("atb"))
+    enough = most * (1 + similarity) >= (F.col("na") + F.col("nb")) * similarity - 1e-6
+    return a.join(b, "v").where("a < b").where(even).where(enough).select("a", "b").distinct().withColumn("sure", F.lit(True))
 
 
 def keep_one_of_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:

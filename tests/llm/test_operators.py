@@ -252,3 +252,26 @@ def test_near_duplicates_with_repeated_lines(spark):
     texts = [" ".join([prose(100 + k, 20)] * copies) for k in range(30) for copies in (5, 8, 40)]
     links, lost = missed(spark, texts)
     assert len(links) == 90 and lost == []
+
+
+def test_near_duplicates_of_every_kind_of_edit(spark):
+    """Added and replaced blocks and short texts: every link of brute force is found."""
+    texts, made = [], iter(range(10**6))
+    new = lambda n: [f"v{next(made)}" for _ in range(n)]
+    for _ in range(12):
+        for n, more in ((200, 48), (1000, 240), (40, 8), (9, 1), (12, 1), (200, 20), (4, 0), (5, 1)):
+            words = new(n)
+            texts += [" ".join(words), " ".join(words + new(more))]
+        words = new(200)
+        texts += [" ".join(words), " ".join(words[:90] + new(17) + words[107:])]
+    links, lost = missed(spark, texts)
+    assert len(links) >= 12 * 7 and lost == []
+
+
+def test_postings_by_shingle_lose_no_link_when_long(spark):
+    """Texts that are a common passage but for their ends: long postings by shingle, as if all were paired."""
+    texts = [" ".join([f"p{i}" for i in range(60)] + [f"e{k}x{j}" for j in range(6 + k % 9)]) for k in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    groups = lambda most: {(r.doc_id, r.component) for r in near_dedup.near_duplicates(docs, max_posting=most).collect()}
+    c = dict(groups(4))
+    assert groups(4) == groups(1 << 30) and all(c[i] == c[j] for i, j in brute_links(texts))
