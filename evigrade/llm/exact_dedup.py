@@ -64,14 +64,16 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_first_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows that exact_dedup drops; all columns stay, and of repeated rows one stays."""
+    """docs without the rows that exact_dedup drops; all columns stay, and of rows with one id and one normalised text the longest stays."""
     found = cut(exact_dedup(docs, id_col, text_col, digest_all=True).where("kept").select("doc_id", "text_sha256", "n_rows"), "dedup-kept")
     keys = [F.col("k.doc_id").eqNullSafe(F.col("d.`" + id_col + "`").cast("long")), F.col("k.text_sha256") == F.sha2(normalised(F.coalesce(F.col("d.`" + text_col + "`"), F.lit(""))), 256)]
     stays = docs.alias("d").join(found.alias("k"), keys)
     names = [F.col(f"d.`{c}`") for c in docs.columns]
     once = stays.where("k.n_rows = 1").select(*names)
-    again = stays.where("k.n_rows > 1").select(*names).dropDuplicates([id_col])
-    return once.unionByName(again)
+    whole = F.struct(*names)
+    longest = F.struct(F.length(F.col(f"d.`{text_col}`")), F.to_json(whole))
+    again = stays.where("k.n_rows > 1").groupBy("k.doc_id", "k.text_sha256").agg(F.max_by(whole, longest).alias("row"))
+    return once.unionByName(again.select("row.*"))
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -275,3 +275,12 @@ def test_postings_by_shingle_lose_no_link_when_long(spark):
     groups = lambda most: {(r.doc_id, r.component) for r in near_dedup.near_duplicates(docs, max_posting=most).collect()}
     c = dict(groups(4))
     assert groups(4) == groups(1 << 30) and all(c[i] == c[j] for i, j in brute_links(texts))
+
+
+def test_exact_dedup_keeps_each_text_of_an_id(spark):
+    """Texts that repeat under one id, or under none, are documents of their own; the longest original of each stays."""
+    rows = [(i, t) for i in (7, None) for t in ("a b", "a  b", "a b", "c d", "c d", "e", "e ", "f")] + [(8, "g"), (9, "g")]
+    got = exact_dedup.keep_first_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got)) == [(7, "a  b"), (7, "c d"), (7, "e "), (7, "f"), (8, "g")]
+    alone = exact_dedup.keep_first_copies(spark.createDataFrame([r for r in rows if r[0] is None], "doc_id long, text string")).collect()
+    assert sorted(r.text for r in alone) == ["a  b", "c d", "e ", "f"]
