@@ -4,9 +4,11 @@ A word that the model knows is scored by its log frequency in each language. An
 n-grams, the longest order first: the first order of which the model knows any gram scores it, by the mean of the known
 grams' log frequencies. A document's score is the mean over its words, and its probability the softmax of the languages.
 
-Counts cover every training text. They are gathered a partition at a time with map-side sums and added up by a shuffle;
-the model is the ``max_words`` words and ``max_grams`` grams of the highest relative frequency, a bound on what is
-broadcast, not on what is counted. Relative, so that a language with few documents is known as well as one with a third of them.
+Counts cover every training text. They are gathered a partition at a time with map-side sums and added up by a shuffle.
+All grams are broadcast, and the ``max_words`` words of the highest relative frequency; relative, so that a language with
+few documents is known as well as one with a third of them. The other words stay a table: a task sums up the words that it
+has and passes on the rest of each document, whose distinct words are looked up by a join and backed off where they are
+unseen. ``max_words`` is thus a matter of speed and changes no score beyond rounding.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0, as is every text if nothing could be
 learned; a null language or null text isn't learned from; a null id counts as held out of learning; ties between
@@ -29,8 +31,8 @@ from evigrade.sources.staging import cut, table
 
 from .common import bounded_batches, crc_mod, id_and_bytes
 
-MAX_WORDS, MAX_GRAMS, ORDERS = 60_000, 40_000, (4, 3, 2, 1)
-#: Distinct words and grams that a task gathers before it sends its sums on, and unseen words whose scores it keeps.
+MAX_WORDS, ORDERS = 60_000, (4, 3, 2, 1)
+#: Distinct words and grams that a task gathers before it sends its sums on.
 HELD = 400_000
 #: The softmax is over this many times the mean log frequency of a word.
 SHARPNESS = 2.0
@@ -84,8 +86,8 @@ def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
-def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS) -> dict:
-    """The model: languages, words and grams with a log frequency for each language. docs are training rows only."""
+def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max_words: int = MAX_WORDS) -> dict:
+    """The model: languages, words and grams with a log frequency for each language, and ``table`` with all words. docs are training rows only."""
     given = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("binary").alias("text"))
     words = cut(bounded_batches(given).mapInArrow(_words, "lang string, item string, n long").groupBy("lang", "item").agg(F.sum("n").alias("n")), "langid-words")
     grams = cut(words.mapInArrow(_grams, "lang string, k int, item string, n long").groupBy("lang", "k", "item").agg(F.sum("n").alias("n")), "langid-grams")
@@ -97,36 +99,33 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max_w
         return model
     sums = counts.groupBy("lang", "k").agg(F.sum("n").alias("whole"))
     shares = counts.join(F.broadcast(sums), ["lang", "k"]).groupBy("k", "item").agg(F.max(F.col("n") / F.col("whole")).alias("share"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
-    for words, most in ((True, max_words), (False, max_grams)):
-        top = shares.where("k = 0" if words else "k > 0").orderBy(F.desc("share"), "k", "item").limit(most)
+    by_word = cut(shares.where("k = 0"), "langid-shares")
+    for top in (by_word.orderBy(F.desc("share"), "item").limit(max_words), shares.where("k > 0").orderBy("k", "item")):
         for r in top.toLocalIterator():
             scores = [math.log((r.by.get(lang, 0) + 0.5) / (totals[lang, r.k] + 1)) if (lang, r.k) in totals else -25.0 for lang in langs]
-            (model["words"] if words else model["grams"][r.k])[r.item] = scores
+            (model["grams"][r.k] if r.k else model["words"])[r.item] = scores
+    each = [F.log((F.coalesce(F.col("by")[lang], F.lit(0)) + 0.5) / F.lit(totals[lang, 0] + 1.0)) if (lang, 0) in totals else F.lit(-25.0) for lang in langs]
+    model["table"] = by_word.select("item", F.array(*[x.cast("float") for x in each]).alias("scores"))
     return model
 
 
 class Scorer:
-    """Scores of a task: the model's words and grams as rows of matrices, and those of the unseen words met, up to a bound."""
+    """Scores of a task: the model's words and grams as rows of matrices."""
 
     def __init__(self, model: dict) -> None:
-        self.langs = model["langs"]
-        wide = max(1, len(self.langs))
+        self.wide = len(model["langs"])
         self.row = {w: i for i, w in enumerate(model["words"])}
-        self.known = len(self.row)
-        self.matrix = np.full((self.known + HELD + 1, wide), FLOOR, np.float32)
-        if self.known:
-            self.matrix[: self.known] = list(model["words"].values())
+        self.matrix = np.array(list(model["words"].values()) or np.zeros((0, self.wide)), np.float32)
         grams = [(k, g, v) for k in ORDERS for g, v in model["grams"][k].items()]
         self.gram = {k: {} for k in ORDERS}
         for i, (k, g, _) in enumerate(grams):
             self.gram[k][g] = i
-        self.gram_matrix = np.array([v for *_, v in grams] or np.zeros((0, wide)), np.float32)
-        self.unseen: dict[str, int] = {}
+        self.gram_matrix = np.array([v for *_, v in grams] or np.zeros((0, self.wide)), np.float32)
 
     def back_off(self, words: list[str]) -> np.ndarray:
         """Scores of unseen words: of each the mean over the known grams of the longest order that has any."""
         hits: list[int] = []
-        starts, found, out = [], [], np.full((len(words), self.matrix.shape[1]), FLOOR, np.float32)
+        starts, found, out = [], [], np.full((len(words), self.wide), FLOOR, np.float32)
         for i, w in enumerate(words):
             for k in ORDERS:
                 own = self.gram[k]
@@ -140,43 +139,64 @@ class Scorer:
             out[found] = sums / np.diff([*starts, len(hits)])[:, None]
         return out
 
-    def score(self, text: str) -> tuple[str, float]:
-        words = _WORDS(text.lower())
-        if not words or not self.langs:
-            return "und", 0.0
-        get = self.row.get
+    def known(self, text: str) -> tuple[int, np.ndarray, Counter]:
+        """How many words text has, the sums over those of the matrix, and the other words."""
+        words, get = _WORDS(text.lower()), self.row.get
         rows = [get(w, w) for w in words]
-        new = list(dict.fromkeys(w for w in rows if w.__class__ is str and w not in self.unseen))
-        if new:
-            if len(self.unseen) + len(new) > HELD:  # the store starts anew, with this text's unseen words
-                self.unseen.clear()
-                new = list(dict.fromkeys(w for w in rows if w.__class__ is str))
-            if len(new) > HELD:  # one text with more unseen words than are held
-                every = np.array([self.matrix[w] if w.__class__ is int else self.back_off([w])[0] for w in rows])
-                return self.best(every.mean(axis=0, dtype=np.float64))
-            at = self.known + len(self.unseen)
-            self.matrix[at : at + len(new)] = self.back_off(new)
-            self.unseen.update(zip(new, range(at, at + len(new)), strict=True))
-        unseen = self.unseen
-        return self.best(self.matrix[[w if w.__class__ is int else unseen[w] for w in rows]].mean(axis=0, dtype=np.float64))
-
-    def best(self, mean: np.ndarray) -> tuple[str, float]:
-        p = np.exp(SHARPNESS * (mean - mean.max()))
-        top = int(np.argmax(mean))
-        return self.langs[top], float(p[top] / p.sum())
+        return len(words), self.matrix[[w for w in rows if w.__class__ is int] or np.zeros(0, int)].sum(axis=0, dtype=np.float64), Counter(w for w in rows if w.__class__ is str)
+
+
+def _lists(rows: list, width: int, kind: pa.DataType) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * width), pa.array(np.array(rows).ravel(), kind))
 
 
 def predict(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, lang_pred and score of every row."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    given, langs = id_and_bytes(docs, id_col, text_col), model["langs"]
+    if not langs:
+        return given.select("doc_id", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
+    wide = len(langs)
+    sent = docs.sparkSession.sparkContext.broadcast({k: v for k, v in model.items() if k != "table"})
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(sent.value)
         for b in batches:
-            found = [scorer.score(t.as_py().decode("utf-8", "replace")) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], ["doc_id", "lang_pred", "score"])
-
-    return id_and_bytes(docs, id_col, text_col).mapInArrow(run, "doc_id long, lang_pred string, score double")
+            if not b.num_rows:
+                continue
+            n, sums, rest = zip(*(scorer.known(t.as_py().decode("utf-8", "replace")) for t in b.column(2)), strict=True)
+            items = pa.StructArray.from_arrays([pa.array([w for x in rest for w in x], pa.string()), pa.array([c for x in rest for c in x.values()], pa.int64())], ["item", "n"])
+            ends = pa.array(np.cumsum([0, *map(len, rest)]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), _lists(sums, wide, pa.float64()), pa.ListArray.from_arrays(ends, items)], ["row", "doc_id", "n", "sums", "rest"])
+
+    def looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(sent.value)
+        for b in batches:
+            if b.num_rows:
+                scores = b.column(1).to_pylist()
+                new = [i for i, x in enumerate(scores) if x is None]
+                for i, x in zip(new, scorer.back_off(b.column(0).take(pa.array(new, pa.int64())).to_pylist()), strict=True):
+                    scores[i] = x
+                yield pa.RecordBatch.from_arrays([b.column(0), _lists(scores, wide, pa.float32())], ["item", "scores"])
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                n = b.column(1).to_numpy()
+                mean = np.column_stack([b.column(2 + i).to_numpy() for i in range(wide)]) / np.maximum(n, 1)[:, None]
+                p = np.exp(SHARPNESS * (mean - mean.max(axis=1, keepdims=True)))
+                top = mean.argmax(axis=1)
+                score = np.where(n > 0, p[np.arange(len(n)), top] / p.sum(axis=1), 0.0)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([langs[i] if k else "und" for i, k in zip(top, n, strict=True)], pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
+
+    numbered = given.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    rows = cut(numbered.mapInArrow(known, "row long, doc_id long, n long, sums array<double>, rest array<struct<item:string,n:long>>"), "langid-known")
+    rest = rows.select("row", F.explode("rest").alias("r")).select("row", "r.item", "r.n")
+    found = rest.select("item").distinct().join(model["table"], "item", "left")
+    scored = cut(found.select("item", "scores").mapInArrow(looked_up, "item string, scores array<float>"), "langid-scores")
+    more = rest.join(scored, "item").groupBy("row").agg(*[F.sum(F.col("n") * F.col("scores")[i].cast("double")).alias(f"s{i}") for i in range(wide)])
+    whole = rows.join(cut(more, "langid-more"), "row", "left")
+    totals = whole.select("doc_id", "n", *[(F.col("sums")[i] + F.coalesce(f"s{i}", F.lit(0.0))).alias(f"t{i}") for i in range(wide)])
+    return totals.mapInArrow(best, "doc_id long, lang_pred string, score double")
 
 
 def held_out(id_col: str = "doc_id") -> Column:

@@ -284,3 +284,12 @@ def test_exact_dedup_keeps_each_text_of_an_id(spark):
     assert sorted(map(tuple, got)) == [(7, "a  b"), (7, "c d"), (7, "e "), (7, "f"), (8, "g")]
     alone = exact_dedup.keep_first_copies(spark.createDataFrame([r for r in rows if r[0] is None], "doc_id long, text string")).collect()
     assert sorted(r.text for r in alone) == ["a  b", "c d", "e ", "f"]
+
+
+def test_language_scores_words_below_the_cut(spark):
+    """However few words are broadcast, known words are scored by their log frequency."""
+    rows = [(i, f"the cat and the dog w{'abcdefgh'[i % 8]}q {prose(i, 30)}", "en") for i in range(20)] + [(i, f"der hund und die katze {prose(i, 30)}", "de") for i in range(20, 40)]
+    train = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    asked = spark.createDataFrame([(1, "the dog waq"), (2, "die hunde zzz"), (3, None), (None, "katze katze cat")], "doc_id long, text string")
+    few, all_ = ({r.doc_id: (r.lang_pred, round(r.score, 5)) for r in language_id.predict(asked, language_id.train(train, max_words=n)).collect()} for n in (2, 10**6))
+    assert few == all_ and len(few) == 4
