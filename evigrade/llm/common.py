@@ -1,4 +1,4 @@
-"""Helpers shared by the training-data operators: input shaping and hashes."""
+"""Helpers shared by the training-data operators: input shaping, hashes, and rows that go."""
 
 from __future__ import annotations
 
@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: The ASCII white space of every contract here: space, tab, LF, VT, FF, CR.
 ASCII_SPACE = " \t\n\x0b\x0c\r"
+#: Names of rows up to this number are broadcast, more of them are joined by a shuffle.
+BROADCAST_ROWS = 500_000
 
 
 def id_and_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -31,6 +33,30 @@ def id_and_bytes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return bounded_batches(df).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"))
 
 
+def without(docs: DataFrame, id_col: str, mark: Column, dropped: DataFrame, repeated: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """docs without the rows named in ``dropped`` and with one row of each name in ``repeated``; all columns stay.
+
+    A row's name is its id and ``mark``, a hash of its text. The two tables have the columns doc_id and mark; up to ``most``
+    rows of them are broadcast, so that texts stay where they lie, and beyond that the rows are shuffled once. Of rows with
+    one name that is repeated the greatest as JSON stays: they differ in other columns only.
+    """
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    named_rows = docs.select(row, F.col(f"`{id_col}`").alias("id"), mark.alias("mark"))
+
+    def named(table: DataFrame) -> DataFrame:
+        few = table.count() <= most
+        table = table.select(F.col("doc_id").alias("k_id"), F.col("mark").alias("k_mark"))
+        return F.broadcast(table) if few else table
+
+    same = F.col("id").eqNullSafe(F.col("k_id")) & (F.col("mark") == F.col("k_mark"))
+    left = named_rows.join(named(dropped), same, "left_anti")
+    if not repeated.isEmpty():
+        again = named(repeated)
+        folded = left.join(again, same, "left_semi").groupBy("id", "mark").agg(F.max_by("row", F.to_json("row")).alias("row"))
+        left = left.join(again, same, "left_anti").select("row").unionByName(folded.select("row"))
+    return left.select("row.*")
+
+
 def crc_mod(id_col: str | Column, n: int) -> Column:
     """crc32 of the id as decimal text, modulo n; a null id gives null."""
     return F.crc32((F.col(id_col) if isinstance(id_col, str) else id_col).cast("string").cast("binary")) % n

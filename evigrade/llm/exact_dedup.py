@@ -1,13 +1,16 @@
 """Exact de-duplication by progressive refinement: length, then a prefix hash, then a full hash.
 
-A row can only have a copy if another row has its normalised length; of those, only if one has its length and prefix
-hash too; only rows that survive both steps have their whole content hashed and grouped. Texts never leave the task that
-read them: what is shuffled is a length, a prefix hash, a digest and an id. Groups are never collected, each step is a
-count or a maximum with map-side combine, so a group holding a third of all rows costs about one row a task.
-
-Defined results: a null text is empty, and all empty texts are equal; a null id sorts after every other id; repeated rows
-(same id and same text) fold into one output row, but each counts in ``group_size``; rows that share an id but not a text
-are separate documents; an empty table gives no rows; extra columns are ignored.
+A row can only have a copy if another row has its normalised length; only rows of a length that repeats have their prefix
+hashed, and only rows of a length and prefix hash that repeat have their whole content hashed and grouped. Each step is a
+pass over the texts where they lie; what is shuffled is a length, a prefix hash or a digest with an id. Which rows survive a
+step comes back as at most ``slots`` slots, a broadcast that is bounded whatever the data: a slot shared by chance costs the
+hashing of one more text and changes nothing. Groups are never collected, each step is a count or a maximum with map-side
+combine, so a group holding a third of all rows costs about one row a task.
+
+Defined results: a null text is empty, and all empty texts are equal; a null id sorts after every other id; of rows with one
+id and as many code points the one with the smallest hash of its text stays; repeated rows (same id and same text) are rows
+of their own, of which one is kept; rows that share an id but not a text are separate documents; an empty table gives no
+rows; extra columns are ignored, and where rows are kept they stay and may have any name.
 """
 
 from __future__ import annotations
@@ -19,11 +22,11 @@ from pyspark.sql import functions as F
 
 from evigrade.sources.staging import cut, table
 
-from .common import ASCII_SPACE, id_and_text
+from .common import ASCII_SPACE, id_and_text, without
 
 #: Code points of the normalised text that the second step hashes.
 PREFIX_CHARS = 64
-#: Slots of the survivors' filter; it bounds what is broadcast, whatever the size of the data.
+#: Slots of the survivors' filters; it bounds what is broadcast, whatever the size of the data.
 SLOTS = 1 << 18
 
 
@@ -32,48 +35,61 @@ def normalised(text: Column) -> Column:
     return reduce(lambda c, ch: F.replace(c, F.lit(ch), F.lit("")), ASCII_SPACE, text)
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = PREFIX_CHARS, slots: int = SLOTS, digest_all: bool = False) -> DataFrame:
-    """One row per document: doc_id, keep_id, group_size, kept, n_rows, text_sha256. Longest original text stays, then smallest id.
+def _surviving(rows: DataFrame, keys: list[str], slots: int) -> DataFrame:
+    """rows with the slot of their keys in ``slots`` slots, where some combination of keys of that slot repeats."""
+    slot = F.pmod(F.xxhash64(*keys), F.lit(slots)).alias("slot")
+    repeat = cut(rows.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").select(slot).distinct(), "dedup-slots")
+    return rows.withColumn("slot", slot).join(F.broadcast(repeat.withColumn("hit", F.lit(True))), "slot", "left").drop("slot")
 
-    Step 3 has to know which rows survived without moving their texts, so the survivors' (length, prefix) pairs are
-    folded into ``slots`` slots, a table of at most that many rows, and broadcast. A slot shared by chance costs the
-    hashing of one more text and changes nothing: rows are grouped by the full hash.
-    text_sha256 is null where the full hash was never needed; digest_all fills it for every row.
-    n_rows is how many input rows the output row stands for.
+
+def refined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = PREFIX_CHARS, slots: int = SLOTS, digest_all: bool = False) -> DataFrame:
+    """doc_id, mark (a hash of the original text), chars and full, the digest of the normalised text, of every row.
+
+    full is null where the full hash was never needed; digest_all fills it for every row.
     """
     base = id_and_text(docs, id_col, text_col)
-    norm = base.select("doc_id", F.length("text").alias("chars"), normalised(F.col("text")).alias("norm"))
-    pair = norm.select("doc_id", "chars", F.length("norm").alias("norm_chars"), F.xxhash64(F.substring("norm", 1, prefix_chars)).alias("prefix"), "norm")
-    slot = F.pmod(F.xxhash64("norm_chars", "prefix"), F.lit(slots))
-    # Step 1: lengths that repeat. Step 2: (length, prefix) pairs that repeat among them.
-    counts = cut(pair.groupBy("norm_chars", "prefix").count(), "dedup-pairs")
-    lengths = counts.groupBy("norm_chars").agg(F.sum("count").alias("n")).where("n > 1").select("norm_chars")
-    survivors = counts.join(lengths, "norm_chars", "left_semi").where("count > 1").select(slot.alias("slot")).distinct()
-    # Step 3: the full hash, for rows in a surviving slot.
-    marked = pair.select("doc_id", "chars", "norm", slot.alias("slot")).join(F.broadcast(survivors.withColumn("hit", F.lit(True))), "slot", "left")
+    norm = base.select("doc_id", F.xxhash64("text").alias("mark"), F.length("text").alias("chars"), normalised(F.col("text")).alias("norm")).withColumn("size", F.octet_length("norm"))
+    first = _surviving(norm, ["size"], slots).withColumnRenamed("hit", "again")
+    prefix = F.when(F.col("again"), F.xxhash64(F.substring("norm", 1, prefix_chars))).alias("prefix")
+    rows = first.select("doc_id", "mark", "chars", "norm", "size", "again", prefix)
+    both = F.pmod(F.xxhash64("size", "prefix"), F.lit(slots)).alias("slot")
+    pairs = rows.where("again").groupBy("size", "prefix").agg(F.count("*").alias("n")).where("n > 1").select(both).distinct()
+    second = rows.withColumn("slot", both).join(F.broadcast(cut(pairs, "dedup-pairs").withColumn("hit", F.lit(True))), "slot", "left")
     full = F.unhex(F.sha2("norm", 256))
-    rows = cut(marked.select("doc_id", "chars", F.col("hit").isNotNull().alias("hit"), (full if digest_all else F.when(F.col("hit"), full)).alias("full")), "dedup-rows")
-    alone = rows.where("not hit").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.lit(1).cast("long").alias("n_rows"), "full")
-    folded = cut(rows.where("hit").groupBy("full", "doc_id").agg(F.max("chars").alias("chars"), F.count("*").alias("n_rows")), "dedup-folded")
-    order = F.struct(F.col("chars"), F.col("doc_id").isNotNull(), F.bitwise_not("doc_id").alias("rev"))
-    groups = folded.groupBy("full").agg(F.max(order).alias("best"), F.sum("n_rows").alias("group_size"))
+    return cut(second.select("doc_id", "mark", "chars", (full if digest_all else F.when(F.col("again") & F.col("hit"), full)).alias("full")), "dedup-rows")
+
+
+def _order() -> Column:
+    return F.struct(F.col("chars"), F.col("doc_id").isNotNull().alias("has_id"), F.bitwise_not("doc_id").alias("rev"), F.bitwise_not("mark").alias("rev_mark"))
+
+
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = PREFIX_CHARS, slots: int = SLOTS, digest_all: bool = False) -> DataFrame:
+    """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256. Longest original text stays, then smallest id.
+
+    text_sha256 is null where the full hash was never needed; digest_all fills it for every row.
+    """
+    rows = refined(docs, id_col, text_col, prefix_chars, slots, digest_all)
+    one = F.lit(1).cast("long")
+    alone = rows.where("full IS NULL").select("doc_id", F.col("doc_id").alias("keep_id"), one.alias("group_size"), F.lit(True).alias("kept"), "full")
+    folded = cut(rows.where("full IS NOT NULL").groupBy("full", "doc_id", "chars", "mark").agg(F.count("*").alias("n_rows")), "dedup-folded")
     # Staged, so that both sides of the join are plain exchanges and a hot group's partition can be split.
-    groups = cut(groups.select("full", F.bitwise_not("best.rev").alias("keep_id"), "group_size"), "dedup-groups")
-    grouped = folded.join(groups, "full").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "n_rows", "full")
-    return alone.unionByName(grouped).withColumn("text_sha256", F.lower(F.hex("full"))).drop("full")
+    groups = cut(folded.groupBy("full").agg(F.max(_order()).alias("best"), F.sum("n_rows").alias("group_size")), "dedup-groups")
+    best = _order() == F.col("best")
+    of_row = F.explode(F.transform(F.sequence(one, F.col("n_rows")), lambda i: (i == 1))).alias("is_first")
+    grouped = folded.join(groups, "full").select("doc_id", F.bitwise_not("best.rev").alias("keep_id"), "group_size", F.coalesce(best, F.lit(False)).alias("is_best"), "full", of_row)
+    whole = alone.unionByName(grouped.select("doc_id", "keep_id", "group_size", (F.col("is_best") & F.col("is_first")).alias("kept"), "full"))
+    return whole.withColumn("text_sha256", F.lower(F.hex("full"))).drop("full")
 
 
 def keep_first_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows that exact_dedup drops; all columns stay, and of rows with one id and one normalised text the longest stays."""
-    found = cut(exact_dedup(docs, id_col, text_col, digest_all=True).where("kept").select("doc_id", "text_sha256", "n_rows"), "dedup-kept")
-    keys = [F.col("k.doc_id").eqNullSafe(F.col("d.`" + id_col + "`").cast("long")), F.col("k.text_sha256") == F.sha2(normalised(F.coalesce(F.col("d.`" + text_col + "`"), F.lit(""))), 256)]
-    stays = docs.alias("d").join(found.alias("k"), keys)
-    names = [F.col(f"d.`{c}`") for c in docs.columns]
-    once = stays.where("k.n_rows = 1").select(*names)
-    whole = F.struct(*names)
-    longest = F.struct(F.length(F.col(f"d.`{text_col}`")), F.to_json(whole))
-    again = stays.where("k.n_rows > 1").groupBy("k.doc_id", "k.text_sha256").agg(F.max_by(whole, longest).alias("row"))
-    return once.unionByName(again.select("row.*"))
+    """docs without the rows that exact_dedup doesn't keep; all columns stay, and texts of no group aren't hashed in full."""
+    rows = refined(docs, id_col, text_col)
+    groups = rows.where("full IS NOT NULL").groupBy("full").agg(F.max(_order()).alias("best"), F.count("*").alias("n")).where("n > 1")
+    grouped = rows.join(cut(groups.select("full", "best"), "dedup-groups"), "full")
+    stays = F.coalesce(_order() == F.col("best"), F.lit(False))
+    dropped = cut(grouped.where(~stays).select("doc_id", "mark").distinct(), "dedup-dropped")
+    repeated = cut(grouped.where(stays).groupBy("doc_id", "mark").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", "mark"), "dedup-repeated")
+    return without(docs, id_col, F.xxhash64(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))), dropped, repeated)
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,6 +100,6 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP10_SQL = r"""
 WITH t AS (SELECT doc_id, length(coalesce(text, '')) AS chars, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents)
 SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size,
-       doc_id = first_value(doc_id) OVER w AS kept, sha256(norm) AS text_sha256
+       row_number() OVER w = 1 AS kept, sha256(norm) AS text_sha256
 FROM t WINDOW w AS (PARTITION BY norm ORDER BY chars DESC, doc_id)
 """

@@ -1,27 +1,28 @@
-"""Near-duplicates by similarity: SimHash candidates from the positional-byte index, verified on word shingles.
+"""Near-duplicates by similarity: groups of the SimHash operator, verified on word shingles, and what SimHash can't reach.
 
 The contract of two differing bits is for copies that hardly differ. A pipeline wants texts of a stated similarity, the
-Jaccard index of their sets of five-word shingles. Their fingerprints here are 64 positional bytes over the set of word
-pairs; texts at a similarity of 0.8 differ in about a tenth of the bits, so that around 29 of the 64 bytes are equal,
-while unrelated texts share one at most. The inverted index has 32 postings a text, each keyed by three positional bytes.
-Pairs that meet have their shared positional bytes tallied, pairs below ``LEAST_BYTES`` go, and the rest are verified on
-their shingles. That is likely to find scattered changes of words, but guarantees nothing: block edits, added passages
-and short texts often share no posting.
-
-What guarantees every link is a second kind of posting, keyed by single shingles. All sets are put into one order, rare
-shingles first. Of m shingles a text stands at the first m - ceil(similarity * m) + 1: two texts that share none of those
-cannot be similar enough. Any order that is the same for all texts is right; that of ``ORDER_SLOTS`` counts of the whole
-corpus only makes the postings short. Pairs met there are verified without the tally.
-
-A posting longer than ``max_posting`` isn't paired, as its pairs grow with the square of a group of copies. Each of its
-members is compared with ``LEADERS`` leaders instead, chosen by hashes of the member alone, so that a group that fills
-many postings has few leaders. Every comparison is verified like any other. Members that then stand outside the posting's
-commonest component lead in further rounds, each compared with all members of other components, until none is left that
-hasn't led. Of two members in different components one at least has led, so no link between components is lost; those
-within a component would add nothing.
+Jaccard index of their sets of five-word shingles, and texts at 0.8 differ in about a seventh of a fingerprint's bits: no
+positional byte is sure to be equal, so a byte index alone loses links whatever its width. The operator's own groups are
+therefore taken first, each text verified against the most central one of its group, and every link that is left is found
+by an index of shingles, with the same count filtering:
+
+1. A sketch holds the ``SKETCH`` smallest shingle hashes of a text. Texts that are similar enough share ``least_shared`` of
+   them but for a chance of ``MISS``. Texts that share fewer with all others together have no partner, and are done.
+2. The candidates' shingles are counted exactly and put into one order, rare ones first. Of m shingles a text stands at the
+   first m - ceil(similarity * m) + 1; two texts that share none of those cannot be similar enough. Shingles that nobody
+   else has need no posting, and a text with too many of them has no partner either.
+3. Members of a posting are compared with its most central member first, that with the fewest rarer shingles. Those that
+   are then outside its component are compared with the members of other components, as far as the bound holds: neither
+   text has what stands before the posting's shingle in the other's order, so those shingles are lost to what they share.
+   Leaders go on in rounds until every such member has led: of two members in different components one at least has led,
+   so no link between components is lost, and those within one would add nothing.
+
+Nothing here is a group in one task: postings are rows, leaders are minima. Words and shingles are told apart by 64-bit
+hashes, as are texts: by chance two of n texts are taken for one n * n / 2**65 times.
 
 Defined results: texts with equal sequences of lower-cased words are one node, so copies cost nothing; null and wordless
-texts are one node together; a null id is a row like any other; an empty table gives no rows.
+texts are one node together; a null id is a row like any other; repeated rows fold into one where one of each group stays;
+an empty table gives no rows; extra columns stay and may have any name.
 """
 
 from __future__ import annotations
@@ -37,36 +38,24 @@ from pyspark.sql import functions as F
 from evigrade.operators.components import connected_components
 from evigrade.sources.staging import cut
 
-from .common import id_and_bytes
-from .simhash_dedup import BLOCK, HASH_SEED, MAX_POSTING, bit_counts
+from .common import bounded_batches, without
+from .simhash_dedup import BLOCK, HASH_SEED, MAX_POSTING, bit_counts, links
 
 SHINGLE, SIMILARITY = 5, 0.8
-BYTES, LEAST_BYTES = 64, 12
-#: Triples of positions that key the postings: 21 of neighbours, and 11 across.
-TRIPLES = tuple((3 * j, 3 * j + 1, 3 * j + 2) for j in range(21)) + tuple((b, b + 21, b + 42) for b in range(11))
-#: Members of a long posting that all its others are compared with at first; each further round has WIDER times as many.
-LEADERS, WIDER = 4, 8
-#: Slots of the filter that tells which texts have a partner at all; it bounds what is broadcast.
-SLOTS = 1 << 20
-#: Slots that count shingles; they only order them, and bound what is broadcast.
-ORDER_SLOTS = 1 << 20
-#: The kind of the postings keyed by a shingle, where others have the number of their triple.
-BY_SHINGLE = -1
-
-
-def _wide(pairs: list[bytes]) -> bytes:
-    """A 512-bit SimHash of a set of features."""
-    import xxhash
+#: Smallest shingle hashes in a sketch, and the chance of a link to share fewer than ``least_shared`` of them.
+SKETCH, MISS = 32, 1e-11
+#: Leaders of a posting in the second round; each further round has WIDER times as many.
+LEADERS, WIDER = 64, 16
+#: Candidate texts up to this number are found by a broadcast of their hashes, more of them by a shuffle join.
+BROADCAST_ROWS = 500_000
 
-    ones, n, digest = np.zeros(8 * BYTES, np.int64), len(pairs), xxhash.xxh64_intdigest
-    for at in range(0, n, BLOCK):
-        h = np.array([digest(p, HASH_SEED) for p in pairs[at : at + BLOCK]], np.uint64)[:, None] ^ (np.arange(1, 9, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        h *= np.uint64(0xBF58476D1CE4E5B9)
-        h ^= h >> np.uint64(31)
-        h *= np.uint64(0x94D049BB133111EB)
-        h ^= h >> np.uint64(32)
-        ones += bit_counts(h.view(np.uint8))
-    return np.packbits(2 * ones > n).tobytes()
+
+def least_shared(similarity: float, sketch: int = SKETCH, miss: float = MISS) -> int:
+    """How many of ``sketch`` shingles, drawn from those of both texts, are shared but for a chance of ``miss``."""
+    chance, k = 0.0, 0
+    while k <= sketch and (chance := chance + math.comb(sketch, k) * similarity**k * (1 - similarity) ** (sketch - k)) <= miss:
+        k += 1
+    return max(1, k)
 
 
 def _node(words: list[bytes]) -> int:
@@ -90,205 +79,200 @@ def shingle_hashes(words: list[bytes], k: int) -> np.ndarray:
     return np.unique(h)
 
 
-def _sketched(k: int):
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """Signed 64-bit SimHash of a set of shingles."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), BLOCK):
+        ones += bit_counts(hashes[at : at + BLOCK].astype(">u8").view(np.uint8).reshape(-1, 8))
+    return int(np.packbits(2 * ones > len(hashes)).view(">i8")[0])
+
+
+def _lists(each: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, each)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(each) if each else np.zeros(0), pa.int64()))
+
+
+def _sketched(k: int, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for t in b.column(1):
+            nodes, sizes, heads = [], [], []
+            for t in b.column(2):
                 words = t.as_py().lower().split()
-                pairs = list({x + b" " + y for x, y in zip(words, words[1:], strict=False)} or set(words))
-                out.append((_node(words), len(shingle_hashes(words, k)), _wide(pairs)))
-            node, n, fp = zip(*out, strict=True) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(node, pa.int64()), pa.array(n, pa.int32()), pa.array(fp, pa.binary())], ["doc_id", "node", "n", "fp"])
+                h = shingle_hashes(words, k)
+                nodes.append(_node(words))
+                sizes.append(len(h))
+                heads.append(h[:size].view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), _lists(heads)], ["doc_id", "mark", "node", "m", "sketch"])
 
     return run
 
 
-def _shingled(taken: np.ndarray, k: int):
+def _shingled(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            nodes, sets = [], []
+            nodes, prints, sets = [], [], []
             for t in b.column(0):
                 words = t.as_py().lower().split()
-                node = _node(words)
-                if taken[node % SLOTS]:
-                    nodes.append(node)
-                    sets.append(np.unique(shingle_hashes(words, k).astype(np.uint32)).view(np.int32))
-            if nodes:
-                ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))], ["node", "shingles"])
+                h = shingle_hashes(words, k)
+                nodes.append(_node(words))
+                prints.append(fingerprint_of(h))
+                sets.append(h.view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(prints, pa.int64()), _lists(sets)], ["node", "fp", "shingles"])
 
     return run
 
 
-def _counted(k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(ORDER_SLOTS, np.int64)
-        for b in batches:
-            for t in b.column(0):
-                np.add.at(counts, (shingle_hashes(t.as_py().lower().split(), k) % np.uint64(ORDER_SLOTS)).astype(np.int64), 1)
-        yield pa.RecordBatch.from_arrays([pa.array([np.minimum(counts, 2**31 - 1).astype(np.int32).tobytes()], pa.binary())], ["counts"])
+def mark_of(text_col: str) -> Column:
+    """Hash of an original text; with the id it names a row, and costs a scan of the text only."""
+    return F.xxhash64(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))
 
-    return run
 
+def sketches(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+    """doc_id, mark, node, m (distinct shingles) and sketch of every row."""
+    kind = dict(docs.dtypes)[id_col]
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).cast("binary")
+    rows = bounded_batches(docs).select(F.col(f"`{id_col}`").alias("doc_id"), mark_of(text_col).alias("mark"), text.alias("text"))
+    return cut(rows.mapInArrow(_sketched(words, SKETCH), f"doc_id {kind}, mark long, node long, m int, sketch array<long>"), "near-rows")
 
-def shingle_order(text: DataFrame, words: int) -> np.ndarray:
-    """How often the shingles of each of the ORDER_SLOTS slots occur; tasks add up their counts as a tree."""
 
-    def add(a: np.ndarray | None, b: np.ndarray | None) -> np.ndarray | None:
-        return b if a is None else a if b is None else np.minimum(a.astype(np.int64) + b, 2**31 - 1).astype(np.int32)
+def candidate_nodes(rows: DataFrame, similarity: float) -> DataFrame:
+    """node and mark (of one of its texts) of the nodes that share enough of their sketch with others to have a partner."""
+    nodes = cut(rows.groupBy("node").agg(F.first("m").alias("m"), F.min("mark").alias("mark"), F.first("sketch").alias("sketch")), "near-nodes")
+    heads = nodes.select("node", F.explode("sketch").alias("shingle"))
+    shared = cut(heads.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1").select("shingle"), "near-shared")
+    met = heads.join(shared, "shingle", "left_semi").groupBy("node").agg(F.count("*").alias("shared"))
+    enough = F.least(F.lit(least_shared(similarity)), F.ceil(F.col("m") * similarity - 1e-9))
+    return cut(met.join(nodes.select("node", "m", "mark"), "node").where(F.col("shared") >= enough).select("node", "mark"), "near-candidates")
 
-    counts = text.mapInArrow(_counted(words), "counts binary").rdd.map(lambda r: np.frombuffer(r.counts, np.int32))
-    found = counts.treeAggregate(None, add, add, depth=3)
-    return np.zeros(ORDER_SLOTS, np.int32) if found is None else found
 
+def candidate_sets(docs: DataFrame, text_col: str, candidates: DataFrame, words: int) -> DataFrame:
+    """node, fp and shingles of the candidates; only their texts are read by Python."""
+    marks = candidates.select("mark").distinct()
+    marks = F.broadcast(marks) if candidates.count() <= BROADCAST_ROWS else marks
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).cast("binary")
+    texts = bounded_batches(docs).select(mark_of(text_col).alias("mark"), text.alias("text")).join(marks, "mark", "left_semi").select("text")
+    return cut(texts.mapInArrow(_shingled(words), "node long, fp long, shingles array<long>").dropDuplicates(["node"]), "near-sets")
 
-def _prefixed(order, k: int, similarity: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = order.value
-        for b in batches:
-            nodes, sizes, heads = [], [], []
-            for t in b.column(0):
-                words = t.as_py().lower().split()
-                h = shingle_hashes(words, k)
-                m = len(h)
-                keep = m - math.ceil(similarity * m - 1e-9) + 1
-                nodes.append(_node(words))
-                sizes.append(m)
-                heads.append(h[np.argsort(counts[(h % np.uint64(ORDER_SLOTS)).astype(np.int64)], kind="stable")[:keep]].view(np.int64))
-            if nodes:
-                each = [len(x) for x in heads]
-                at = np.concatenate([np.arange(x, dtype=np.int32) for x in each])
-                columns = [np.repeat(np.array(nodes, np.int64), each), np.repeat(np.array(sizes, np.int32), each), at, np.concatenate(heads)]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["node", "n", "at", "shingle"])
 
-    return run
+def rare_first(sets: DataFrame, similarity: float) -> DataFrame:
+    """node, m, u, shared and n_heads: u shingles are the node's own; shared are the others, rare ones first, of which n_heads have postings."""
+    each = sets.select("node", F.size("shingles").alias("m"), F.explode("shingles").alias("shingle"))
+    counts = cut(each.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1"), "near-counts")
+    met = each.join(counts, "shingle").groupBy("node", "m").agg(F.array_sort(F.collect_list(F.struct("n", "shingle"))).alias("by"))
+    m, u = F.col("m"), F.col("m") - F.size("by")
+    prefix = m - F.ceil(m * similarity - 1e-9) + 1
+    known = met.select("node", "m", u.alias("u"), F.transform("by", lambda x: x["shingle"]).alias("shared"), (prefix - u).cast("int").alias("n_heads"))
+    return cut(known.where("n_heads > 0"), "near-known")
 
 
-def shingle_postings(text: DataFrame, similarity: float, words: int) -> DataFrame:
-    """s, v, node, size, n, at of the postings keyed by a shingle that more than one node shares.
+def can_reach(a: dict[str, Column], b: dict[str, Column], similarity: float) -> Column:
+    """Whether two texts with m shingles, of which at stand before the one that they meet in, can be similar enough."""
+    most = F.least(a["m"] - a["at"], b["m"] - b["at"])
+    return most * (1 + similarity) >= (a["m"] + b["m"]) * similarity - 1e-6
 
-    n is how many shingles the node has, at the place of this one in their order.
-    """
-    order = text.sparkSession.sparkContext.broadcast(shingle_order(text, words))
-    heads = cut(text.mapInArrow(_prefixed(order, words, similarity), "node long, n int, at int, shingle long"), "near-heads")
-    shared = heads.groupBy("shingle").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("shingle")
-    met = cut(heads.join(cut(shared, "near-shared"), "shingle", "left_semi"), "near-met").dropDuplicates(["shingle", "node"])
-    met = cut(met, "near-heads-once")
-    sizes = cut(met.groupBy("shingle").agg(F.count("*").alias("size")), "near-head-sizes")
-    key = F.unhex(F.lpad(F.hex("shingle"), 16, "0"))
-    return met.join(sizes, "shingle").select(F.lit(BY_SHINGLE).alias("s"), key.alias("v"), "node", "size", "n", "at")
-
-
-def shared_positions(a: Column, b: Column) -> Column:
-    """How many positional bytes two fingerprints have in common."""
-    return F.size(F.filter(F.sequence(F.lit(1), F.lit(BYTES)), lambda i: F.substring(a, i, F.lit(1)) == F.substring(b, i, F.lit(1))))
-
-
-def slots_of(nodes: DataFrame) -> np.ndarray:
-    """Which of the SLOTS slots the nodes fall into; what reaches the driver is SLOTS bits, however many nodes there are."""
-    place = F.pmod("node", F.lit(SLOTS)) + 1
-    maps = nodes.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).collect()
-    taken = np.zeros(SLOTS, bool)
-    for r in maps:
-        bits = np.unpackbits(np.frombuffer(r.bits, np.uint8), bitorder="little")
-        at = (r.bucket - 1) * len(bits)
-        taken[at : at + len(bits)] = bits[: SLOTS - at]
-    return taken
-
-
-def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, similarity: float, words: int) -> DataFrame:
-    """Of the pairs (a, b, sure), those that are sure or whose tally reaches the minimum, and whose shingles are similar enough."""
-    about = nodes.select("node", "n", "fp")
-    left = pairs.join(about.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("fp").alias("fa")), "a")
-    both = left.join(about.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("fp").alias("fb")), "b")
-    even = F.least("na", "nb") >= F.greatest("na", "nb") * similarity - 1e-9  # n counts distinct shingles, so no link is lost
-    likely = cut(both.where(even).where(F.col("sure") | (shared_positions(F.col("fa"), F.col("fb")) >= LEAST_BYTES)).select("a", "b"), "near-likely")
-    ends = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    taken = slots_of(ends)
-    text = id_and_bytes(docs, docs.columns[0], "text").select("text")
-    sets = text.mapInArrow(_shingled(taken, words), "node long, shingles array<int>").join(ends, "node", "left_semi").dropDuplicates(["node"])
-    sets = cut(sets, "near-shingles")
-    full = likely.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
+
+def verified(pairs: DataFrame, known: DataFrame, similarity: float) -> DataFrame:
+    """Of the pairs (a, b) those whose shingles are similar enough. What is shared by both is in what each shares with any."""
+    side = lambda x: known.select(F.col("node").alias(x), F.col("m").alias(f"m{x}"), F.col("shared").alias(f"s{x}"))
+    full = pairs.join(side("a"), "a").join(side("b"), "b")
     common = F.size(F.array_intersect("sa", "sb"))
-    return cut(full.where(common >= (F.size("sa") + F.size("sb") - common) * similarity).select("a", "b"), "near-links")
+    return cut(full.where(common >= (F.col("ma") + F.col("mb") - common) * similarity - 1e-9).select("a", "b"), "near-links")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, words: int = SHINGLE, max_posting: int = MAX_POSTING) -> DataFrame:
-    """One row per row of docs: doc_id and component, the same for texts that links of at least ``similarity`` connect."""
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    rows = cut(id_and_bytes(docs).mapInArrow(_sketched(words), "doc_id long, node long, n int, fp binary"), "near-rows")
-    nodes = cut(rows.groupBy("node").agg(F.first("n").alias("n"), F.first("fp").alias("fp")), "near-nodes")
-    posting = [F.struct(F.lit(j).alias("s"), F.concat(*[F.substring("fp", p + 1, 1) for p in t]).alias("v")) for j, t in enumerate(TRIPLES)]
-    index = nodes.select("node", F.explode(F.array(*posting)).alias("p")).select("p.s", "p.v", "node")
-    sizes = cut(index.groupBy("s", "v").agg(F.count("*").alias("size")).where("size > 1"), "near-sizes")
-    index = cut(index.join(sizes, ["s", "v"]), "near-index")
-    by_shingle = cut(shingle_postings(id_and_bytes(docs).select("text"), similarity, words), "near-by-shingle")
-    whole = index.unionByName(by_shingle.select("s", "v", "node", "size"))
-    long = cut(whole.where(F.col("size") > max_posting).drop("size"), "near-long")
-    first = F.array(*[F.min_by("node", F.xxhash64("node", F.lit(salt))) for salt in range(LEADERS)])
-    led = cut(long.groupBy("s", "v").agg(first.alias("a")).select("s", "v", F.explode(F.array_distinct("a")).alias("a")), "near-led")
-    met = long.join(led, ["s", "v"]).where("node <> a").select(*_pair())
-    short = _paired(index.where(F.col("size") <= max_posting)).unionByName(_paired_by_shingle(by_shingle.where(F.col("size") <= max_posting), similarity))
-    links = verified(cut(_once(short.unionByName(met)), "near-pairs"), nodes, docs, similarity, words)
-    roots = _rooted(links)
-    if not led.isEmpty():
-        roots = _settled(long, led, roots, nodes, docs, similarity, words)
-    return rows.select("doc_id", "node").join(roots, "node", "left").select("doc_id", F.coalesce("component", "node").alias("component"))
+def _pair(x: str, y: str) -> list[Column]:
+    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
-def _pair() -> list[Column]:
-    return [F.least("node", "a").alias("a"), F.greatest("node", "a").alias("b"), (F.col("s") == BY_SHINGLE).alias("sure")]
+def simhash_pairs(sets: DataFrame, known: DataFrame, max_posting: int) -> DataFrame:
+    """Pairs of a node and the most central node of its group of fingerprints, as the SimHash operator links them."""
+    fps = sets.select("node", "fp").join(known.select("node", "u"), "node")
+    fps = cut(fps, "near-fp")
+    roots = connected_components(links(fps.select("fp").distinct(), max_posting)).withColumnRenamed("node", "fp")
+    rooted = cut(fps.join(roots, "fp", "left").select("node", "u", F.coalesce("root", "fp").alias("root")), "near-rooted")
+    central = cut(rooted.groupBy("root").agg(F.min(F.struct("u", "node")).alias("c"), F.count("*").alias("n")).where("n > 1").select("root", F.col("c.node").alias("lead")), "near-central")
+    return rooted.join(central, "root").where("node <> lead").select(*_pair("node", "lead"))
 
 
-def _once(pairs: DataFrame) -> DataFrame:
-    return pairs.groupBy("a", "b").agg(F.max("sure").alias("sure"))
+def star_pairs(known: DataFrame, similarity: float) -> DataFrame:
+    """Pairs of a node and the most central member of the postings of its rarest and of its commonest head."""
+    ends = F.array_distinct(F.array(F.lit(1), F.col("n_heads")))
+    at = known.select("node", "m", "u", "shared", F.explode(ends).alias("k"))
+    posted = cut(at.select("node", "m", (F.col("u") + F.col("k") - 1).alias("at"), F.element_at("shared", F.col("k")).alias("shingle")), "near-ends")
+    lead = posted.groupBy("shingle").agg(F.min(F.struct("at", "m", "node")).alias("l"), F.count("*").alias("n")).where("n > 1").select("shingle", "l.*")
+    lead = cut(lead.select("shingle", F.col("node").alias("lead"), F.col("m").alias("lm"), F.col("at").alias("lat")), "near-leads")
+    own, its = {"m": F.col("m"), "at": F.col("at")}, {"m": F.col("lm"), "at": F.col("lat")}
+    return posted.join(lead, "shingle").where(F.col("node") != F.col("lead")).where(can_reach(own, its, similarity)).select(*_pair("node", "lead"))
 
 
-def _rooted(links: DataFrame) -> DataFrame:
-    return cut(connected_components(links).select("node", F.col("root").alias("component")), "near-roots")
+def components_of(found: DataFrame) -> DataFrame:
+    return cut(connected_components(found).select("node", F.col("root").alias("component")), "near-roots")
 
 
-def _settled(long: DataFrame, led: DataFrame, roots: DataFrame, nodes: DataFrame, docs: DataFrame, similarity: float, words: int) -> DataFrame:
-    """roots, after every member of a long posting outside its commonest component has led there."""
-    most = LEADERS
+def settled(known: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """roots, after every member of a posting outside its central member's component has led there, as far as the bound holds."""
+    most, led = LEADERS, None
     while True:
-        placed = cut(long.join(roots, "node", "left").select("s", "v", "node", F.coalesce("component", "node").alias("component")), "near-placed")
-        shares = placed.groupBy("s", "v", "component").agg(F.count("*").alias("n"))
-        bulk = shares.groupBy("s", "v").agg(F.max_by("component", F.struct("n", "component")).alias("bulk"))
-        rest = placed.join(bulk, ["s", "v"]).where("component <> bulk").drop("bulk")
-        rest = cut(rest.join(led.select("s", "v", F.col("a").alias("node")), ["s", "v", "node"], "left_anti"), "near-rest")
+        placed = known.join(roots, "node", "left").select("node", "m", "u", "n_heads", "shared", F.coalesce("component", "node").alias("component"))
+        heads = placed.select("node", "m", "u", "component", F.posexplode(F.slice("shared", F.lit(1), F.col("n_heads"))).alias("pos", "shingle"))
+        posted = cut(heads.select("shingle", "node", "m", (F.col("u") + F.col("pos")).alias("at"), "component"), "near-posted")
+        central = F.min(F.struct("at", "m", "node", "component")).alias("c")
+        mixed = posted.groupBy("shingle").agg(central, F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+        mixed = cut(mixed.select("shingle", F.col("c.component").alias("bulk")), "near-mixed")
+        rest = posted.join(mixed, "shingle").where("component <> bulk").drop("bulk")
+        if led is not None:
+            rest = rest.join(led, ["shingle", "node"], "left_anti")
+        # Of a posting's many members few are of different size and place: the bound holds or fails for all of a cell.
+        cells = cut(posted.join(mixed, "shingle", "left_semi").groupBy("shingle", "m", "at").agg(F.min("component").alias("low"), F.max("component").alias("high")), "near-cells")
+        cells = cells.select("shingle", F.col("m").alias("cm"), F.col("at").alias("cat"), "low", "high")
+        own, its = {"m": F.col("m"), "at": F.col("at")}, {"m": F.col("cm"), "at": F.col("cat")}
+        other = (F.col("low") != F.col("component")) | (F.col("high") != F.col("component"))
+        rest = cut(rest.join(cells, "shingle").where(other & can_reach(own, its, similarity)).groupBy("shingle", "node").agg(F.first("m").alias("m"), F.first("at").alias("at"), F.first("component").alias("component")), "near-rest")
+        left = rest.groupBy("shingle").agg(F.count("*").alias("left"))
         if rest.isEmpty():
             return roots
-        most *= WIDER
-        left = rest.groupBy("s", "v").agg(F.count("*").alias("left"))
+        # All members lead where they are few; of more the share that makes up ``most``, by a hash of the node alone.
         lot = F.pmod(F.xxhash64("node"), F.lit(1 << 20))
-        chosen = cut(rest.join(left, ["s", "v"]).where(lot * F.col("left") < F.lit(most << 20)).select("s", "v", F.col("node").alias("a"), F.col("component").alias("of_a")), "near-chosen")
-        met = chosen.join(placed, ["s", "v"]).where("component <> of_a").select(*_pair())
-        found = verified(cut(_once(met), "near-pairs"), nodes, docs, similarity, words)
-        led = led.unionByName(chosen.select("s", "v", "a"))
+        chosen = cut(rest.join(left, "shingle").where(lot * F.col("left") < F.lit(most << 20)).select("shingle", "node", "m", "at", "component"), "near-chosen")
+        most *= WIDER
+        lead = chosen.select("shingle", F.col("node").alias("lead"), F.col("m").alias("lm"), F.col("at").alias("lat"), F.col("component").alias("of_lead"))
+        its = {"m": F.col("lm"), "at": F.col("lat")}
+        met = posted.join(lead, "shingle").where("component <> of_lead").where(can_reach(own, its, similarity))
+        found = verified(cut(met.select(*_pair("node", "lead")).distinct(), "near-pairs"), known, similarity)
+        gone = chosen.select("shingle", "node")
+        led = gone if led is None else led.unionByName(gone)
         if not found.isEmpty():
-            roots = _rooted(roots.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(found))
+            roots = components_of(roots.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(found))
 
 
-def _paired(postings: DataFrame) -> DataFrame:
-    a, b = postings.select("s", "v", F.col("node").alias("a")), postings.select("s", "v", F.col("node").alias("b"))
-    return a.join(b, ["s", "v"]).where("a < b").select("a", "b").distinct().withColumn("sure", F.lit(False))
+def node_components(rows: DataFrame, docs: DataFrame, text_col: str, similarity: float, words: int, max_posting: int) -> DataFrame:
+    """node and component of the nodes that have a link."""
+    sets = candidate_sets(docs, text_col, candidate_nodes(rows, similarity), words)
+    known = rare_first(sets, similarity)
+    pairs = simhash_pairs(sets, known, max_posting).unionByName(star_pairs(known, similarity))
+    found = verified(cut(pairs.distinct(), "near-pairs"), known, similarity)
+    return settled(known, components_of(found), similarity)
 
 
-def _paired_by_shingle(postings: DataFrame, similarity: float) -> DataFrame:
-    """Pairs of each posting; the first shingle of a pair tells how many it can share at most, and every pair has a first one."""
-    a, b = (postings.select("v", F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("at").alias(f"at{x}")) for x in "ab")
-    even = F.least("na", "nb") >= F.greatest("na", "nb") * similarity - 1e-9
-    most = F.least(F.col("na") - F.col("ata"), F.col("nb") - F.col("atb"))
-    enough = most * (1 + similarity) >= (F.col("na") + F.col("nb")) * similarity - 1e-6
-    return a.join(b, "v").where("a < b").where(even).where(enough).select("a", "b").distinct().withColumn("sure", F.lit(True))
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, words: int = SHINGLE, max_posting: int = MAX_POSTING) -> DataFrame:
+    """One row per row of docs: doc_id and component, the same for texts that links of at least ``similarity`` connect."""
+    rows = sketches(docs, id_col, text_col, words)
+    roots = node_components(rows, docs, text_col, similarity, words, max_posting)
+    return rows.select("doc_id", "node").join(roots, "node", "left").select("doc_id", F.coalesce("component", "node").alias("component"))
 
 
-def keep_one_of_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """docs with one row of each component, that with the smallest id (null ids last); all columns stay."""
-    keyed = cut(docs.withColumn("_row", F.monotonically_increasing_id()), "near-docs")
-    found = near_duplicates(keyed, "_row", text_col, similarity).select(F.col("doc_id").alias("_row"), "component")
-    order = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("_row").alias("row")))
-    stays = keyed.select("_row", id_col).join(found, "_row").groupBy("component").agg(order.alias("first")).select(F.col("first.row").alias("_row"))
-    return keyed.join(cut(stays, "near-stays"), "_row", "left_semi").select(*docs.columns)
+def keep_one_of_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, words: int = SHINGLE, max_posting: int = MAX_POSTING) -> DataFrame:
+    """docs with one row of each component, that with the smallest id (null ids last); all columns stay.
+
+    Of rows of one id in a component that with the smallest hash of its text stays; rows equal in both fold into one.
+    """
+    rows = sketches(docs, id_col, text_col, words)
+    roots = node_components(rows, docs, text_col, similarity, words, max_posting)
+    member = cut(rows.join(roots, "node", "left").select("doc_id", "mark", F.coalesce("component", "node").alias("component")), "near-members")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("mark").alias("mark"))
+    firsts = member.groupBy("component").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1")
+    firsts = cut(firsts.select("component", "first"), "near-firsts")
+    grouped = member.join(firsts, "component")
+    stays = F.col("doc_id").eqNullSafe(F.col("first.id")) & (F.col("mark") == F.col("first.mark"))
+    dropped = cut(grouped.where(~stays).select("doc_id", "mark").distinct(), "near-dropped")
+    repeated = cut(grouped.where(stays).groupBy("doc_id", "mark").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", "mark"), "near-repeated")
+    return without(docs, id_col, mark_of(text_col), dropped, repeated)

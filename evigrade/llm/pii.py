@@ -19,6 +19,7 @@ and a corpus without candidates trains nothing and adds nothing.
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,23 +62,32 @@ CONTEXT = 24
 ROUNDS, PRIOR = 60, 0.5
 
 
-MATCHES = "array<struct<s:int,e:int,m:string,before:string,after:string>>"
-
-
-def matches(text: Column, pattern: str) -> Column:
-    """MATCHES: the leftmost non-overlapping matches of pattern, in code points, end exclusive, with the context in the gaps beside them."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(MATCHES).alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        s = acc["at"] + F.length(x["g"])
-        e = s + F.length(x["m"])
-        one = F.struct(s.alias("s"), e.alias("e"), x["m"].alias("m"), F.substring(x["g"], -CONTEXT, CONTEXT).alias("before"), F.substring(x["h"], 1, 2).alias("after"))
-        return F.struct(e.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
-
-    pairs = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(found)).alias("g"), found.alias("m"), F.slice(gaps, F.lit(2), F.size(found)).alias("h"))
-    return F.aggregate(pairs, start, step, lambda acc: acc["out"])
+#: Elements that one step of a fold appends. An array grows by copying it, so the elements of so many items are gathered by
+#: themselves and the blocks flattened: the work on a text with very many matches stays in proportion to them.
+FOLD = 64
+#: Matches from the arrays f (what matched) and g (the gaps around): s and e in code points, e exclusive, and the context in the gaps beside.
+_MATCHES = """
+CASE WHEN size(f) > 0 THEN aggregate(
+  transform(sequence(0, CAST(floor((size(f) - 1) / {fold}) AS INT)),
+    i -> arrays_zip(slice(f, i * {fold} + 1, {fold}), slice(g, i * {fold} + 1, size(slice(f, i * {fold} + 1, {fold}))), slice(g, i * {fold} + 2, size(slice(f, i * {fold} + 1, {fold}))))),
+  named_struct('at', 0, 'out', CAST(array() AS array<{kind}>)),
+  (acc, part) -> named_struct(
+    'at', aggregate(part, acc.at, (at, x) -> at + length(x['0']) + length(x['1'])),
+    'out', concat(acc.out, array(aggregate(part, named_struct('at', acc.at, 'out', CAST(array() AS {kind})),
+      (a, x) -> named_struct('at', a.at + length(x['0']) + length(x['1']), 'out', concat(a.out, array(named_struct(
+        's', a.at + length(x['1']), 'e', a.at + length(x['1']) + length(x['0']), 'm', x['0'], 'before', substring(x['1'], -{context}, {context}), 'after', substring(x['2'], 1, 2))))),
+      a -> a.out)))),
+  acc -> flatten(acc.out)) ELSE CAST(array() AS {kind}) END"""
+
+
+def matches(rows: DataFrame, text: str, patterns: dict[str, tuple[str, str]]) -> DataFrame:
+    """rows with an array of the leftmost non-overlapping matches for each kind of patterns, a pattern and its hint by kind, in the column of that name."""
+    hit = {k: F.when(hinted(F.col(text), hint), F.regexp_extract_all(text, F.lit(p), F.lit(0))) for k, (p, hint) in patterns.items()}
+    found = rows.withColumns({f"f_{k}": c for k, c in hit.items()})
+    split = found.withColumns({f"g_{k}": F.when(F.size(f"f_{k}") > 0, F.split(text, p, -1)) for k, (p, _) in patterns.items()})
+    fold = _MATCHES.format(fold=FOLD, context=CONTEXT, kind="array<struct<s:int,e:int,m:string,before:string,after:string>>")
+    named = lambda k: re.sub(r"\b([fg])(?=[,)])", rf"\1_{k}", fold)
+    return split.withColumns({k: F.expr(named(k)) for k in patterns}).drop(*[f"{x}_{k}" for x in "fg" for k in patterns])
 
 
 def digits(m: Column) -> Column:
@@ -99,20 +109,19 @@ def hinted(text: Column, hint: str) -> Column:
     return F.contains(text, F.lit(hint)) if len(hint) == 1 else F.rlike(text, F.lit(hint))
 
 
-def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: doc_id, base (array of k, s, e) and loose (the same, with a vote of each labeler)."""
-    t = F.col("text")
-    empty = F.array().cast(MATCHES)
+def candidates(rows: DataFrame, text: str) -> DataFrame:
+    """rows with base (array of k, s, e and a vote of each labeler) and loose, the same for looser candidates that touch no base span.
 
-    def voted(kind: str, pattern: str, hint: str, passes) -> Column:
-        found = F.filter(F.when(hinted(t, hint), matches(t, pattern)).otherwise(empty), lambda x: passes(kind, x["m"]))
-        return F.transform(found, lambda x: _voted(x, kind))
+    text names a column without nulls; columns of rows must not be named as kinds are.
+    """
+    patterns = {k: (p, HINT[k]) for k, p in BASE.items()} | {k: (p, LOOSE_HINT[k]) for k, p in LOOSE.items()}
+
+    def voted(kind: str) -> Column:
+        return F.transform(F.filter(kind, lambda x: (valid if kind in BASE else _plausible)(kind, x["m"])), lambda x: _voted(x, kind))
 
-    base = [voted(k, p, HINT[k], valid) for k, p in BASE.items()]
-    loose = [voted(k, p, LOOSE_HINT[k], _plausible) for k, p in LOOSE.items()]
-    found = id_and_text(docs, id_col, text_col).select("doc_id", F.concat(*base).alias("base"), F.concat(*loose).alias("loose"))
-    apart = F.filter("loose", lambda x: ~F.exists("base", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
-    return found.select("doc_id", "base", apart.alias("loose"))
+    found = matches(rows, text, patterns).withColumns({"base": F.concat(*map(voted, BASE)), "loose": F.concat(*map(voted, LOOSE))}).drop(*patterns)
+    apart = F.expr("filter(loose, x -> NOT exists(base, b -> b.s < x.e AND x.s < b.e))")
+    return found.withColumn("loose", F.when((F.size("loose") > 0) & (F.size("base") > 0), apart).otherwise(F.col("loose")))
 
 
 def _plausible(kind: str, m: Column) -> Column:
@@ -192,45 +201,60 @@ def train(counts: list, rounds: int = 400, rate: float = 0.5) -> dict:
 
 
 def accepted(x: Column, weights: dict) -> Column:
-    """Whether the classifier takes the candidate x for personal data; with no form or gazetteer for it, context doesn't do."""
+    """Whether the classifier takes the candidate x for personal data."""
     z = F.lit(weights["bias", ""])
     for k in LOOSE:
         z = z + F.when(x["k"] == k, F.lit(weights["kind", k])).otherwise(0.0)
     for v in LABELERS:
         z = z + F.lit(weights[v, ""]) * x[v]
-    return (z >= 0) & (x["form"] + x["strict"] + x["gazetteer"] >= 2)
+    return z >= 0
 
 
-def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: doc_id, base and added, arrays of (s, o, e, k) sorted by start and order of kind."""
-    found = cut(candidates(docs, id_col, text_col), "pii-candidates")
-    weights = train(vote_counts(found))
+def chosen(weights: dict) -> tuple[Column, Column]:
+    """base and added, arrays of (s, o, e, k) sorted by start and order of kind, from the columns base and loose."""
     order = F.create_map(*[x for i, k in enumerate(KINDS) for x in (F.lit(k), F.lit(i))])
     plain = lambda x: F.struct(x["s"].alias("s"), order[x["k"]].alias("o"), x["e"].alias("e"), F.split_part(x["k"], F.lit("_"), F.lit(1)).alias("k"))
-    return found.select("doc_id", F.array_sort(F.transform("base", plain)).alias("base"), F.array_sort(F.transform(F.filter("loose", lambda x: accepted(x, weights)), plain)).alias("added"))
+    return F.array_sort(F.transform("base", plain)), F.array_sort(F.transform(F.filter("loose", lambda x: accepted(x, weights)), plain))
+
+
+def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of docs: doc_id, base and added, arrays of (s, o, e, k) sorted by start and order of kind."""
+    found = cut(candidates(id_and_text(docs, id_col, text_col), "text").drop("text"), "pii-candidates")
+    base, added = chosen(train(vote_counts(found)))
+    return found.select("doc_id", base.alias("base"), added.alias("added"))
 
 
 def written(found: Column) -> Column:
     return F.array_join(F.transform(found, lambda x: F.concat_ws(":", x["k"], x["s"].cast("string"), x["e"].cast("string"))), ",")
 
 
-def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with every span of text replaced by its kind in brackets; overlapping spans go under the first one's kind.
+#: text with its sorted spans replaced by their kinds in brackets; overlapping spans go under the first one's kind. Each
+#: block of spans is cut out of its own stretch of text, so that a long text isn't counted through for every span.
+_REPLACED = """
+CASE WHEN size(spans) > 0 THEN aggregate(
+  transform(sequence(0, CAST(floor((size(spans) - 1) / {fold}) AS INT)), i -> slice(spans, i * {fold} + 1, {fold})),
+  named_struct('at', 0, 'out', CAST(array() AS array<string>)),
+  (acc, part) -> named_struct(
+    'at', greatest(acc.at, array_max(transform(part, x -> x.e))),
+    'out', concat(acc.out, array(aggregate(part, named_struct('at', 0, 'out', CAST(array() AS array<string>), 'own', substring(text, acc.at + 1, greatest(acc.at, array_max(transform(part, x -> x.e))) - acc.at)),
+      (a, x) -> named_struct('at', greatest(a.at, x.e - acc.at),
+        'out', CASE WHEN x.s - acc.at >= a.at THEN concat(a.out, array(concat(substring(a.own, a.at + 1, x.s - acc.at - a.at), '[', upper(x.k), ']'))) ELSE a.out END, 'own', a.own),
+      a -> array_join(a.out, ''))))),
+  acc -> concat(array_join(acc.out, ''), substring(text, acc.at + 1))) ELSE text END"""
+
+
+def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """docs with every span of text replaced by its kind in brackets; a null text stays null.
 
-    Spans are found on the row itself, so rows without an id or with a repeated one are redacted too.
+    One pass counts the votes and one replaces, each where the texts lie, so no row needs a name and nothing is joined.
     """
-    keyed = cut(docs.withColumn("_row", F.monotonically_increasing_id()), "pii-rows")
-    found = cut(spans(keyed, "_row", text_col).withColumn("all", F.array_sort(F.concat("base", "added"))).where(F.size("all") > 0).select(F.col("doc_id").alias("_row"), "all"), "pii-spans")
-    t = F.col(text_col)
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        new = F.concat(acc["out"], F.substring(t, acc["at"] + 1, x["s"] - acc["at"]), F.lit("["), F.upper(x["k"]), F.lit("]"))
-        return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), F.when(x["s"] >= acc["at"], new).otherwise(acc["out"]).alias("out"))
-
-    clean = F.aggregate("all", start, step, lambda acc: F.concat(acc["out"], F.substring(t, acc["at"] + 1, F.length(t))))
-    joined = keyed.join(found, "_row", "left").withColumn(text_col, F.when(F.col("all").isNull(), t).otherwise(clean))
-    return joined.select(*docs.columns)
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    own, t = docs.toDF(*names), F.col(names[docs.columns.index(text_col)])
+    found = candidates(own.withColumn("text", F.coalesce(t.cast("string"), F.lit(""))), "text")
+    base, added = chosen(train(vote_counts(found)))
+    clean = found.withColumn("spans", F.array_sort(F.concat(base, added)))
+    clean = clean.withColumn("clean", F.when(t.isNotNull(), F.expr(_REPLACED.format(fold=FOLD))))
+    return clean.select(*[(F.col("clean") if c == text_col else F.col(n)).alias(c) for n, c in zip(names, docs.columns, strict=True)])
 
 
 def _of_kind(kind: str):

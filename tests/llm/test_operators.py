@@ -47,18 +47,31 @@ def test_query_matches_sql(spark, name):
     assert sorted(repr(tuple(r[n] for n in names)) for r in got.collect()) == sorted(repr(tuple(r[want.columns.index(n)] for n in names)) for r in want.fetchall())
 
 
+def normal(t):
+    return re.sub(r"[\x20\x09-\x0D]", "", t or "")
+
+
+def brute_exact(rows):
+    """(doc_id, keep_id, group_size, kept, digest) of (doc_id, text) rows, sorted."""
+    groups, out = {}, []
+    for i, t in rows:
+        groups.setdefault(normal(t), []).append((i, t or ""))
+    for norm, members in groups.items():
+        members.sort(key=lambda r: (-len(r[1]), r[0] is None, r[0] or 0))
+        out += [(i, members[0][0], len(members), k == 0, hashlib.sha256(norm.encode()).hexdigest()) for k, (i, _) in enumerate(members)]
+    return sorted(out, key=repr)
+
+
 def test_exact_dedup(docs, empty):
-    rows = {(r.doc_id, r.text_sha256): r for r in exact_dedup.exact_dedup(docs, digest_all=True).collect()}
-    strip = lambda t: re.sub(r"[\x20\x09-\x0D]", "", t or "")
-    assert len(rows) == len(TEXTS) + 1  # the repeated row folds
-    for i, t in enumerate(TEXTS):
-        r = rows[i, hashlib.sha256(strip(t).encode()).hexdigest()]
-        same = [j for j, u in enumerate(TEXTS) if strip(u) == strip(t)]
-        keep = min(same, key=lambda j: (-len(TEXTS[j] or ""), j))
-        assert (r.keep_id, r.group_size, r.kept) == (keep, len(same) + 2 * (strip(t) == "ab"), keep == i)
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    got = exact_dedup.exact_dedup(docs, digest_all=True).collect()
+    assert sorted(((r.doc_id, r.keep_id, r.group_size, r.kept, r.text_sha256) for r in got), key=repr) == brute_exact(rows)
+    few = exact_dedup.exact_dedup(docs).collect()
+    assert sorted(((r.doc_id, r.keep_id, r.group_size, r.kept) for r in few), key=repr) == [r[:4] for r in brute_exact(rows)]
     assert exact_dedup.exact_dedup(empty).count() == 0
-    kept = [r.doc_id for r in exact_dedup.keep_first_copies(docs).collect()]
-    assert sorted(kept) == sorted({r.keep_id for r in rows.values()})
+    kept = exact_dedup.keep_first_copies(docs).collect()
+    assert len(kept) == len({normal(t) for _, t in rows}) and sorted(r.doc_id for r in kept) == sorted(r[0] for r in brute_exact(rows) if r[3])
+    assert exact_dedup.keep_first_copies(empty).count() == 0
 
 
 def test_simhash(docs, empty):
@@ -92,7 +105,7 @@ def test_near_duplicates(spark, docs, empty):
     assert c[0] == c[1] and len(set(c.values())) == 3
     assert sorted(r.doc_id for r in near_dedup.keep_one_of_near(frame).collect()) == [0, 2, 3]
     assert near_dedup.keep_one_of_near(docs).columns == docs.columns and near_dedup.near_duplicates(empty).count() == 0
-    assert len({r.component for r in near_dedup.near_duplicates(frame, max_posting=1).collect()}) == 3
+    assert near_dedup.keep_one_of_near(empty).count() == 0
 
 
 def test_bpe(docs, empty):
@@ -146,11 +159,60 @@ def test_warc(spark):
     assert warc.read_records(warc.chunk_table(pages.limit(0))).count() == 0
 
 
-def test_pii(docs, empty):
-    rows = {r.doc_id: r for r in pii.spans(docs).select("doc_id", pii.written(pii.F.col("base")).alias("b")).collect()}
-    assert [x.split(":")[0] for x in rows[12].b.split(",")] == ["email", "phone", "card", "ip"] and rows[0].b == ""
-    clean = {r.doc_id: r.text for r in pii.redact(docs).collect()}
-    assert clean[12] == "mail [EMAIL], [PHONE] or [CARD] at [IP]" and clean[0] is None and pii.spans(empty).count() == 0
+KINDS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def luhn(d):
+    return sum(int(c) if k % 2 == 0 else sum(divmod(2 * int(c), 10)) for k, c in enumerate(reversed(d))) % 10 == 0
+
+
+def brute_spans(text):
+    out = []
+    for o, (kind, pattern) in enumerate(KINDS.items()):
+        for m in re.finditer(pattern, text or ""):
+            d = re.sub("[^0-9]", "", m[0])
+            ok = {"email": True, "ip": all(int(x) <= 255 for x in m[0].split(".")) if kind == "ip" else True, "card": 12 <= len(d) <= 19 and luhn(d), "phone": 9 <= len(d) <= 15}[kind]
+            if ok:
+                out.append((m.start(), o, m.end(), kind))
+    return [f"{k}:{s}:{e}" for s, _, e, k in sorted(out)]
+
+
+PII_TEXTS = [
+    *TEXTS, "a@b.c.d..e@f.g x@y a.b@c.d@e.f", "1.2.3.4.5.6.7.8 300.1.1.1 1.2.3 01.002.3.255", "4111-1111-1111-1111 4111 1111 1111 1112 123456789012345678901234567890", "+1 +49 (30) 123-456 +123456789 +1.2.3.4.5.6.7.8.9.0.1.2.3.4.5.6",
+    "é🙂 x@y.zz 🙂 10.0.0.1é", 'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" and me at host dot org', " ".join(f"u{i}@x{i}.org +1555010{i:04d}" for i in range(1500)), "1" * 20_000, "a." * 20_000 + "@", "@" * 5000,
+]
+
+
+def test_pii(spark, docs, empty):
+    frame = spark.createDataFrame(list(enumerate(PII_TEXTS)) + [(None, "me@x.org"), (1, "me@x.org")], "doc_id long, text string")
+    got = pii.spans(frame).select("doc_id", pii.written(pii.F.col("base")).alias("b"), pii.written(pii.F.array_sort(pii.F.concat("base", "added"))).alias("every")).collect()
+    by = {r.doc_id: r.b for r in got if r.doc_id not in (None, 1)}
+    assert by == {i: ",".join(brute_spans(t)) for i, t in enumerate(PII_TEXTS) if i != 1} and len(got) == len(PII_TEXTS) + 2
+    assert all(set(filter(None, r.b.split(","))) <= set(r.every.split(",")) for r in got)
+    # Redaction: what the spans say, replaced by hand.
+    every = {r.doc_id: r.every for r in got}
+    clean = {r.doc_id: r.text for r in pii.redact(frame).collect()}
+    for i, t in enumerate(PII_TEXTS):
+        at, want = 0, ""
+        for kind, s, e in (x.split(":") for x in every[i].split(",") if x and i != 1):
+            want += (t[at : int(s)] + f"[{kind.upper()}]") if int(s) >= at else ""
+            at = max(at, int(e))
+        assert i == 1 or clean[i] == (t if t is None else want + t[at:])
+    assert {r.doc_id: r.text for r in pii.redact(docs).collect()}[12] == "mail [EMAIL], [PHONE] or [CARD] at [IP]"
+    assert pii.spans(empty).count() == 0 and pii.redact(empty).count() == 0 and pii.redact(docs).columns == docs.columns
+
+
+def test_reliabilities_follow_planted_labelers():
+    """Votes drawn by known reliabilities of two classes: expectation-maximisation finds which patterns are which."""
+    rng = np.random.default_rng(2)
+    truth = rng.random(4000) < 0.5
+    votes = {v: np.where(rng.random(4000) < 0.85, np.where(truth, 1, -1), np.where(truth, -1, 1)) for v in pii.LABELERS}
+    counts = {}
+    for row in zip(*votes.values(), strict=True):
+        counts[tuple(map(int, row))] = counts.get(tuple(map(int, row)), 0) + 1
+    rows = [{"k": "email", "count": n} | dict(zip(pii.LABELERS, p, strict=True)) for p, n in counts.items()]
+    chance, belief = pii.reliabilities(rows)
+    assert all(abs(chance[v][1][1] - 0.85) < 0.05 for v in pii.LABELERS) and all((b > 0.5) == (sum(p) > 0) for p, b in belief.items())
 
 
 def test_media(docs, empty):
@@ -207,27 +269,25 @@ def test_pipeline(spark):
         assert sum(r.length for r in rows if r.sequence_id == k) <= 1024
 
 
-def test_slots_of(spark):
-    nodes = [0, 1, -1, near_dedup.SLOTS - 1, near_dedup.SLOTS, 32767, 32768, -(1 << 63), (1 << 63) - 1]
-    taken = near_dedup.slots_of(spark.createDataFrame([(x,) for x in nodes], "node long"))
-    assert sorted(np.nonzero(taken)[0].tolist()) == sorted({x % near_dedup.SLOTS for x in nodes})
-    assert not near_dedup.slots_of(spark.createDataFrame([], "node long")).any()
-
-
-def test_long_postings_lose_no_link(spark):
-    """A chain of texts of which only neighbours are similar, and copies of one text: posting by posting as if all were paired."""
+def test_chains_and_crowds_lose_no_link(spark):
+    """A chain of texts of which only neighbours are similar, and copies of one text: components as by brute force."""
     chain = [[f"w{i if i >= 3 * k else 1000 + i}" for i in range(120)] for k in range(30)]
     crowd = [[f"c{i}" if i != 7 * k % 120 else f"x{k}" for i in range(120)] for k in range(30)]
-    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(chain + crowd)] + [(None, None), (70, "")], "doc_id long, text string")
-
-    def groups(max_posting):
-        found = {}
-        for r in near_dedup.near_duplicates(docs, max_posting=max_posting).collect():
-            found.setdefault(r.component, set()).add(r.doc_id)
-        return sorted(map(lambda g: sorted(g, key=str), found.values()), key=str)
-
-    assert groups(3) == groups(1 << 30)
-    assert len(groups(3)) == 3
+    texts = [" ".join(w) for w in chain + crowd]
+    docs = spark.createDataFrame(list(enumerate(texts)) + [(None, None), (70, "")], "doc_id long, text string")
+    groups = {}
+    for r in near_dedup.near_duplicates(docs).collect():
+        groups.setdefault(r.component, set()).add(r.doc_id)
+    assert sorted(map(len, groups.values())) == [2, 30, 30]
+
+
+def test_many_leaders_settle_in_rounds(spark, monkeypatch):
+    """With one leader a round the same components come out."""
+    monkeypatch.setattr(near_dedup, "LEADERS", 1)
+    monkeypatch.setattr(near_dedup, "WIDER", 2)
+    texts = [" ".join([f"p{i}" for i in range(60)] + [f"e{k % 4}x{j}" for j in range(9)] + [f"f{k}"]) for k in range(16)]
+    links, lost = missed(spark, texts)
+    assert links and lost == []
 
 
 def shingle_set(text, k=5):
@@ -247,16 +307,10 @@ def missed(spark, texts):
     return links, [(i, j) for i, j in links if c[i] != c[j]]
 
 
-def test_near_duplicates_with_repeated_lines(spark):
-    """Similarity is that of sets: the number of copies of a line doesn't count."""
-    texts = [" ".join([prose(100 + k, 20)] * copies) for k in range(30) for copies in (5, 8, 40)]
-    links, lost = missed(spark, texts)
-    assert len(links) == 90 and lost == []
-
-
 def test_near_duplicates_of_every_kind_of_edit(spark):
-    """Added and replaced blocks and short texts: every link of brute force is found."""
-    texts, made = [], iter(range(10**6))
+    """Added and replaced blocks, short texts, repeated lines (similarity is that of sets) and common passages: every link of brute force is found."""
+    texts, made = [" ".join([prose(100 + k, 20)] * copies) for k in range(30) for copies in (5, 8, 40)], iter(range(10**6))
+    texts += [" ".join([f"p{i}" for i in range(60)] + [f"q{k}x{j}" for j in range(6 + k % 9)]) for k in range(40)]
     new = lambda n: [f"v{next(made)}" for _ in range(n)]
     for _ in range(12):
         for n, more in ((200, 48), (1000, 240), (40, 8), (9, 1), (12, 1), (200, 20), (4, 0), (5, 1)):
@@ -265,16 +319,43 @@ def test_near_duplicates_of_every_kind_of_edit(spark):
         words = new(200)
         texts += [" ".join(words), " ".join(words[:90] + new(17) + words[107:])]
     links, lost = missed(spark, texts)
-    assert len(links) >= 12 * 7 and lost == []
-
-
-def test_postings_by_shingle_lose_no_link_when_long(spark):
-    """Texts that are a common passage but for their ends: long postings by shingle, as if all were paired."""
-    texts = [" ".join([f"p{i}" for i in range(60)] + [f"e{k}x{j}" for j in range(6 + k % 9)]) for k in range(40)]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    groups = lambda most: {(r.doc_id, r.component) for r in near_dedup.near_duplicates(docs, max_posting=most).collect()}
-    c = dict(groups(4))
-    assert groups(4) == groups(1 << 30) and all(c[i] == c[j] for i, j in brute_links(texts))
+    assert len(links) >= 12 * 7 + 90 and lost == []
+
+
+def test_components_are_those_of_brute_force(spark):
+    """Random edits of a few texts, by words, blocks and ends: the same components as by comparing all pairs."""
+    rng, texts = np.random.default_rng(7), []
+    for base in range(12):
+        words = prose(50 + base, int(rng.integers(3, 150))).split()
+        for _ in range(14):
+            w = list(words)
+            for _ in range(int(rng.integers(0, 5))):
+                at = int(rng.integers(len(w)))
+                w[at : at + int(rng.integers(0, 4))] = [f"n{rng.integers(10**6)}" for _ in range(int(rng.integers(0, 6)))]
+                w = w or ["x"]
+            texts.append(" ".join(w))
+    root = list(range(len(texts)))
+    for i, j in brute_links(texts):
+        a, b = root[i], root[j]
+        root = [min(a, b) if r in (a, b) else r for r in root]
+    groups = lambda of: sorted(sorted(i for i in range(len(texts)) if of[i] == k) for k in {of[i] for i in range(len(texts))})
+    kept = near_dedup.keep_one_of_near(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert sorted(r.doc_id for r in kept) == sorted(g[0] for g in groups(root))
+
+
+def test_stages_with_clashing_columns_and_repeats(spark):
+    """Columns that operators could use themselves, null and repeated ids, repeated rows: all columns stay as they are."""
+    names = ["doc_id", "text", "_row", "all", "mark", "row", "id", "spans", "base", "f", "node", "email", "c1"]
+    text = prose(3, 60)
+    rows = [(1, text), (1, text), (2, text + " more"), (None, text + " "), (None, "call me@x.org"), (None, "call me@x.org"), (None, "q"), (5, "mm"), (5, "m   m"), (6, None), (7, "")]
+    frame = spark.createDataFrame([(i, t, *[f"{c}{k}" for c in names[2:]]) for k, (i, t) in enumerate(rows)], "doc_id long, text string, " + ", ".join(f"`{c}` string" for c in names[2:]))
+    redacted = pii.redact(frame)
+    assert redacted.columns == names and sorted(r["all"] for r in redacted.collect()) == sorted(r["all"] for r in frame.collect())
+    assert [r.text for r in redacted.collect() if r.text and "call" in r.text] == ["call [EMAIL]"] * 2
+    exact = exact_dedup.keep_first_copies(frame).collect()
+    assert sorted((repr(r.doc_id), r.text) for r in exact if r.text) == sorted([("None", text + " "), ("2", text + " more"), ("None", "call me@x.org"), ("None", "q"), ("5", "m   m")]) and sum(not r.text for r in exact) == 1
+    near = near_dedup.keep_one_of_near(frame)
+    assert near.columns == names and sorted((repr(r.doc_id), r.text or "") for r in near.collect()) == sorted([("1", text), ("None", "call me@x.org"), ("None", "q"), ("5", "mm"), ("5", "m   m"), ("6", "")])
 
 
 def test_exact_dedup_keeps_each_text_of_an_id(spark):
