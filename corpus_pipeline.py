@@ -28,7 +28,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """SimHash near-duplicates of a similarity of 0.8 or more in five-word shingles: one of each group stays."""
+    """Near-duplicates of a similarity of 0.8 or more in five-word shingles, SimHash groups first: one of each group stays."""
     return keep_one_of_near(docs)
 
 
