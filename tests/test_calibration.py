@@ -8,12 +8,13 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from evigrade.jobs import calibration, evidence
+from evigrade.jobs import calibration, evaluation, evidence, labels, scales
 from evigrade.operators.components import connected_components
 from evigrade.operators.evidence import best_constants, combined_pair, isotonic
 
 SF = "/root/testdata/sf0.001"
-QUERIES, SQL = calibration.QUERIES | evidence.QUERIES, calibration.SQL | evidence.SQL
+JOBS = (calibration, evidence, scales, labels, evaluation)
+QUERIES, SQL = {n: q for j in JOBS for n, q in j.QUERIES.items()}, {n: q for j in JOBS for n, q in j.SQL.items()}
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
