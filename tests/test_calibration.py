@@ -8,16 +8,16 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from evigrade.jobs import calibration, evaluation, evidence, labels, scales
+from evigrade.jobs import alignment, calibration, evaluation, evidence, labels, ranges, scales, sources
 from evigrade.operators.components import connected_components
 from evigrade.operators.evidence import best_constants, combined_pair, isotonic
 
 SF = "/root/testdata/sf0.001"
-JOBS = (calibration, evidence, scales, labels, evaluation)
+JOBS = (calibration, evidence, scales, labels, evaluation, ranges, alignment, sources)
 QUERIES, SQL = {n: q for j in JOBS for n, q in j.QUERIES.items()}, {n: q for j in JOBS for n, q in j.SQL.items()}
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_query_matches_sql(spark, name):
     con = duckdb.connect()
     for f in glob.glob(f"{SF}/*.parquet"):
