@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -15,11 +16,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only where that is unset, as in local tests."""
+    """The folder named by ``spark.checkpoint.dir``; a temporary one only where that is unset on a local master, as in tests.
+
+    Elsewhere a local folder would scatter a table's parts over the machines, so an unset folder is an error.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
-        folder = _LOCAL.setdefault(app, tempfile.mkdtemp(prefix="evigrade-") if app not in _LOCAL else "")
+        if app not in _LOCAL:
+            _LOCAL[app] = tempfile.mkdtemp(prefix="evigrade-")
+        folder = _LOCAL[app]
     return folder.rstrip("/")
 
 
