@@ -33,7 +33,7 @@ from .common import id_and_bytes
 
 RANKS = "byte_bpe_50k.tiktoken"
 #: Units kept by a worker process; beyond this the store starts anew. It bounds memory, not what is encoded.
-KEPT_UNITS = 500_000
+KEPT_UNITS = 200_000
 #: Two white-space characters of which one is a plain space: only there can a cut before a space fall inside a match.
 _UNSAFE = re.compile(r" \s|\s |\x00")
 

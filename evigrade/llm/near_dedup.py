@@ -1,10 +1,10 @@
-"""Near-duplicates by similarity: groups of the SimHash operator, verified on word shingles, and what SimHash can't reach.
+"""Near-duplicates by similarity: links of the SimHash operator, verified on word shingles, and what SimHash can't reach.
 
 The contract of two differing bits is for copies that hardly differ. A pipeline wants texts of a stated similarity, the
 Jaccard index of their sets of five-word shingles, and texts at 0.8 differ in about a seventh of a fingerprint's bits: no
-positional byte is sure to be equal, so a byte index alone loses links whatever its width. The operator's own groups are
-therefore taken first, each text verified against the most central one of its group, and every link that is left is found
-by an index of shingles, with the same count filtering:
+positional byte is sure to be equal, so a byte index alone loses links whatever its width. The operator's own links are
+therefore taken first, verified on their shingles, and every link that is left is found by an index of shingles, with the
+same count filtering:
 
 1. A sketch holds the ``SKETCH`` smallest shingle hashes of a text. Texts that are similar enough share ``least_shared`` of
    them but for a chance of ``MISS``. Texts that share fewer with all others together have no partner, and are done.
@@ -14,6 +14,8 @@ by an index of shingles, with the same count filtering:
 3. Members of a posting are compared with its most central member first, that with the fewest rarer shingles. Those that
    are then outside its component are compared with the members of other components, as far as the bound holds: neither
    text has what stands before the posting's shingle in the other's order, so those shingles are lost to what they share.
+   Each set also has a parity fingerprint, in which a shingle turns one bit over: two sets that may differ in d shingles
+   differ in d bits at most, and pairs that differ in more go uncompared.
    Leaders go on in rounds until every such member has led: of two members in different components one at least has led,
    so no link between components is lost, and those within one would add nothing.
 
@@ -44,6 +46,9 @@ from .simhash_dedup import BLOCK, HASH_SEED, MAX_POSTING, bit_counts, links
 SHINGLE, SIMILARITY = 5, 0.8
 #: Smallest shingle hashes in a sketch, and the chance of a link to share fewer than ``least_shared`` of them.
 SKETCH, MISS = 32, 1e-11
+#: Words of a set's parity fingerprint, and their columns.
+PARITY = 4
+PARITIES = tuple(f"p{i}" for i in range(PARITY))
 #: Leaders of a posting in the second round; each further round has WIDER times as many.
 LEADERS, WIDER = 64, 16
 #: Candidate texts up to this number are found by a broadcast of their hashes, more of them by a shuffle join.
@@ -87,6 +92,12 @@ def fingerprint_of(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * ones > len(hashes)).view(">i8")[0])
 
 
+def parity_of(hashes: np.ndarray) -> np.ndarray:
+    """PARITY words of 64 bits: a shingle turns one bit over, so two sets differ in as many shingles at least as these words in bits."""
+    odd = np.bincount((hashes >> np.uint64(7)).astype(np.uint64).astype(np.int64) % (64 * PARITY), minlength=64 * PARITY) & 1
+    return np.packbits(odd.astype(np.uint8)).view(">i8").astype(np.int64)
+
+
 def _lists(each: list[np.ndarray]) -> pa.ListArray:
     ends = np.cumsum([0, *map(len, each)]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(each) if each else np.zeros(0), pa.int64()))
@@ -110,14 +121,16 @@ def _sketched(k: int, size: int):
 def _shingled(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            nodes, prints, sets = [], [], []
+            nodes, prints, sets, odd = [], [], [], []
             for t in b.column(0):
                 words = t.as_py().lower().split()
                 h = shingle_hashes(words, k)
                 nodes.append(_node(words))
                 prints.append(fingerprint_of(h))
                 sets.append(h.view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(prints, pa.int64()), _lists(sets)], ["node", "fp", "shingles"])
+                odd.append(parity_of(h))
+            words_of_parity = np.array(odd, np.int64).reshape(-1, PARITY).T
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(prints, pa.int64()), _lists(sets), *map(pa.array, words_of_parity)], ["node", "fp", "shingles", *PARITIES])
 
     return run
 
@@ -145,24 +158,37 @@ def candidate_nodes(rows: DataFrame, similarity: float) -> DataFrame:
     return cut(met.join(nodes.select("node", "m", "mark"), "node").where(F.col("shared") >= enough).select("node", "mark"), "near-candidates")
 
 
-def candidate_sets(docs: DataFrame, text_col: str, candidates: DataFrame, words: int) -> DataFrame:
-    """node, fp and shingles of the candidates; only their texts are read by Python."""
-    marks = candidates.select("mark").distinct()
-    marks = F.broadcast(marks) if candidates.count() <= BROADCAST_ROWS else marks
+def candidate_sets(docs: DataFrame, text_col: str, rows: DataFrame, candidates: DataFrame, words: int) -> DataFrame:
+    """node, fp and shingles of the candidates; only their texts are read by Python, and one of each node."""
+    n = candidates.count()
+    marks = F.broadcast(candidates.select("mark")) if n <= BROADCAST_ROWS else candidates.select("mark")
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).cast("binary")
     texts = bounded_batches(docs).select(mark_of(text_col).alias("mark"), text.alias("text")).join(marks, "mark", "left_semi").select("text")
-    return cut(texts.mapInArrow(_shingled(words), "node long, fp long, shingles array<long>").dropDuplicates(["node"]), "near-sets")
+    sets = texts.mapInArrow(_shingled(words), "node long, fp long, shingles array<long>, " + ", ".join(f"{p} long" for p in PARITIES))
+    repeat = rows.select("mark").join(marks, "mark", "left_semi").count() > n  # texts that occur twice; else nothing has to be shuffled
+    return cut(sets.dropDuplicates(["node"]) if repeat else sets, "near-sets")
 
 
 def rare_first(sets: DataFrame, similarity: float) -> DataFrame:
-    """node, m, u, shared and n_heads: u shingles are the node's own; shared are the others, rare ones first, of which n_heads have postings."""
-    each = sets.select("node", F.size("shingles").alias("m"), F.explode("shingles").alias("shingle"))
-    counts = cut(each.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1"), "near-counts")
-    met = each.join(counts, "shingle").groupBy("node", "m").agg(F.array_sort(F.collect_list(F.struct("n", "shingle"))).alias("by"))
-    m, u = F.col("m"), F.col("m") - F.size("by")
+    """node, m, u, shared and n_heads: u shingles are the node's own; shared are the others, rare ones first, of which n_heads have postings.
+
+    A shared shingle is one number from here on: how rare it is, as the logarithm of its count, and a row number.
+    """
+    each = sets.select("node", F.explode("shingles").alias("shingle"))
+    counts = each.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1")
+    rank = F.shiftleft(F.floor(F.log2("n")).cast("long"), 57) + F.monotonically_increasing_id()
+    ranks = cut(counts.select("shingle", rank.alias("rank")), "near-ranks")
+    by = each.join(ranks, "shingle").groupBy("node").agg(F.array_sort(F.collect_list("rank")).alias("shared"))
+    known = by.join(sets.select("node", F.size("shingles").alias("m"), *PARITIES), "node")
+    m, u = F.col("m"), F.col("m") - F.size("shared")
     prefix = m - F.ceil(m * similarity - 1e-9) + 1
-    known = met.select("node", "m", u.alias("u"), F.transform("by", lambda x: x["shingle"]).alias("shared"), (prefix - u).cast("int").alias("n_heads"))
-    return cut(known.where("n_heads > 0"), "near-known")
+    return cut(known.select("node", "m", u.alias("u"), "shared", (prefix - u).cast("int").alias("n_heads"), *PARITIES).where("n_heads > 0"), "near-known")
+
+
+def bits_allow(m: Column, other_m: Column, own: list[Column], other: list[Column], similarity: float) -> Column:
+    """Whether the parity fingerprints differ in no more bits than the sets may differ in shingles; no similar pair is lost."""
+    differing = sum((F.bit_count(a.bitwiseXOR(b)) for a, b in zip(own, other, strict=True)), F.lit(0))
+    return differing * (1 + similarity) <= (m + other_m) * (1 - similarity) + 1e-6
 
 
 def can_reach(a: dict[str, Column], b: dict[str, Column], similarity: float) -> Column:
@@ -184,13 +210,12 @@ def _pair(x: str, y: str) -> list[Column]:
 
 
 def simhash_pairs(sets: DataFrame, known: DataFrame, max_posting: int) -> DataFrame:
-    """Pairs of a node and the most central node of its group of fingerprints, as the SimHash operator links them."""
-    fps = sets.select("node", "fp").join(known.select("node", "u"), "node")
-    fps = cut(fps, "near-fp")
-    roots = connected_components(links(fps.select("fp").distinct(), max_posting)).withColumnRenamed("node", "fp")
-    rooted = cut(fps.join(roots, "fp", "left").select("node", "u", F.coalesce("root", "fp").alias("root")), "near-rooted")
-    central = cut(rooted.groupBy("root").agg(F.min(F.struct("u", "node")).alias("c"), F.count("*").alias("n")).where("n > 1").select("root", F.col("c.node").alias("lead")), "near-central")
-    return rooted.join(central, "root").where("node <> lead").select(*_pair("node", "lead"))
+    """Pairs of nodes that the SimHash operator's index links: each fingerprint stands for its most central node, and its other nodes meet that one."""
+    fps = cut(sets.select("node", "fp").join(known.select("node", "u"), "node"), "near-fp")
+    central = cut(fps.groupBy("fp").agg(F.min(F.struct("u", "node")).alias("c")).select("fp", F.col("c.node").alias("lead")), "near-central")
+    same = fps.join(central, "fp").where("node <> lead").select(*_pair("node", "lead"))
+    ends = links(central.select("fp"), max_posting).join(central.select(F.col("fp").alias("a"), F.col("lead").alias("x")), "a").join(central.select(F.col("fp").alias("b"), F.col("lead").alias("y")), "b")
+    return same.unionByName(ends.select(*_pair("x", "y")))
 
 
 def star_pairs(known: DataFrame, similarity: float) -> DataFrame:
@@ -209,44 +234,52 @@ def components_of(found: DataFrame) -> DataFrame:
 
 
 def settled(known: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
-    """roots, after every member of a posting outside its central member's component has led there, as far as the bound holds."""
-    most, led = LEADERS, None
+    """roots, after every member of a posting outside its central member's component has led there, as far as the bound holds.
+
+    Components only grow, so a posting of which all such members have led is done; each round is on the others.
+    """
+    heads = known.select("node", "m", "u", *PARITIES, F.posexplode(F.slice("shared", F.lit(1), F.col("n_heads"))).alias("pos", "shingle"))
+    posted, led, most = heads.select("shingle", "node", "m", (F.col("u") + F.col("pos")).alias("at"), *PARITIES), None, LEADERS
     while True:
-        placed = known.join(roots, "node", "left").select("node", "m", "u", "n_heads", "shared", F.coalesce("component", "node").alias("component"))
-        heads = placed.select("node", "m", "u", "component", F.posexplode(F.slice("shared", F.lit(1), F.col("n_heads"))).alias("pos", "shingle"))
-        posted = cut(heads.select("shingle", "node", "m", (F.col("u") + F.col("pos")).alias("at"), "component"), "near-posted")
+        placed = posted.join(roots, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        placed = cut(placed.select("shingle", "node", "m", "at", "component", *PARITIES), "near-placed")
         central = F.min(F.struct("at", "m", "node", "component")).alias("c")
-        mixed = posted.groupBy("shingle").agg(central, F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+        mixed = placed.groupBy("shingle").agg(central, F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
         mixed = cut(mixed.select("shingle", F.col("c.component").alias("bulk")), "near-mixed")
-        rest = posted.join(mixed, "shingle").where("component <> bulk").drop("bulk")
+        posted = cut(placed.join(mixed, "shingle"), "near-posted")
+        rest = posted.where("component <> bulk").drop("bulk")
         if led is not None:
             rest = rest.join(led, ["shingle", "node"], "left_anti")
         # Of a posting's many members few are of different size and place: the bound holds or fails for all of a cell.
-        cells = cut(posted.join(mixed, "shingle", "left_semi").groupBy("shingle", "m", "at").agg(F.min("component").alias("low"), F.max("component").alias("high")), "near-cells")
-        cells = cells.select("shingle", F.col("m").alias("cm"), F.col("at").alias("cat"), "low", "high")
+        cells = posted.groupBy("shingle", F.col("m").alias("cm"), F.col("at").alias("cat")).agg(F.min("component").alias("low"), F.max("component").alias("high"))
         own, its = {"m": F.col("m"), "at": F.col("at")}, {"m": F.col("cm"), "at": F.col("cat")}
         other = (F.col("low") != F.col("component")) | (F.col("high") != F.col("component"))
-        rest = cut(rest.join(cells, "shingle").where(other & can_reach(own, its, similarity)).groupBy("shingle", "node").agg(F.first("m").alias("m"), F.first("at").alias("at"), F.first("component").alias("component")), "near-rest")
-        left = rest.groupBy("shingle").agg(F.count("*").alias("left"))
-        if rest.isEmpty():
-            return roots
+        met = rest.join(cut(cells, "near-cells"), "shingle").where(other & can_reach(own, its, similarity))
+        rest = cut(met.groupBy("shingle", "node").agg(*[F.first(c).alias(c) for c in ("m", "at", "component", *PARITIES)]), "near-rest")
         # All members lead where they are few; of more the share that makes up ``most``, by a hash of the node alone.
+        left = rest.groupBy("shingle").agg(F.count("*").alias("left"))
         lot = F.pmod(F.xxhash64("node"), F.lit(1 << 20))
-        chosen = cut(rest.join(left, "shingle").where(lot * F.col("left") < F.lit(most << 20)).select("shingle", "node", "m", "at", "component"), "near-chosen")
-        most *= WIDER
-        lead = chosen.select("shingle", F.col("node").alias("lead"), F.col("m").alias("lm"), F.col("at").alias("lat"), F.col("component").alias("of_lead"))
+        leads = rest.join(left, "shingle").withColumn("leads", lot * F.col("left") < F.lit(most << 20)).drop("left")
+        leads = cut(leads, "near-leading")
+        lead = leads.where("leads").select("shingle", F.col("node").alias("lead"), F.col("m").alias("lm"), F.col("at").alias("lat"), F.col("component").alias("of_lead"), *[F.col(p).alias(f"l{p}") for p in PARITIES])
+        alike = bits_allow(F.col("m"), F.col("lm"), [F.col(p) for p in PARITIES], [F.col(f"l{p}") for p in PARITIES], similarity)
         its = {"m": F.col("lm"), "at": F.col("lat")}
-        met = posted.join(lead, "shingle").where("component <> of_lead").where(can_reach(own, its, similarity))
-        found = verified(cut(met.select(*_pair("node", "lead")).distinct(), "near-pairs"), known, similarity)
-        gone = chosen.select("shingle", "node")
-        led = gone if led is None else led.unionByName(gone)
+        pairs = posted.join(lead, "shingle").where("component <> of_lead").where(can_reach(own, its, similarity)).where(alike).select(*_pair("node", "lead")).distinct()
+        found = verified(cut(pairs, "near-pairs"), known, similarity)
         if not found.isEmpty():
             roots = components_of(roots.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(found))
+        undone = cut(leads.where("NOT leads").select("shingle").distinct(), "near-undone")
+        if undone.isEmpty():
+            return roots
+        gone = leads.where("leads").select("shingle", "node")
+        led = gone if led is None else led.unionByName(gone)
+        posted = posted.select("shingle", "node", "m", "at", *PARITIES).join(undone, "shingle", "left_semi")
+        most *= WIDER
 
 
 def node_components(rows: DataFrame, docs: DataFrame, text_col: str, similarity: float, words: int, max_posting: int) -> DataFrame:
     """node and component of the nodes that have a link."""
-    sets = candidate_sets(docs, text_col, candidate_nodes(rows, similarity), words)
+    sets = candidate_sets(docs, text_col, rows, candidate_nodes(rows, similarity), words)
     known = rare_first(sets, similarity)
     pairs = simhash_pairs(sets, known, max_posting).unionByName(star_pairs(known, similarity))
     found = verified(cut(pairs.distinct(), "near-pairs"), known, similarity)
