@@ -38,7 +38,15 @@ HELD = 400_000
 SHARPNESS = 2.0
 #: Log frequency of a word of which no gram is known.
 FLOOR = -20.0
-_WORDS = re.compile(r"[^\W\d_]+").findall
+_RUNS = re.compile(r"[^\W\d_]+").findall
+
+
+def words_of(text: str) -> list[str]:
+    """Lower-case runs of letters. Runs of word characters may hold others, such as powers, fractions and marks; they are cut there."""
+    runs = _RUNS(text.lower())
+    if text.isascii() or all(map(str.isalpha, runs)):
+        return runs
+    return [w for r in runs for w in ("".join(c if c.isalpha() else " " for c in r)).split()]
 
 
 def grams_of(word: str, n: int) -> list[str]:
@@ -58,7 +66,7 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for b in batches:
         for lang, text in zip(b.column(0), b.column(1), strict=True):
-            held.setdefault(lang.as_py(), Counter()).update(_WORDS(text.as_py().decode("utf-8", "replace").lower()))
+            held.setdefault(lang.as_py(), Counter()).update(words_of(text.as_py().decode("utf-8", "replace")))
             if sum(map(len, held.values())) > HELD:
                 yield out()
     if any(held.values()):
@@ -141,7 +149,7 @@ class Scorer:
 
     def known(self, text: str) -> tuple[int, np.ndarray, Counter]:
         """How many words text has, the sums over those of the matrix, and the other words."""
-        words, get = _WORDS(text.lower()), self.row.get
+        words, get = words_of(text), self.row.get
         rows = [get(w, w) for w in words]
         return len(words), self.matrix[[w for w in rows if w.__class__ is int] or np.zeros(0, int)].sum(axis=0, dtype=np.float64), Counter(w for w in rows if w.__class__ is str)
 

@@ -22,13 +22,15 @@ from pyspark.sql import functions as F
 
 from evigrade.sources.staging import cut, table
 
-from .common import id_and_bytes
+from .common import bounded_batches, id_and_bytes
 
 #: Magic numbers by format.
 MAGIC = {"png": [b"\x89PNG\r\n\x1a\n"], "gif": [b"GIF87a", b"GIF89a"], "jpeg": [b"\xff\xd8\xff"], "riff": [b"RIFF"], "bmp": [b"BM"], "ppm": [b"P6\n", b"P5\n"]}
 #: A payload's length is a positive multiple of this: 64 pixels of three 8-bit samples.
 ROW = 192
 STORED = ("wav", "bmp", "png", "ppm")
+#: What stands before and after a medium that is embedded in a file of no known format.
+CARRIER = (b"attached:\r\n", b"\r\nend")
 
 
 def png_end(b: bytes, at: int) -> tuple[str, int, str] | None:
@@ -156,23 +158,26 @@ def sniff(blob: bytes | None) -> list[tuple[str, int, int, str]]:
     return found
 
 
+def told(blob: bytes | None, declared: str | None) -> dict:
+    """What sniffing says of a blob: its type and what it is like, whether the declared type was another, and what is embedded further in."""
+    hits = sniff(blob)
+    own = hits[0] if hits and hits[0][1] == 0 else ("unknown", 0, 0, "")
+    inner = [{"media_type": k, "about": about, "start": s, "end": e, "data": blob[s:e]} for k, s, e, about in hits if s]
+    return {"media_type": own[0], "about": own[3], "end": own[2], "corrected": declared != own[0], "embedded": inner}
+
+
 def sniff_media(df: DataFrame, id_col: str, blob_col: str, declared_col: str) -> DataFrame:
     """doc_id, media_type, about, corrected (the declared type was another) and embedded, the carved media with their places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for i, blob, declared in zip(b.column(0), b.column(1), b.column(2), strict=True):
-                blob, hits = blob.as_py(), sniff(blob.as_py())
-                own = hits[0] if hits and hits[0][1] == 0 else ("unknown", 0, 0, "")
-                inner = [{"media_type": k, "start": s, "end": e, "data": blob[s:e]} for k, s, e, _ in hits if s]
-                rows.append({"doc_id": i.as_py(), "media_type": own[0], "about": own[3], "corrected": declared.as_py() != own[0], "embedded": inner})
+            rows = [{"doc_id": i.as_py()} | told(blob.as_py(), declared.as_py()) for i, blob, declared in zip(b.column(0), b.column(1), b.column(2), strict=True)]
             yield pa.RecordBatch.from_pylist(rows, schema=out)
 
-    inner = pa.struct([("media_type", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("data", pa.binary())])
+    inner = pa.struct([("media_type", pa.string()), ("about", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("data", pa.binary())])
     out = pa.schema([("doc_id", pa.int64()), ("media_type", pa.string()), ("about", pa.string()), ("corrected", pa.bool_()), ("embedded", pa.list_(inner))])
-    cols = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(blob_col).alias("blob"), F.col(declared_col).cast("string").alias("declared"))
-    return cols.mapInArrow(run, "doc_id long, media_type string, about string, corrected boolean, embedded array<struct<media_type string, start long, end long, data binary>>")
+    cols = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{blob_col}`").alias("blob"), F.col(f"`{declared_col}`").cast("string").alias("declared"))
+    return bounded_batches(cols).mapInArrow(run, "doc_id long, media_type string, about string, corrected boolean, embedded array<struct<media_type string, about string, start long, end long, data binary>>")
 
 
 def store(payload: bytes, kind: str) -> bytes:
@@ -211,7 +216,10 @@ def padded(text: bytes) -> bytes:
 
 
 def stored_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes, declared and media: each text as a medium of a kind that follows from its bytes; a third are declared wrongly."""
+    """doc_id, n_bytes, declared and media: each text as a medium of a kind that follows from its bytes.
+
+    A third are declared wrongly, and a fifth are embedded in a carrier, from which only carving gets them back.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -222,12 +230,14 @@ def stored_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 kind = STORED[mark % len(STORED)]
                 sizes.append(len(raw))
                 said.append(kind if mark // 4 % 3 else "jpeg")
-                media.append(store(padded(raw), kind))
+                medium = store(padded(raw), kind)
+                media.append(medium.join(CARRIER) if mark % 5 == 0 else medium)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(said), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "declared", "media"])
 
     return id_and_bytes(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_bytes long, declared string, media binary")
 
 
+#: media_bytes and media_sha256 are those of the medium, carved where it was embedded.
 OP9 = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
@@ -239,11 +249,15 @@ def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
         for b in batches:
             rows = []
             for i, n, declared, blob in zip(*map(b.column, range(4)), strict=True):
-                blob = blob.as_py()
-                kind, _, end, about = sniff(blob)[0]
-                payload = read_back(blob)
-                feature = f"{kind}:{about}:{declared.as_py()}:{'kept' if kind == declared.as_py() else 'corrected'}:{len(sniff(payload))}"
-                rows.append((i.as_py(), n.as_py(), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), end, hashlib.sha256(blob).hexdigest(), feature))
+                blob, declared = blob.as_py(), declared.as_py()
+                said = told(blob, declared)
+                inner = said["embedded"][0] if said["media_type"] == "unknown" else None
+                medium = inner["data"] if inner else blob[: said["end"]]
+                kind, about = (inner or said)["media_type"], (inner or said)["about"]
+                payload = read_back(medium)
+                how = "carved" if inner else "corrected" if said["corrected"] else "kept"
+                feature = f"{kind}:{about}:{declared}:{how}:{len(sniff(payload))}"
+                rows.append((i.as_py(), n.as_py(), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(medium), hashlib.sha256(medium).hexdigest(), feature))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c) if isinstance(c[0], str) else pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names)
 

@@ -7,14 +7,16 @@ task that runs again gives the same sequences. In a block, k windows begin as k-
 two tuples of the widest spread are merged again and again with opposing imbalances, the largest sum of one with the
 smallest of the other. k begins at the least possible and rises while some window exceeds the capacity.
 
-Defined results: a null text is empty, and its only id is the end mark 0; repeated rows are separate documents; an empty
-table gives no rows; texts of any length are packed whole.
+Defined results: a null text is empty, and its only id is the end mark 0; a token that the file adds to its vocabulary has
+its one id wherever a text holds it, as the library has it; repeated rows are separate documents; an empty table gives no
+rows; texts of any length are packed whole.
 """
 
 from __future__ import annotations
 
 import heapq
 import json
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -48,18 +50,28 @@ class Units:
         import tiktoken
 
         with open(path, encoding="utf-8") as f:
-            vocab = json.load(f)["model"]["vocab"]
+            told = json.load(f)
+        vocab = told["model"]["vocab"]
+        self.added = {t["content"]: t["id"].to_bytes(4, "little") for t in told.get("added_tokens", [])}
+        self.at_added = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         byte = _byte_alphabet()
         ranks = {bytes(map(byte.__getitem__, t)): i for t, i in vocab.items() if all(c in byte for c in t) and not t.startswith("<|")}
         self.one = tiktoken.Encoding("units", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.finder = regex.compile(public_tokenizers.PATTERN).findall
         self.kept_units, self.known = kept_units, {}
 
+    def cut(self, text: str) -> list[str]:
+        """Units of text; the file's added tokens are units of their own wherever they stand."""
+        if not any(t in text for t in self.added):
+            return units(text, self.finder)
+        return [u for part in self.at_added.split(text) for u in ([part] if part in self.added else units(part, self.finder))]
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [units(t, self.finder) for t in texts]
+        cut = [self.cut(t) for t in texts]
         if len(self.known) > self.kept_units:
             self.known.clear()
         known, one = self.known, self.one
+        known.update(self.added)
         known.update([(u, array("I", one(u)).tobytes()) for u in set().union(*cut).difference(known)])
         return [b"".join(map(known.__getitem__, us)) for us in cut]
 

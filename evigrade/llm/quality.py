@@ -4,11 +4,16 @@ A text's terms are the shapes of its words (runs of small and capital letters an
 few coarse terms on length, repetition and lines. Term weights are log frequency times inverse document frequency, the
 document frequencies counted over the whole corpus. A truncated SVD of at most ``sample`` labelled rows gives the latent
 space; their vectors and labels are broadcast, a bound that is a parameter and not the data's. Every document's vector is
-multiplied with all of them, block by block and exactly, and the ``neighbours`` nearest vote, weighted by cosine.
+multiplied with all of them, block by block and exactly, and the ``neighbours`` nearest vote, weighted by cosine. Tasks make
+the labelled rows' vectors, so what reaches the driver is ``sample`` lists of terms, whatever the texts' lengths.
+
+Ids are no input of a score, so a labelled row of the sample is among its own neighbours and has one vote of 25 on itself;
+held-out rows have none.
 
 Defined results: a null or empty text has terms too (its length) and a score like any other; a document with several
-labels takes the lowest; null labels and null ids aren't learned from; without any label every score is 1; a null id
-counts as held out; repeated rows are separate documents; an empty table gives no rows.
+labels takes the lowest, and of several texts of one labelled id the one with the smallest hash is learned from; null labels
+and null ids aren't learned from; without any label every score is 1; a null id counts as held out; repeated rows are
+separate documents; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -55,7 +60,7 @@ def terms_of(text: bytes) -> dict[int, float]:
     shapes = Counter(_RUNS.sub(lambda m: m[0][:1] + b"+", text.translate(_CLASSES)).split())
     out: dict[int, float] = {}
     for shape, count in shapes.items():
-        k = _slot(shape[:24])
+        k = _slot(shape)
         out[k] = out.get(k, 0.0) + count
     out = {k: float(np.log1p(100.0 * c / n)) for k, c in out.items()}
     counts = Counter(words)
@@ -99,10 +104,9 @@ def document_frequencies(docs: DataFrame, id_col: str = "doc_id", text_col: str
     return np.log((df[TERMS] + 1) / (df[:TERMS] + 1)) + 0.1
 
 
-def vectors(texts: list[bytes], idf: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(texts), TERMS), np.float32)
-    for row, t in zip(out, texts, strict=True):
-        found = terms_of(t)
+def vectors(terms: list[dict[int, float]], idf: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(terms), TERMS), np.float32)
+    for row, found in zip(out, terms, strict=True):
         keys = list(found)
         row[keys] = np.array([found[k] for k in keys]) * idf[keys]
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
@@ -115,16 +119,24 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int, id_col: str
     given = given.groupBy("doc_id").agg(F.min("label").alias("label")).join(ids, "doc_id", "left_semi")
     chosen = given.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"))
-    return texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label")
+    found = texts.join(F.broadcast(chosen), "doc_id")
+    return found.groupBy("doc_id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("doc_id", "text", "label")
+
+
+def _termed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        found = [terms_of(t.as_py()) for t in b.column(1)]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([list(x) for x in found], pa.list_(pa.int32())), pa.array([list(x.values()) for x in found], pa.list_(pa.float64()))], ["doc_id", "label", "terms", "weights"])
 
 
 def train(docs: DataFrame, labelled: DataFrame, latent: int = LATENT) -> dict:
     """The space and the voters. labelled: doc_id, text, label, of a bounded number of rows."""
-    rows = sorted(labelled.collect(), key=lambda r: (r.doc_id, r.text))
+    made = bounded_batches(labelled).mapInArrow(_termed, "doc_id long, label int, terms array<int>, weights array<double>")
+    rows = sorted(made.collect(), key=lambda r: r.doc_id)
     idf = document_frequencies(docs)
     if not rows:
         return {"idf": idf, "space": None}
-    x = vectors([bytes(r.text) for r in rows], idf)
+    x = vectors([dict(zip(r.terms, r.weights, strict=True)) for r in rows], idf)
     rng = np.random.default_rng(7)
     q = np.linalg.qr(x.T @ (x @ rng.standard_normal((TERMS, latent), dtype=np.float32)))[0]
     for _ in range(4):
@@ -156,7 +168,7 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
         for b in batches:
             for at in range(0, b.num_rows, BLOCK):
                 part = b.slice(at, BLOCK)
-                found = np.ones(part.num_rows) if m["space"] is None else votes(vectors([t.as_py() for t in part.column(1)], m["idf"]), m)
+                found = np.ones(part.num_rows) if m["space"] is None else votes(vectors([terms_of(t.as_py()) for t in part.column(1)], m["idf"]), m)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found.astype(np.float64))], ["doc_id", "score"])
 
     return id_and_bytes(docs, id_col, text_col).mapInArrow(run, "doc_id long, score double")
@@ -181,7 +193,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
             for at in range(0, b.num_rows, BLOCK):
                 part = b.slice(at, BLOCK)
                 texts = [(t.as_py() or "").encode("utf-8", "replace") for t in part.column(place)]
-                keep = np.ones(len(texts), bool) if m["space"] is None else votes(vectors(texts, m["idf"]), m) >= threshold
+                keep = np.ones(len(texts), bool) if m["space"] is None else votes(vectors(list(map(terms_of, texts)), m["idf"]), m) >= threshold
                 yield part.filter(pa.array(keep))
 
     return bounded_batches(docs).mapInArrow(run, docs.schema)

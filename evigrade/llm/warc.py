@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from evigrade.sources.staging import cut, table
 
-from .common import base32_of_sha1
+from .common import base32_of_sha1, bounded_batches
 
 CHUNK_BYTES = 64 << 10
 CRLF = "\r\n"
@@ -69,7 +69,7 @@ def chunk_table(pages: DataFrame, id_col: str = "page_id", payload_col: str = "h
     cutting = rows.select("record", "page_id", "payload", revisit.alias("revisit"), head.alias("head"), chunks.alias("chunks"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"))
     body = F.when(F.col("revisit"), F.lit(b"")).otherwise(F.substring(F.col("payload"), F.col("chunk") * chunk_bytes + 1, F.lit(chunk_bytes)))
     parts = cutting.select("record", "page_id", "chunk", (F.col("chunk") + 1 == F.col("chunks")).alias("last"), F.when(F.col("chunk") == 0, F.col("head")).cast("binary").alias("head"), body.alias("body"))
-    return parts.mapInArrow(_serialise, CHUNKS)
+    return bounded_batches(parts).mapInArrow(_serialise, CHUNKS)
 
 
 def _serialise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,7 +149,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_records(chunks: DataFrame) -> DataFrame:
     """One row per record, as READ says; intact is false where a chunk, a length or the payload's digest is wrong."""
-    whole = chunks.where("chunk = 0 AND last")
+    whole = bounded_batches(chunks).where("chunk = 0 AND last")
     parts = chunks.where("NOT (chunk = 0 AND last)").repartition("record").sortWithinPartitions("record", "chunk")
     return whole.mapInArrow(_read, READ).unionByName(parts.mapInArrow(_read, READ))
 
