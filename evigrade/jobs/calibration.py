@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from evigrade.functions import thresholds as th
 from evigrade.operators import calibration as op
+from evigrade.operators.bootstrap import draws, draws_sql
 from evigrade.sources.staging import table
 
 #: Point ranges on ln(n_chars), closed; where two share a boundary the first counts.
@@ -19,7 +20,8 @@ SCORED = """s AS (SELECT d.doc_id, d.lang, d.source, ln(d.n_chars) AS score, coa
 
 def _scores(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").where("n_chars > 0").select("doc_id", "lang", "source", "n_chars")
-    rows = docs.join(table(spark, sf, "labels"), "doc_id", "left")
+    labels = table(spark, sf, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    rows = docs.join(labels, "doc_id", "left")
     return op.scoreset(rows, F.ln(F.col("n_chars").cast("double")), F.col("quality") == 1, F.col("quality") == 0, F.col("toxic") == 1, ["doc_id", "lang", "source"])
 
 
@@ -147,10 +149,10 @@ def interval_parse(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def out_of_bag(spark: SparkSession, sf: str) -> DataFrame:
-    """Rows that no draw of a seeded bootstrap took: a left anti join of all rows with the draws."""
-    docs = table(spark, sf, "documents").select("doc_id").crossJoin(spark.range(3).select(F.col("id").alias("seed")).hint("broadcast"))
-    drawn = docs.where(F.expr("(doc_id * 7919 + seed * 104729) % 1000 < 632")).select("doc_id", "seed")
-    return docs.join(drawn, ["doc_id", "seed"], "left_anti")
+    """Rows that no draw of a seeded bootstrap took, by seed."""
+    times = F.array(*draws(F.col("doc_id"), 3))
+    rows = table(spark, sf, "documents").select("doc_id", F.posexplode(times).alias("seed", "n"))
+    return rows.where("n = 0").select("doc_id", F.col("seed").cast("long").alias("seed"))
 
 
 def strata_summary(spark: SparkSession, sf: str) -> DataFrame:
@@ -204,7 +206,7 @@ SELECT l_linestatus, count(*) AS n, count(flag) AS flagged, count(splice) AS sco
 SELECT event_type, count(*) AS n, round(min(value), 6) AS low, round(max(value), 6) AS high FROM events JOIN q USING (event_type) WHERE value BETWEEN a AND b GROUP BY 1""",
     "interval_parse": """WITH r AS (SELECT p_partkey, (p_partkey % 50)::DOUBLE AS score, p_size::DOUBLE AS lo, CASE WHEN p_size > 40 THEN 'inf'::DOUBLE ELSE p_size + 5 END AS hi, p_size % 2 = 0 AS lc, p_size % 3 = 0 AS hc FROM part)
 SELECT p_partkey, lo, CASE WHEN isfinite(hi) THEN hi END AS finite_hi, lc AS lo_closed, hc AS hi_closed, (score > lo OR (lc AND score = lo)) AND (score < hi OR (hc AND score = hi)) AS inside FROM r""",
-    "out_of_bag": "SELECT doc_id, seed FROM documents, range(3) r(seed) WHERE NOT ((doc_id * 7919 + seed * 104729) % 1000 < 632)",
+    "out_of_bag": f"SELECT doc_id, seed FROM documents, range(3) r(seed) WHERE ({draws_sql('doc_id', 'seed')}) = 0",
     "strata_summary": """SELECT r_name, count(*) AS n, count(DISTINCT s_suppkey) AS suppliers, round(sum(l_quantity * l_discount) / sum(l_quantity), 6) AS weighted_mean
 FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1""",
 }

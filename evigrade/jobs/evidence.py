@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from evigrade.jobs.calibration import SCORED, _scores
 from evigrade.operators import evidence as op
+from evigrade.operators.bootstrap import draws_sql
 from evigrade.sources.staging import table
 
 SEEDS = 20
@@ -84,9 +85,9 @@ p AS (SELECT *, sum(y * w) OVER o AS sy, sum(w) OVER o AS sw FROM c WINDOW o AS
 m AS (SELECT i.l_returnflag AS f, i.grid AS lo, j.grid AS hi, (j.sy - i.sy + i.y * i.w) / (j.sw - i.sw + i.w) AS mean FROM p i JOIN p j ON i.l_returnflag = j.l_returnflag AND i.grid <= j.grid),
 t AS (SELECT f, k.grid, m.lo, min(mean) AS least FROM m JOIN c k ON f = k.l_returnflag AND k.grid BETWEEN m.lo AND m.hi GROUP BY 1, 2, 3)
 SELECT f AS l_returnflag, grid, round(max(least), 6) AS fit FROM t GROUP BY 1, 2""",
-    "out_of_bag_evidence": f"""WITH {SCORED}, e AS (SELECT s.*, seed, (doc_id * 7919 + seed * 104729) % 1000 < 632 AS drawn FROM s, range({SEEDS}) r(seed)),
-f AS (SELECT seed, avg(score) FILTER (is_plp) AS m1, avg(score) FILTER (NOT is_plp) AS m0, var_pop(score) AS v, avg(is_plp::INT) AS prior FROM e WHERE drawn AND (is_plp OR is_blb) GROUP BY 1),
-l AS (SELECT doc_id, prior, (m1 - m0) * (score - (m1 + m0) / 2) / v AS lr FROM e JOIN f USING (seed) WHERE NOT drawn AND m1 IS NOT NULL AND m0 IS NOT NULL AND v > 0),
+    "out_of_bag_evidence": f"""WITH {SCORED}, e AS (SELECT s.*, seed, {draws_sql('doc_id', 'seed')} AS d FROM s, range({SEEDS}) r(seed)),
+f AS (SELECT seed, sum(d * score) FILTER (is_plp) / nullif(sum(d) FILTER (is_plp), 0) AS m1, sum(d * score) FILTER (NOT is_plp) / nullif(sum(d) FILTER (NOT is_plp), 0) AS m0, sum(d * score * score) / sum(d) - pow(sum(d * score) / sum(d), 2) AS v, sum(d) FILTER (is_plp)::DOUBLE / sum(d) AS prior FROM e WHERE is_plp OR is_blb GROUP BY 1),
+l AS (SELECT doc_id, prior, (m1 - m0) * (score - (m1 + m0) / 2) / v AS lr FROM e JOIN f USING (seed) WHERE d = 0 AND m1 IS NOT NULL AND m0 IS NOT NULL AND v > 0),
 q AS (SELECT doc_id, count(*) AS fits, median(prior) AS prior, quantile_cont(lr, 0.05) AS p5, quantile_cont(lr, 0.95) AS p95 FROM l GROUP BY 1),
 u AS (SELECT *, ln(0.99 * (1 - prior) / (prior * 0.01)) / 8 AS step FROM q)
 SELECT doc_id, fits, round(prior, 6) AS prior, round(p5, 6) AS p5, round(p95, 6) AS p95, CASE WHEN p5 > 0 THEN least(8, floor(p5 / step)) WHEN p95 < 0 THEN -least(8, floor(-p95 / step)) ELSE 0 END::BIGINT AS points FROM u""",

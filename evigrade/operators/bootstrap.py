@@ -16,22 +16,19 @@ BITS = 16
 STEPS = [round(2**BITS * sum(math.exp(-1) / math.factorial(j) for j in range(k + 1))) for k in range(8)]
 
 
-def _half_word(row_id: Column, seed: int) -> Column:
-    digest = F.md5(F.concat(row_id.cast("string"), F.lit(f":{seed // 8}")))
-    return F.conv(F.substring(digest, 1 + 4 * (seed % 8), 4), 16, 10).cast("int")
+def times_drawn(row_id: Column, seed: Column) -> Column:
+    """How often the seed's bootstrap takes the row; a null id is never taken."""
+    digest = F.md5(F.concat(row_id.cast("string"), F.lit(":"), F.floor(seed / 8).cast("string")))
+    x = F.conv(F.substring(digest, (1 + 4 * (seed % 8)).cast("int"), F.lit(4)), 16, 10).cast("int")
+    found = F.lit(len(STEPS))
+    for k in reversed(range(len(STEPS))):
+        found = F.when(x < STEPS[k], k).otherwise(found)
+    return F.when(row_id.isNotNull(), found).otherwise(0)
 
 
 def draws(row_id: Column, seeds: int) -> list[Column]:
-    """How often each seed's bootstrap takes the row; a null id is never taken."""
-
-    def times(seed: int) -> Column:
-        x = _half_word(row_id, seed)
-        found = F.lit(len(STEPS))
-        for k in reversed(range(len(STEPS))):
-            found = F.when(x < STEPS[k], k).otherwise(found)
-        return F.when(row_id.isNotNull(), found).otherwise(0)
-
-    return [times(s) for s in range(seeds)]
+    """times_drawn of each of the seeds."""
+    return [times_drawn(row_id, F.lit(s)) for s in range(seeds)]
 
 
 def draws_sql(row_id: str, seed: str) -> str:

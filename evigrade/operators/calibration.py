@@ -41,9 +41,10 @@ def replicate_mean(rows: DataFrame, keys: list[str], score: str, flags: list[str
 
 def merge_assays(rows: DataFrame, keys: list[str], points: str, label: str, assay: str) -> DataFrame:
     """One row a variant over its assays: merged points, the largest, the one determinate label if there is just one, and assays."""
-    lo, hi = F.min(points), F.max(points)
-    merged = rows.groupBy(*keys).agg(lo.alias("lo"), hi.alias("hi"), F.countDistinct(label).alias("labels"), F.max(label).alias("top_label"), F.countDistinct(assay).alias("assays"))
-    return merged.select(*keys, merged_points(F.col("lo"), F.col("hi")).alias("points"), F.when(F.col("hi") <= 0, F.col("lo")).otherwise(F.col("hi")).alias("max_points"), F.when(F.col("labels") == 1, F.col("top_label")).alias("label"), "assays")
+    by_assay = rows.groupBy(*keys, assay).agg(F.min(points).alias("lo"), F.max(points).alias("hi"), F.min(label).alias("a"), F.max(label).alias("b"))
+    merged = by_assay.groupBy(*keys).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("a").alias("a"), F.max("b").alias("b"), F.count(assay).alias("assays"))
+    most = F.when(F.col("hi") <= 0, F.col("lo")).otherwise(F.col("hi"))
+    return merged.select(*keys, merged_points(F.col("lo"), F.col("hi")).alias("points"), most.alias("max_points"), F.when(F.col("a") == F.col("b"), F.col("a")).alias("label"), "assays")
 
 
 def runs(curve: DataFrame, keys: list[str], at: str, points: str) -> DataFrame:

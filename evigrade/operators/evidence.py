@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evigrade.functions.thresholds import lr_for_posterior, posterior_from_lr
+from evigrade.operators.bootstrap import draws, times_drawn
 
 #: The combining rules by class, bound on the posterior and strength in eighths of a very strong line, and how many rules have it.
 RULES = {
@@ -82,23 +83,24 @@ def sorted_percentile(values: Column, q: float) -> Column:
     return low + (high - low) * (at - F.floor(at))
 
 
-def drawn(row_id: Column, seed: Column) -> Column:
-    """Whether the seeded bootstrap took the row, for about 632 rows of a thousand: a function of both ids alone, so that any task finds the same."""
-    return (row_id * 7919 + seed * 104729) % 1000 < 632
-
-
 def bootstrap_fits(rows: DataFrame, seeds: int) -> DataFrame:
-    """A row a seed: two classes of equal variance fitted to the drawn rows, and the prior of the first. Fits without both classes or without variance go."""
-    each = rows.where("is_plp OR is_blb").select("doc_id", "score", "is_plp", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(seeds - 1).cast("long"))).alias("seed"))
+    """A row a seed: two classes of equal variance fitted to the drawn rows, and the prior of the first. Fits without both classes or without variance go.
+
+    A row's draws weigh it, so the rows are summed once, seed beside seed, and never copied.
+    """
+    labelled = rows.where("is_plp OR is_blb").select("score", "is_plp", *[t.alias(f"d{i}") for i, t in enumerate(draws(F.col("doc_id"), seeds))])
     x, p = F.col("score"), F.col("is_plp")
-    fits = each.where(drawn(F.col("doc_id"), F.col("seed"))).groupBy("seed").agg(F.avg(F.when(p, x)).alias("m1"), F.avg(F.when(~p, x)).alias("m0"), F.var_pop(x).alias("v"), F.avg(p.cast("double")).alias("prior"))
-    return fits.where("m1 IS NOT NULL AND m0 IS NOT NULL AND v > 0")
+    of = lambda i: F.struct(F.lit(i).cast("long").alias("seed"), *[F.sum(F.when(c, F.col(f"d{i}") * v)).alias(n) for n, c, v in (("n1", p, F.lit(1)), ("s1", p, x), ("n0", ~p, F.lit(1)), ("s0", ~p, x), ("ss", F.lit(True), x * x))])
+    sums = labelled.agg(F.array(*[of(i) for i in range(seeds)]).alias("fits")).select(F.explode("fits").alias("f")).select("f.*").where("n1 > 0 AND n0 > 0")
+    n = F.col("n1") + F.col("n0")
+    fits = sums.select("seed", (F.col("s1") / F.col("n1")).alias("m1"), (F.col("s0") / F.col("n0")).alias("m0"), (F.col("ss") / n - F.pow((F.col("s1") + F.col("s0")) / n, F.lit(2))).alias("v"), (F.col("n1") / n).alias("prior"))
+    return fits.where("v > 0")
 
 
 def out_of_bag_evidence(rows: DataFrame, fits: DataFrame) -> DataFrame:
     """Each row's evidence from the fits that didn't draw it. The fits, a row a seed, go to all tasks as one array; rows don't move."""
     packed = fits.agg(F.collect_list(F.struct("seed", "m1", "m0", "v", "prior")).alias("fits"))
-    unseen = F.filter("fits", lambda f: ~drawn(F.col("doc_id"), f["seed"]))
+    unseen = F.filter("fits", lambda f: times_drawn(F.col("doc_id"), f["seed"]) == 0)
     log_lr = F.array_sort(F.transform("unseen", lambda f: (f["m1"] - f["m0"]) * (F.col("score") - (f["m1"] + f["m0"]) / 2) / f["v"]))
     out = rows.crossJoin(F.broadcast(packed)).select("doc_id", "score", unseen.alias("unseen")).where(F.size("unseen") > 0)
     out = out.select("doc_id", log_lr.alias("lr"), F.array_sort(F.transform("unseen", lambda f: f["prior"])).alias("priors"))

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evigrade.operators.evidence import drawn
+from evigrade.operators.bootstrap import draws
 
 SAMPLES = ("is_plp", "is_blb", "is_pop")
 BINS, MAX_STEPS, TOLERANCE = 1024, 200, 1e-7
@@ -27,14 +27,18 @@ _ERFC = np.frompyfunc(math.erfc, 1, 1)
 
 
 def counted_scores(rows: DataFrame, dataset: str, seeds: int, bins: int = BINS, row_id: str = "doc_id") -> DataFrame:
-    """dataset, seed, sample, x, n, unseen: rows of a bin that the seed drew, and those that it didn't."""
+    """dataset, seed, sample, x, n, unseen: how often the seed drew the rows of a bin, and how many of them it never drew.
+
+    A row's draws in all seeds are summed side by side, so rows aren't copied by seed.
+    """
     ok = rows.where(F.col("score").isNotNull() & ~F.isnan("score"))
     ends = ok.groupBy(dataset).agg(F.min("score").alias("lo"), F.max("score").alias("hi")).where("hi > lo")
     member = F.filter(F.array(*[F.when(F.col(c), F.lit(i)) for i, c in enumerate(SAMPLES)]), lambda s: s.isNotNull())
     place = F.least(F.lit(bins - 1), F.floor((F.col("score") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins)).cast("int")
-    placed = ok.join(ends, dataset).select(dataset, row_id, "score", place.alias("bin"), F.explode(member).alias("sample"))
-    took = placed.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(seeds - 1).cast("long"))).alias("seed")).withColumn("took", drawn(F.col(row_id), F.col("seed")))
-    return took.groupBy(dataset, "seed", "sample", "bin").agg(F.avg("score").alias("x"), F.count_if("took").alias("n"), F.count_if(~F.col("took")).alias("unseen")).drop("bin")
+    times = [t.alias(f"_d{i}") for i, t in enumerate(draws(F.col(row_id), seeds))]
+    placed = ok.join(ends, dataset).select(dataset, "score", place.alias("bin"), member.alias("samples"), *times).select("*", F.explode("samples").alias("sample"))
+    sums = placed.groupBy(dataset, "sample", "bin").agg(F.avg("score").alias("x"), F.array(*[F.struct(F.lit(i).cast("long").alias("seed"), F.sum(f"_d{i}").alias("n"), F.count_if(F.col(f"_d{i}") == 0).alias("unseen")) for i in range(seeds)]).alias("seeds"))
+    return sums.select(dataset, "sample", "x", F.explode("seeds").alias("s")).select(dataset, "s.seed", "sample", "x", "s.n", "s.unseen")
 
 
 def log_cdf(z: np.ndarray) -> np.ndarray:
@@ -129,16 +133,34 @@ def best_fits(fits: DataFrame, dataset: str) -> DataFrame:
 
 
 def class_prior(f1: np.ndarray, f2: np.ndarray, n: np.ndarray, steps: int = 10_000, tolerance: float = 1e-6) -> float:
-    """Share of the first class in the population: fixed point from 0.5; NaN if it ends within a thousandth of 0 or 1."""
+    """Share of the first class in the population: fixed point from 0.5; NaN if it ends within a thousandth of 0 or 1. Places where both densities are 0 say nothing."""
+    seen = (f1 > 0) | (f2 > 0)
+    f1, f2, n = f1[seen], f2[seen], n[seen]
+    if not n.sum():
+        return math.nan
     prior = 0.5
     for _ in range(steps):
-        after = float(np.average(prior * f1 / np.maximum(prior * f1 + (1 - prior) * f2, 1e-300), weights=n))
+        after = float(np.average(prior * f1 / (prior * f1 + (1 - prior) * f2), weights=n))
         done, prior = abs(after - prior) < tolerance, after
-        if done:
+        if done or not 0 < prior < 1:
             break
     return prior if 0.001 < prior < 0.999 else math.nan
 
 
+#: Priors where one class has no sample: without any place to judge by, the least one that is told, and from where on it isn't.
+NO_SIGNAL, LEAST, MOST = 0.1, 0.01, 0.99
+
+
+def one_class_prior(labelled: np.ndarray, population: np.ndarray, pathogenic: bool) -> float:
+    """Share of the pathogenic class from the density of one labelled class and of the population: the labelled class can't outweigh the population anywhere."""
+    at = labelled > 0
+    if not at.any():
+        return NO_SIGNAL
+    bound = float((population[at] / labelled[at]).min())
+    prior = bound if pathogenic else 1 - bound
+    return math.nan if prior >= MOST or prior < 0 else max(prior, LEAST)
+
+
 def density_priors(best: DataFrame, counts: DataFrame, dataset: str) -> DataFrame:
     """dataset, seed, n_c, prior: class densities of each best fit at the population's scores; discarded priors are null."""
     kind = dict(best.dtypes)[dataset]

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evigrade.operators import mixtures as op
-from evigrade.operators.evidence import drawn
+from evigrade.operators.bootstrap import times_drawn
 
 SCHEMA = "doc_id long, g string, score double, is_plp boolean, is_blb boolean, is_pop boolean, score_lo double"
 
@@ -51,12 +51,12 @@ def test_fits_of_the_table_are_those_of_the_raw_rows(rows):
     assert {(r.g, r.seed, r.n_c, r.fit_idx) for r in fits} == {("a", s, 2, i) for s in (0, 1) for i in (0, 1)}
     raw = rows.where("g = 'a' AND score IS NOT NULL AND NOT isnan(score)")
     for r in fits:
-        mine = raw.where(drawn(F.col("doc_id"), F.lit(r.seed))).collect()
-        pairs = sorted((s, d.score) for d in mine for s, c in enumerate(op.SAMPLES) if d[c])
-        s, x = (np.array(c) for c in zip(*pairs, strict=True))
-        m = op.fit_mixture(s, x, np.ones(len(x)), 2, r.fit_idx, r.seed)
+        mine = raw.withColumn("n", times_drawn(F.col("doc_id"), F.lit(r.seed))).where("n > 0").collect()
+        pairs = sorted((s, d.score, d.n) for d in mine for s, c in enumerate(op.SAMPLES) if d[c])
+        s, x, n = (np.array(c) for c in zip(*pairs, strict=True))
+        m = op.fit_mixture(s, x, n, 2, r.fit_idx, r.seed)
         assert np.allclose([c["loc"] for c in r.components], m["loc"], atol=1e-3) and np.allclose(r.weights, m["w"], atol=1e-3)
-        assert math.isclose(r.train_ll, op.log_likelihood(s, x, np.ones(len(x)), m), rel_tol=1e-6)
+        assert math.isclose(r.train_ll, op.log_likelihood(s, x, n, m), rel_tol=1e-6)
     best = op.best_fits(op.mixture_fits(counts, "g", (2,), 2), "g")
     prior = {r.seed: r.prior for r in op.density_priors(best, counts, "g").collect()}
     assert set(prior) == {0, 1} and all(abs(p - 0.5) < 0.08 for p in prior.values())
@@ -73,6 +73,13 @@ def test_priors():
     f = lambda m: np.exp(-((x - m) ** 2) / 2)
     assert abs(op.class_prior(f(0), f(3), np.ones(10_000)) - 0.3) < 0.02
     assert math.isnan(op.class_prior(np.zeros(3), np.ones(3), np.ones(3)))
+    far = np.concatenate([x, np.full(5000, 1e6)])
+    g = lambda m: np.exp(-((far - m) ** 2) / 2)
+    assert abs(op.class_prior(g(0), g(3), np.ones(15_000)) - 0.3) < 0.02  # outliers that neither class reaches don't count
+    mix = 0.3 * f(0) + 0.7 * f(3)
+    assert abs(op.one_class_prior(f(0), mix, True) - 0.3) < 0.05 and abs(op.one_class_prior(f(3), mix, False) - 0.3) < 0.05
+    assert op.one_class_prior(np.zeros(3), np.ones(3), True) == 0.1 and op.one_class_prior(np.ones(3), np.full(3, 1e-6), True) == 0.01
+    assert math.isnan(op.one_class_prior(np.ones(3), np.full(3, 2.0), False))
 
 
 def test_empty_and_quantile_distance(spark, rows):
