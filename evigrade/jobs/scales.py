@@ -149,7 +149,7 @@ _SLOPE = f"(ln(11::DOUBLE) / {GAP})"
 _LR = "(0.99 * (1 - prior) / (prior * 0.01))"
 _CRITERIA = " + ".join(f"({_POST.format(f'pow(c::DOUBLE, {e / 8})')} >= {q}::DOUBLE)::INT" for eighths, q in ((sc.LIKELY_EIGHTHS, 0.9), (sc.CERTAIN_EIGHTHS, 0.99)) for e in eighths)
 SQL = {
-    "evidence_scales": GRADED + ", l AS (SELECT doc_id, prior, " + ", ".join(f"{e} AS {n}" for n, e in _LOGS.items()) + " FROM g) SELECT doc_id, " + ", ".join(f"round({n}, 6) AS {n}_log_lr, round(log10(exp({n})), 6) AS {n}_lr, round({_POST.format(f'exp({n})')}, 6) AS {n}_posterior" for n in _LOGS) + " FROM l",
+    "evidence_scales": GRADED + ", l AS (SELECT doc_id, prior, " + ", ".join(f"{e} AS {n}" for n, e in _LOGS.items()) + " FROM g) SELECT doc_id, " + ", ".join(f"round({n}, 6) + 0::DOUBLE AS {n}_log_lr, round(log10(exp({n})), 6) AS {n}_lr, round({_POST.format(f'exp({n})')}, 6) AS {n}_posterior" for n in _LOGS) + " FROM l",
     "scale_tiers": PRIORS + ", g AS (SELECT source, k AS points, ln(prior / (1 - prior)) AS lpo, k::DOUBLE AS t FROM p, range(1, 9) r(k)), n AS (SELECT source, points, lpo, -t AS t FROM g), a AS (SELECT source, points, "
     + f"round(exp({_LOGS['piecewise']}), 6) AS piecewise_p, round(exp({_LOGS['additive']}), 6) AS additive_p FROM g), b AS (SELECT source, points, round(exp({_LOGS['piecewise']}), 6) AS piecewise_b, round(exp({_LOGS['additive']}), 6) AS additive_b FROM n) SELECT * FROM a JOIN b USING (source, points)",
     "continuous_targets": PRIORS + " SELECT source, " + ", ".join(f"round({q}::DOUBLE * (1 - prior) / (prior * (1 - {q}::DOUBLE)), 6) AS lr_{n}, round({_FLOOR[n]} * (1 - prior) / (prior * (1 - {_FLOOR[n]})), 6) AS floor_{n}" for n, q in STRICT.items()) + " FROM p",
