@@ -11,8 +11,10 @@ from .media import op9_media
 from .packing import op7_packing
 from .pii import op2_pii
 from .quality import op3_quality
+from .quality_rules import op13_quality_rules
 from .sharding import op8_sharding
 from .simhash_dedup import op6_simhash_dedup
+from .token_alignment import op12_token_alignment
 from .warc import OP1_SQL, op1_warc
 
 QUERIES = {
@@ -26,6 +28,8 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_media": op9_media,
     "op10_exact_dedup": op10_exact_dedup,
+    "op12_token_alignment": op12_token_alignment,
+    "op13_quality_rules": op13_quality_rules,
     "pipeline": corpus_pipeline.run,
 }
 SQL = {"op1_warc": OP1_SQL, "op10_exact_dedup": OP10_SQL}
