@@ -10,6 +10,7 @@ from .language_id import op4_language_id
 from .media import op9_media
 from .packing import op7_packing
 from .pii import op2_pii
+from .prefix_trie import OP11_SQL, op11_prefix_trie
 from .quality import op3_quality
 from .quality_rules import op13_quality_rules
 from .sharding import op8_sharding
@@ -28,10 +29,11 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_media": op9_media,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_prefix_trie": op11_prefix_trie,
     "op12_token_alignment": op12_token_alignment,
     "op13_quality_rules": op13_quality_rules,
     "pipeline": corpus_pipeline.run,
 }
-SQL = {"op1_warc": OP1_SQL, "op10_exact_dedup": OP10_SQL}
+SQL = {"op1_warc": OP1_SQL, "op10_exact_dedup": OP10_SQL, "op11_prefix_trie": OP11_SQL}
 if corpus_pipeline.ORACLE_SQL:
     SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
