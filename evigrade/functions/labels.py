@@ -92,10 +92,17 @@ def call_by_intervals(score: Column, intervals: Column) -> Column:
     return F.coalesce(calls[F.lower(F.trim(F.get(inside, F.lit(0))["class"]))], F.lit("Indeterminate"))
 
 
-def author_call(standard: Column, mapped: Column, reported: Column, score: Column, intervals: Column) -> Column:
-    """The author's call: the standard class, else the dataset's map of the reported one, else its normalised text, else the intervals."""
-    calls = F.create_map(*[F.lit(x) for pair in CALLS.items() for x in pair])
-    return F.coalesce(standard_class(standard), mapped, calls[F.lower(F.trim(reported))], F.when(score.isNotNull(), call_by_intervals(score, intervals)), F.lit("Indeterminate"))
+def author_call(standard: Column, has_standard: Column, is_mapped: Column, mapped: Column, reported: Column, score: Column, intervals: Column) -> Column:
+    """The author's call.
+
+    Where the table has a standard class, that class decides, and a missing one is Indeterminate. Else, in a dataset that has a
+    map of reported classes, the map decides, then the normalised text, then the intervals; in any other dataset the
+    intervals decide at once. Without a score or an interval the call is Indeterminate.
+    """
+    calls, unknown = F.create_map(*[F.lit(x) for pair in CALLS.items() for x in pair]), F.lit("Indeterminate")
+    by_interval = F.when(score.isNotNull() & (F.size(intervals) > 0), call_by_intervals(score, intervals))
+    by_text = F.when(is_mapped & reported.isNotNull(), F.coalesce(mapped, calls[F.lower(F.trim(reported))]))
+    return F.when(has_standard, F.coalesce(standard_class(standard), unknown)).otherwise(F.coalesce(by_text, by_interval, unknown))
 
 
 def in_sample(sample: Column, category: str) -> Column:

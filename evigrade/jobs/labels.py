@@ -33,6 +33,7 @@ VARIANTS = {
     "sig": SIG, "status": STATUS, "sig_now": SIG.replace("% 7", "% 6"), "status_now": STATUS.replace("l_partkey", "l_suppkey"),
     "frequency": "CASE WHEN l_tax > 0.04 THEN l_tax END",
     "standard": "CASE WHEN l_linenumber = 1 THEN 'nORMAL' WHEN l_linenumber = 2 AND l_partkey % 2 = 0 THEN ' Not Specified' END",
+    "has_standard": "l_linenumber <= 2",
     "reported": "CASE l_linenumber WHEN 3 THEN ' Abnormal ' WHEN 4 THEN 'depleted' WHEN 5 THEN 'not specified' END",
     "score": "CASE WHEN l_partkey % 17 > 0 THEN CAST(l_discount AS DOUBLE) * 100 END",
     "range1": "CASE WHEN l_suppkey % 6 < 4 THEN '[-Inf, 3)' END", "class1": "'Abnormal'",
@@ -57,7 +58,7 @@ def with_calls(rows: DataFrame) -> DataFrame:
     classes = spark.createDataFrame(REPORTED_CLASSES, "kind string, reported string, mapped string")
     joined = rows.withColumn("kind", F.regexp_extract("dataset", "_(Kim[0-9])", 1)).join(F.broadcast(classes), ["kind", "reported"], "left")
     intervals = lb.interval_list([(c("range1"), c("class1")), (c("range2"), c("class2"))])
-    return joined.withColumn("author", lb.author_call(c("standard"), c("mapped"), c("reported"), c("score"), intervals)).drop("kind", "mapped")
+    return joined.withColumn("author", lb.author_call(c("standard"), c("has_standard"), c("kind").isin([k for k, *_ in REPORTED_CLASSES]), c("mapped"), c("reported"), c("score"), intervals)).drop("kind", "mapped")
 
 
 def variant_names(spark: SparkSession, sf: str) -> DataFrame:
@@ -150,8 +151,9 @@ def _inside(i: int) -> str:
 
 
 CALLS = f"""m AS (SELECT * FROM (VALUES {", ".join(str(r) for r in REPORTED_CLASSES)}) t(kind, reported, mapped)),
-c AS (SELECT v.*, coalesce(CASE WHEN lower(trim(standard)) IN ('nan', 'not specified') THEN 'Indeterminate' ELSE upper(standard[1]) || lower(standard[2:]) END, mapped, {_CALL.format("v.reported")},
-  CASE WHEN score IS NOT NULL THEN CASE WHEN {_inside(1)} THEN coalesce({_CALL.format("class1")}, 'Indeterminate') WHEN {_inside(2)} THEN coalesce({_CALL.format("class2")}, 'Indeterminate') ELSE 'Indeterminate' END END, 'Indeterminate') AS author
+c AS (SELECT v.*, CASE WHEN has_standard THEN CASE WHEN standard IS NULL OR lower(trim(standard)) IN ('nan', 'not specified') THEN 'Indeterminate' ELSE upper(standard[1]) || lower(standard[2:]) END
+  ELSE coalesce(CASE WHEN regexp_extract(dataset, '_(Kim[0-9])', 1) IN (SELECT kind FROM m) THEN coalesce(mapped, {_CALL.format("v.reported")}) END,
+  CASE WHEN score IS NOT NULL THEN CASE WHEN {_inside(1)} THEN coalesce({_CALL.format("class1")}, 'Indeterminate') WHEN {_inside(2)} THEN coalesce({_CALL.format("class2")}, 'Indeterminate') END END, 'Indeterminate') END AS author
   FROM v LEFT JOIN m ON m.kind = regexp_extract(dataset, '_(Kim[0-9])', 1) AND m.reported = v.reported)"""
 _EXP = {
     "name": "CASE WHEN p_partkey % 9 = 0 THEN 'CALM1_CALM2_CALM3_Weile_2017' WHEN p_partkey % 9 = 1 THEN concat('G', p_size, '_unpublished') ELSE concat('G', p_size, '_', p_type, '_', 1900 + p_partkey % 130, CASE WHEN p_partkey % 2 = 0 THEN '_exon2' ELSE '' END) END",
