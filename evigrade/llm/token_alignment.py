@@ -24,9 +24,11 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +46,9 @@ A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: B's ids stay below this power of two, so that a pair is one number: the id of A times it plus the id of B.
 B_IDS = 1 << 15
 #: Stretches kept by a worker process, and the longest one that is kept, in characters.
-KEPT, LONGEST = 200_000, 64
+KEPT, LONGEST = 400_000, 64
+#: Bytes of the texts that are aligned together.
+BLOCK = 2 << 20
 #: Pairs whose counts are broadcast, at most; the others are joined.
 HEAD = 1 << 20
 #: Distinct pairs of documents that a task folds at a time.
@@ -61,49 +65,49 @@ class Aligner:
         import sentencepiece
 
         a = Units(a_path, 0)
-        self.encode_a, self.a_bytes = a.one, a.one.__self__.decode_single_token_bytes
+        self.encode_a = a.one
+        self.a_bytes = [a.one.__self__.decode_single_token_bytes(i) for i in range(a.one.__self__.max_token_value + 1)]
         b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         self.encode_b = b.encode
         self.b_bytes = [bytes([int(p[3:5], 16)]) if b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(b.id_to_piece(i) for i in range(b.get_piece_size()))]
         if len(self.b_bytes) > B_IDS:
             raise ValueError(f"more than {B_IDS} ids of the second tokenizer")
+        self.sizes = list(map(len, self.a_bytes)), list(map(len, self.b_bytes))
+        self.names = list(map(str, range(max(map(len, self.sizes)))))
         self.kept, self.known = kept, {}
 
-    def stretch(self, text: str) -> tuple | None:
-        """(A ids, B ids, groups, links, written groups, linked pairs) of a stretch that begins with a space; None if tokens don't spell it."""
-        a, b = self.encode_a(text), self.encode_b(text[1:])
-        of_a, of_b = [self.a_bytes(i) for i in a], [self.b_bytes[i] for i in b]
-        raw = text.encode()
-        if b"".join(of_a) != raw or b"".join(of_b) != raw:
+    def stretch(self, text: str, b: list[int]) -> tuple | None:
+        """(A ids, B ids, groups, written groups, linked pairs) of a stretch that begins with a space and its B ids; None if tokens don't spell it."""
+        a, raw = self.encode_a(text), text.encode()
+        if b"".join(map(self.a_bytes.__getitem__, a)) != raw or b"".join(map(self.b_bytes.__getitem__, b)) != raw:
             return None
-        ends_a, ends_b = ends(of_a), ends(of_b)
-        groups = leaves(ends_a, ends_b)
-        written, pairs = [], []
-        i = j = 0
+        ends_a, ends_b = (list(accumulate(map(sizes.__getitem__, ids))) for sizes, ids in zip(self.sizes, (a, b), strict=True))
+        named_a, named_b = list(map(self.names.__getitem__, a)), list(map(self.names.__getitem__, b))
+        groups, written, i, j = leaves(ends_a, ends_b), [], 0, 0
         for to_i, to_j in groups:
-            written.append(",".join(map(str, a[i:to_i])) + "|" + ",".join(map(str, b[j:to_j])))
-            pairs += [a[x] * B_IDS + b[y] for x, y in overlaps(ends_a, ends_b, i, j, to_i, to_j)]
+            written.append(",".join(named_a[i:to_i]) + "|" + ",".join(named_b[j:to_j]))
             i, j = to_i, to_j
-        return len(a), len(b), len(groups), len(pairs), ";".join(written), np.array(pairs, _JOINED).tobytes()
+        return len(a), len(b), len(groups), ";".join(written), array("I", linked(a, b, ends_a, ends_b)).tobytes()
 
-    def align(self, text: str) -> tuple | None:
-        """As stretch, of a whole text; a null, an empty or a misspelt one gives None."""
-        if not text:
-            return None
+    def align(self, texts: list[str]) -> list[tuple | None]:
+        """(A ids, B ids, groups, written groups, linked pairs) of each text; None for an empty or a misspelt one."""
         if len(self.known) > self.kept:
             self.known.clear()
-        parts, known = [], self.known
-        for s in stretches(" " + text):
-            found = known.get(s)
-            if found is None:
-                found = self.stretch(s)
-                if found is None:
-                    return None
-                if len(s) <= LONGEST:
-                    known[s] = found
-            parts.append(found)
-        n_a, n_b, n_groups, n_links, written, pairs = zip(*parts, strict=True)
-        return sum(n_a), sum(n_b), sum(n_groups), sum(n_links), ";".join(written), b"".join(pairs)
+        cut, known = [stretches(" " + t) if t else [] for t in texts], self.known
+        unseen = list(set().union(*cut).difference(known))
+        known.update(zip(unseen, map(self.stretch, unseen, self.encode_b([s[1:] for s in unseen], num_threads=1)), strict=True))
+        out = []
+        for parts in cut:
+            found = list(map(known.__getitem__, parts))
+            if not found or None in found:
+                out.append(None)
+                continue
+            n_a, n_b, n_groups, written, pairs = zip(*found, strict=True)
+            out.append((sum(n_a), sum(n_b), sum(n_groups), ";".join(written), b"".join(pairs)))
+        for s in unseen:
+            if len(s) > LONGEST:
+                del known[s]
+        return out
 
 
 def stretches(text: str) -> list[str]:
@@ -112,54 +116,52 @@ def stretches(text: str) -> list[str]:
     return [first, *[" " + s for s in rest]]
 
 
-def ends(tokens: list[bytes]) -> list[int]:
-    at, out = 0, []
-    for t in tokens:
-        at += len(t)
-        out.append(at)
-    return out
-
-
 def leaves(ends_a: list[int], ends_b: list[int]) -> list[tuple[int, int]]:
     """Where groups end, as (tokens of A, tokens of B) before the cut, in order; both lists of ends close with the text's length.
 
     An interval is a range of A's tokens and one of B's. Its inner ends of A are tried outwards from the middle, each looked
-    up among B's by bisection. A stretch without cuts is tried again only while it holds the middle of its interval, so all
+    up among B's by bisection. A part without cuts is tried again only while it holds the middle of its interval, so all
     searches together take about n log n tries.
     """
+    if len(ends_a) == 1 or len(ends_b) == 1:
+        return [(len(ends_a), len(ends_b))]
     out: list[tuple[int, int]] = []
     todo = [(0, len(ends_a), 0, len(ends_b))]
     while todo:
         i, to_i, j, to_j = todo.pop()
-        found = common_near_middle(ends_a, ends_b, i, to_i - 1, j, to_j - 1) if to_i - i > 1 and to_j - j > 1 else None
-        if found is None:
-            out.append((to_i, to_j))
+        if to_i - i > 1 and to_j - j > 1:
+            last, middle = to_j - 1, (i + to_i - 1) // 2
+            for x in _outwards(i, to_i - 1, middle):
+                end = ends_a[x]
+                y = bisect_left(ends_b, end, j, last)
+                if y < last and ends_b[y] == end:
+                    todo += [(x + 1, to_i, y + 1, to_j), (i, x + 1, j, y + 1)]
+                    break
+            else:
+                out.append((to_i, to_j))
         else:
-            x, y = found
-            todo += [(x, to_i, y, to_j), (i, x, j, y)]
+            out.append((to_i, to_j))
     return out
 
 
-def common_near_middle(ends_a: list[int], ends_b: list[int], i: int, to_i: int, j: int, to_j: int) -> tuple[int, int] | None:
-    """(tokens of A, tokens of B) before a common end among ends_a[i:to_i] and ends_b[j:to_j], the nearest to the middle of A's."""
-    middle = (i + to_i) // 2
-    for step in range(max(middle - i, to_i - 1 - middle) + 1):
-        for x in (middle - step, middle + step) if step else (middle,):
-            if i <= x < to_i:
-                y = bisect_left(ends_b, ends_a[x], j, to_j)
-                if y < to_j and ends_b[y] == ends_a[x]:
-                    return x + 1, y + 1
-    return None
-
-
-def overlaps(ends_a: list[int], ends_b: list[int], i: int, j: int, to_i: int, to_j: int) -> list[tuple[int, int]]:
-    """Pairs of tokens of a group whose byte ranges overlap: the earlier end moves on."""
-    out = []
-    while i < to_i and j < to_j:
-        out.append((i, j))
-        a, b = ends_a[i], ends_b[j]
-        i += a <= b
-        j += b <= a
+def _outwards(i: int, to_i: int, middle: int) -> Iterator[int]:
+    """range(i, to_i) from the middle outwards."""
+    yield middle
+    for step in range(1, max(middle - i, to_i - 1 - middle) + 1):
+        if middle - step >= i:
+            yield middle - step
+        if middle + step < to_i:
+            yield middle + step
+
+
+def linked(a: list[int], b: list[int], ends_a: list[int], ends_b: list[int]) -> list[int]:
+    """Pairs of ids of the tokens whose byte ranges overlap, as one number each: the earlier end moves on."""
+    out, i, j, n = [], 0, 0, len(a)
+    while i < n:
+        out.append(a[i] * B_IDS + b[j])
+        end_a, end_b = ends_a[i], ends_b[j]
+        i += end_a <= end_b
+        j += end_b <= end_a
     return out
 
 
@@ -175,13 +177,12 @@ def alignments(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner, row = _aligner(a_path, b_path), TaskContext.get().partitionId() << 32
         for b in batches:
-            for first, texts in batches_of(b.column(1)):
+            for first, texts in batches_of(b.column(1), BLOCK):
                 rows = []
-                for i, text in enumerate(texts):
-                    found = aligner.align(text)
-                    n, written, pairs = (found[:4], hashlib.sha256(found[4].encode()).hexdigest(), found[5]) if found else ((0, 0, 0, 0), "", b"")
+                for i, found in enumerate(aligner.align(texts)):
+                    n, written, pairs = (found[:3], hashlib.sha256(found[3].encode()).hexdigest(), found[4]) if found else ((0, 0, 0), "", b"")
                     pair, times = np.unique(np.frombuffer(pairs, _JOINED), return_counts=True)
-                    rows.append((row, b.column(0)[first + i].as_py(), *n, written, pair.tobytes(), times.astype("<u4").tobytes()))
+                    rows.append((row, b.column(0)[first + i].as_py(), *n, len(pairs) // _JOINED.itemsize, written, pair.tobytes(), times.astype(_JOINED).tobytes()))
                     row += 1
                 kinds = [pa.int64()] * 6 + [pa.string(), pa.binary(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], [f.split()[0] for f in ALIGNED.split(", ")])
