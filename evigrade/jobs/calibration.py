@@ -15,7 +15,7 @@ RANGES = [(9.0, 99.0, 4), (8.0, 9.0, 2), (7.0, 8.0, 1), (5.0, 6.0, -1), (4.0, 5.
 FIRST = "CASE " + " ".join(f"WHEN score BETWEEN {lo} AND {hi} THEN {p}" for lo, hi, p in RANGES) + " ELSE 0 END"
 LAST = "CASE " + " ".join(f"WHEN score BETWEEN {lo} AND {hi} THEN {p}" for lo, hi, p in reversed(RANGES)) + " ELSE 0 END"
 SCORED = """s AS (SELECT d.doc_id, d.lang, d.source, ln(d.n_chars) AS score, coalesce(l.quality = 1, false) AS is_plp, coalesce(l.quality = 0, false) AS is_blb,
-  true AS is_pop, coalesce(l.toxic = 1, false) AS is_reg FROM documents d LEFT JOIN labels l USING (doc_id) WHERE d.n_chars > 0)"""
+  true AS is_pop, coalesce(l.toxic = 1, false) AS is_reg FROM documents d LEFT JOIN (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY 1) l USING (doc_id) WHERE d.n_chars > 0)"""
 
 
 def _scores(spark: SparkSession, sf: str) -> DataFrame:

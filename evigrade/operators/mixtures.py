@@ -27,7 +27,7 @@ _ERFC = np.frompyfunc(math.erfc, 1, 1)
 
 
 def counted_scores(rows: DataFrame, dataset: str, seeds: int, bins: int = BINS, row_id: str = "doc_id") -> DataFrame:
-    """dataset, seed, sample, x, n, unseen: how often the seed drew the rows of a bin, and how many of them it never drew.
+    """dataset, seed, sample, x, rows, n, unseen: the rows of a bin, how often the seed drew them, and how many of them it never drew.
 
     A row's draws in all seeds are summed side by side, so rows aren't copied by seed.
     """
@@ -37,8 +37,8 @@ def counted_scores(rows: DataFrame, dataset: str, seeds: int, bins: int = BINS,
     place = F.least(F.lit(bins - 1), F.floor((F.col("score") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins)).cast("int")
     times = [t.alias(f"_d{i}") for i, t in enumerate(draws(F.col(row_id), seeds))]
     placed = ok.join(ends, dataset).select(dataset, "score", place.alias("bin"), member.alias("samples"), *times).select("*", F.explode("samples").alias("sample"))
-    sums = placed.groupBy(dataset, "sample", "bin").agg(F.avg("score").alias("x"), F.array(*[F.struct(F.lit(i).cast("long").alias("seed"), F.sum(f"_d{i}").alias("n"), F.count_if(F.col(f"_d{i}") == 0).alias("unseen")) for i in range(seeds)]).alias("seeds"))
-    return sums.select(dataset, "sample", "x", F.explode("seeds").alias("s")).select(dataset, "s.seed", "sample", "x", "s.n", "s.unseen")
+    sums = placed.groupBy(dataset, "sample", "bin").agg(F.avg("score").alias("x"), F.count("*").alias("rows"), F.array(*[F.struct(F.lit(i).cast("long").alias("seed"), F.sum(f"_d{i}").alias("n"), F.count_if(F.col(f"_d{i}") == 0).alias("unseen")) for i in range(seeds)]).alias("seeds"))
+    return sums.select(dataset, "sample", "x", "rows", F.explode("seeds").alias("s")).select(dataset, "s.seed", "sample", "x", "rows", "s.n", "s.unseen")
 
 
 def log_cdf(z: np.ndarray) -> np.ndarray:
@@ -164,7 +164,7 @@ def one_class_prior(labelled: np.ndarray, population: np.ndarray, pathogenic: bo
 def density_priors(best: DataFrame, counts: DataFrame, dataset: str) -> DataFrame:
     """dataset, seed, n_c, prior: class densities of each best fit at the population's scores; discarded priors are null."""
     kind = dict(best.dtypes)[dataset]
-    pop = counts.where(F.col("sample") == SAMPLES.index("is_pop")).select(dataset, "seed", "x", (F.col("n") + F.col("unseen")).alias("rows"))
+    pop = counts.where(F.col("sample") == SAMPLES.index("is_pop")).select(dataset, "seed", "x", "rows")
     keyed = pop.join(best.select(dataset, "seed", "n_c", "components", "weights"), [dataset, "seed"])
 
     def prior(one: pd.DataFrame) -> pd.DataFrame:
