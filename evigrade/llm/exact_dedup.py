@@ -43,9 +43,10 @@ def _surviving(rows: DataFrame, keys: list[str], slots: int) -> DataFrame:
 
 
 def refined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = PREFIX_CHARS, slots: int = SLOTS, digest_all: bool = False) -> DataFrame:
-    """doc_id, mark (a hash of the original text), chars and full, the digest of the normalised text, of every row.
+    """doc_id, mark (a hash of the original text), chars, full and rest of every row.
 
-    full is null where the full hash was never needed; digest_all fills it for every row.
+    full is the digest of the normalised text of the rows that both steps left, and null where it was never needed. Those rows'
+    digests are in rest if digest_all asks for them; nothing is grouped by it.
     """
     base = id_and_text(docs, id_col, text_col)
     norm = base.select("doc_id", F.xxhash64("text").alias("mark"), F.length("text").alias("chars"), normalised(F.col("text")).alias("norm")).withColumn("size", F.octet_length("norm"))
@@ -55,8 +56,9 @@ def refined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pre
     both = F.pmod(F.xxhash64("size", "prefix"), F.lit(slots)).alias("slot")
     pairs = rows.where("again").groupBy("size", "prefix").agg(F.count("*").alias("n")).where("n > 1").select(both).distinct()
     second = rows.withColumn("slot", both).join(F.broadcast(cut(pairs, "dedup-pairs").withColumn("hit", F.lit(True))), "slot", "left")
-    full = F.unhex(F.sha2("norm", 256))
-    return cut(second.select("doc_id", "mark", "chars", (full if digest_all else F.when(F.col("again") & F.col("hit"), full)).alias("full")), "dedup-rows")
+    full, left = F.unhex(F.sha2("norm", 256)), F.coalesce(F.col("again") & F.col("hit"), F.lit(False))
+    rest = F.when(~left, full) if digest_all else F.lit(None).cast("binary")
+    return cut(second.select("doc_id", "mark", "chars", F.when(left, full).alias("full"), rest.alias("rest")), "dedup-rows")
 
 
 def _order() -> Column:
@@ -70,7 +72,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     rows = refined(docs, id_col, text_col, prefix_chars, slots, digest_all)
     one = F.lit(1).cast("long")
-    alone = rows.where("full IS NULL").select("doc_id", F.col("doc_id").alias("keep_id"), one.alias("group_size"), F.lit(True).alias("kept"), "full")
+    alone = rows.where("full IS NULL").select("doc_id", F.col("doc_id").alias("keep_id"), one.alias("group_size"), F.lit(True).alias("kept"), F.col("rest").alias("full"))
     folded = cut(rows.where("full IS NOT NULL").groupBy("full", "doc_id", "chars", "mark").agg(F.count("*").alias("n_rows")), "dedup-folded")
     # Staged, so that both sides of the join are plain exchanges and a hot group's partition can be split.
     groups = cut(folded.groupBy("full").agg(F.max(_order()).alias("best"), F.sum("n_rows").alias("group_size")), "dedup-groups")
