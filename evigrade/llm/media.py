@@ -237,8 +237,8 @@ def stored_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return id_and_bytes(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_bytes long, declared string, media binary")
 
 
-#: media_bytes and media_sha256 are those of the medium, carved where it was embedded.
-OP9 = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+#: media_bytes and media_sha256 are those of the stored form, carrier and all; carved_bytes and carved_sha256 are those of the medium in it.
+OP9 = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, carved_bytes long, carved_sha256 string"
 
 
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -257,7 +257,7 @@ def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
                 payload = read_back(medium)
                 how = "carved" if inner else "corrected" if said["corrected"] else "kept"
                 feature = f"{kind}:{about}:{declared}:{how}:{len(sniff(payload))}"
-                rows.append((i.as_py(), n.as_py(), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(medium), hashlib.sha256(medium).hexdigest(), feature))
+                rows.append((i.as_py(), n.as_py(), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(blob), hashlib.sha256(blob).hexdigest(), feature, len(medium), hashlib.sha256(medium).hexdigest()))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c) if isinstance(c[0], str) else pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names)
 
