@@ -5,10 +5,11 @@ n-grams, the longest order first: the first order of which the model knows any g
 grams' log frequencies. A document's score is the mean over its words, and its probability the softmax of the languages.
 
 Counts cover every training text. They are gathered a partition at a time with map-side sums and added up by a shuffle.
-All grams are broadcast, and the ``max_words`` words of the highest relative frequency; relative, so that a language with
-few documents is known as well as one with a third of them. The other words stay a table: a task sums up the words that it
-has and passes on the rest of each document, whose distinct words are looked up by a join and backed off where they are
-unseen. ``max_words`` is thus a matter of speed and changes no score beyond rounding.
+The ``max_words`` words and ``max_grams`` grams of the highest relative frequency are broadcast; relative, so that a language
+with few documents is known as well as one with a third of them. The other words and grams stay tables: a task sums up the
+words that it has and passes on the rest of each document, whose distinct words are looked up by a join and backed off
+where they are unseen, those of their grams that weren't broadcast by another join. Both numbers bound memory and change
+no score beyond rounding.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0, as is every text if nothing could be
 learned; a null language or null text isn't learned from; a null id counts as held out of learning; ties between
@@ -31,7 +32,7 @@ from evigrade.sources.staging import cut, table
 
 from .common import bounded_batches, crc_mod, id_and_bytes
 
-MAX_WORDS, ORDERS = 60_000, (4, 3, 2, 1)
+MAX_WORDS, MAX_GRAMS, ORDERS = 60_000, 300_000, (4, 3, 2, 1)
 #: Distinct words and grams that a task gathers before it sends its sums on.
 HELD = 400_000
 #: The softmax is over this many times the mean log frequency of a word.
@@ -94,8 +95,11 @@ def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
-def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max_words: int = MAX_WORDS) -> dict:
-    """The model: languages, words and grams with a log frequency for each language, and ``table`` with all words. docs are training rows only."""
+def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS) -> dict:
+    """The model: languages, words and grams with a log frequency for each language, ``table`` with all words and ``rare`` with the grams beyond ``max_grams``, if any.
+
+    docs are training rows only.
+    """
     given = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("binary").alias("text"))
     words = cut(bounded_batches(given).mapInArrow(_words, "lang string, item string, n long").groupBy("lang", "item").agg(F.sum("n").alias("n")), "langid-words")
     grams = cut(words.mapInArrow(_grams, "lang string, k int, item string, n long").groupBy("lang", "k", "item").agg(F.sum("n").alias("n")), "langid-grams")
@@ -107,13 +111,20 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max_w
         return model
     sums = counts.groupBy("lang", "k").agg(F.sum("n").alias("whole"))
     shares = counts.join(F.broadcast(sums), ["lang", "k"]).groupBy("k", "item").agg(F.max(F.col("n") / F.col("whole")).alias("share"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
-    by_word = cut(shares.where("k = 0"), "langid-shares")
-    for top in (by_word.orderBy(F.desc("share"), "item").limit(max_words), shares.where("k > 0").orderBy("k", "item")):
-        for r in top.toLocalIterator():
-            scores = [math.log((r.by.get(lang, 0) + 0.5) / (totals[lang, r.k] + 1)) if (lang, r.k) in totals else -25.0 for lang in langs]
-            (model["grams"][r.k] if r.k else model["words"])[r.item] = scores
-    each = [F.log((F.coalesce(F.col("by")[lang], F.lit(0)) + 0.5) / F.lit(totals[lang, 0] + 1.0)) if (lang, 0) in totals else F.lit(-25.0) for lang in langs]
-    model["table"] = by_word.select("item", F.array(*[x.cast("float") for x in each]).alias("scores"))
+    by_word, by_gram = cut(shares.where("k = 0"), "langid-shares"), cut(shares.where("k > 0"), "langid-gram-shares")
+    last = None
+    for top in (by_word.orderBy(F.desc("share"), "item").limit(max_words), by_gram.orderBy(F.desc("share"), "k", "item").limit(max_grams)):
+        for last in top.toLocalIterator():
+            scores = [math.log((last.by.get(lang, 0) + 0.5) / (totals[lang, last.k] + 1)) if (lang, last.k) in totals else -25.0 for lang in langs]
+            (model["grams"][last.k] if last.k else model["words"])[last.item] = scores
+    each = lambda k: [F.log((F.coalesce(F.col("by")[lang], F.lit(0)) + 0.5) / F.lit(totals[lang, k] + 1.0)) if (lang, k) in totals else F.lit(-25.0) for lang in langs]
+    listed = lambda k: F.array(*[x.cast("float") for x in each(k)])
+    model["table"] = by_word.select("item", listed(0).alias("scores"))
+    if sum(map(len, model["grams"].values())) < by_gram.count():
+        beyond = F.lit(True)
+        if last is not None and last.k:
+            beyond = (F.col("share") < last.share) | ((F.col("share") == last.share) & (F.struct("k", "item") > F.struct(F.lit(last.k).alias("k"), F.lit(last.item).alias("item"))))
+        model["rare"] = by_gram.where(beyond).select("k", F.col("item").alias("gram"), F.coalesce(*[F.when(F.col("k") == k, listed(k)) for k in ORDERS]).alias("scores"))
     return model
 
 
@@ -147,6 +158,18 @@ class Scorer:
             out[found] = sums / np.diff([*starts, len(hits)])[:, None]
         return out
 
+    def split(self, words: list[str]) -> list[tuple[str, int, str | None, int, np.ndarray | None]]:
+        """(word, order, gram, count, scores): of each word and order the known grams in sum, without a gram's name, and each gram that isn't known."""
+        out = []
+        for w in words:
+            for k in ORDERS:
+                own, grams = self.gram[k], Counter(grams_of(w, k))
+                if hits := [(own[g], n) for g, n in grams.items() if g in own]:
+                    rows, n = zip(*hits, strict=True)
+                    out.append((w, k, None, sum(n), np.array(n) @ self.gram_matrix[list(rows)]))
+                out += [(w, k, g, n, None) for g, n in grams.items() if g not in own]
+        return out
+
     def known(self, text: str) -> tuple[int, np.ndarray, Counter]:
         """How many words text has, the sums over those of the matrix, and the other words."""
         words, get = words_of(text), self.row.get
@@ -164,7 +187,7 @@ def predict(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
     if not langs:
         return given.select("doc_id", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
     wide = len(langs)
-    sent = docs.sparkSession.sparkContext.broadcast({k: v for k, v in model.items() if k != "table"})
+    sent = docs.sparkSession.sparkContext.broadcast({k: v for k, v in model.items() if k not in ("table", "rare")})
 
     def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(sent.value)
@@ -186,6 +209,23 @@ def predict(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
                     scores[i] = x
                 yield pa.RecordBatch.from_arrays([b.column(0), _lists(scores, wide, pa.float32())], ["item", "scores"])
 
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(sent.value)
+        for b in batches:
+            if rows := scorer.split(b.column(0).to_pylist()):
+                item, k, gram, n, sums = zip(*rows, strict=True)
+                kinds = (pa.string(), pa.int32(), pa.string(), pa.int64(), pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((item, k, gram, n, sums), kinds, strict=True)], ["item", "k", "gram", "n", "sums"])
+
+    def backed_off(unseen: DataFrame) -> DataFrame:
+        """item and scores of words that the model doesn't know, where some grams are in the table of rare ones only."""
+        parts = cut(unseen.select("item").mapInArrow(split, "item string, k int, gram string, n long, sums array<double>"), "langid-split")
+        rare = parts.where("gram IS NOT NULL").drop("sums").join(model["rare"], ["k", "gram"]).select("item", "k", "n", F.transform("scores", lambda v: v * F.col("n")).alias("sums"))
+        both = parts.where("gram IS NULL").select("item", "k", "n", "sums").unionByName(rare)
+        order = both.groupBy("item", "k").agg(F.sum("n").alias("n"), F.array(*[F.sum(F.col("sums")[i]) for i in range(wide)]).alias("sums"))
+        longest = order.groupBy("item").agg(F.max_by(F.transform("sums", lambda v: (v / F.col("n")).cast("float")), "k").alias("scores"))
+        return unseen.select("item").join(longest, "item", "left").select("item", F.coalesce("scores", F.array(*[F.lit(FLOOR).cast("float")] * wide)).alias("scores"))
+
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
@@ -200,6 +240,9 @@ def predict(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
     rows = cut(numbered.mapInArrow(known, "row long, doc_id long, n long, sums array<double>, rest array<struct<item:string,n:long>>"), "langid-known")
     rest = rows.select("row", F.explode("rest").alias("r")).select("row", "r.item", "r.n")
     found = rest.select("item").distinct().join(model["table"], "item", "left")
+    if "rare" in model:
+        found = cut(found.select("item", "scores"), "langid-found")
+        found = found.where("scores IS NOT NULL").unionByName(backed_off(found.where("scores IS NULL")))
     scored = cut(found.select("item", "scores").mapInArrow(looked_up, "item string, scores array<float>"), "langid-scores")
     more = rest.join(scored, "item").groupBy("row").agg(*[F.sum(F.col("n") * F.col("scores")[i].cast("double")).alias(f"s{i}") for i in range(wide)])
     whole = rows.join(cut(more, "langid-more"), "row", "left")

@@ -3,8 +3,10 @@
 import base64
 import glob
 import hashlib
+import math
 import re
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -275,9 +277,11 @@ def test_media_query(spark):
         payload = media.padded(raw)
         kind = media.STORED[zlib.crc32(raw) % 4]
         medium = media.store(payload, kind)
+        stored = medium.join(media.CARRIER) if zlib.crc32(raw) % 5 == 0 else medium
         r = got[i]
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
-        assert (r.media_bytes, r.media_sha256) == (len(medium), hashlib.sha256(medium).hexdigest()) and r.feature.split(":")[0] == kind
+        assert (r.media_bytes, r.media_sha256) == (len(stored), hashlib.sha256(stored).hexdigest())
+        assert (r.carved_bytes, r.carved_sha256) == (len(medium), hashlib.sha256(medium).hexdigest()) and r.feature.split(":")[0] == kind
     assert {r.feature.split(":")[3] for r in got.values()} == {"kept", "corrected", "carved"}
 
 
@@ -479,3 +483,55 @@ def test_language_scores_words_below_the_cut(spark):
     asked = spark.createDataFrame([(1, "the dog waq"), (2, "die hunde zzz"), (3, None), (None, "katze katze cat")], "doc_id long, text string")
     few, all_ = ({r.doc_id: (r.lang_pred, round(r.score, 5)) for r in language_id.predict(asked, language_id.train(train, max_words=n)).collect()} for n in (2, 10**6))
     assert few == all_ and len(few) == 4
+
+
+def brute_language(train, asked):
+    """(language, score) of each text by word frequencies and backoff, from plain counts."""
+    runs = lambda t: "".join(c if c.isalpha() else " " for c in t.lower()).split()
+    padded = lambda w, k: [(f"_{w}_" if k > 1 else w)[i : i + k] for i in range(max(1, len(f"_{w}_" if k > 1 else w) - k + 1))]
+    langs, counts = sorted({lang for _, lang in train}), {}
+    for text, lang in train:
+        for w in runs(text):
+            for k, items in ((0, [w]), *((k, padded(w, k)) for k in (1, 2, 3, 4))):
+                for x in items:
+                    own = counts.setdefault((lang, k), {})
+                    own[x] = own.get(x, 0) + 1
+    log = lambda lang, k, x: math.log((counts[lang, k].get(x, 0) + 0.5) / (sum(counts[lang, k].values()) + 1))
+    known = lambda k, x: any(x in counts[lang, k] for lang in langs)
+
+    def word(lang, w):
+        if known(0, w):
+            return log(lang, 0, w)
+        for k in (4, 3, 2, 1):
+            if hits := [x for x in padded(w, k) if known(k, x)]:
+                return sum(log(lang, k, x) for x in hits) / len(hits)
+        return language_id.FLOOR
+
+    out = []
+    for text in asked:
+        words = runs(text)
+        if not words:
+            out.append(("und", 0.0))
+            continue
+        mean = [sum(word(lang, w) for w in words) / len(words) for lang in langs]
+        p = [math.exp(language_id.SHARPNESS * (m - max(mean))) for m in mean]
+        out.append((langs[mean.index(max(mean))], max(p) / sum(p)))
+    return out
+
+
+@pytest.mark.parametrize(("words", "grams"), [(10**6, 10**6), (3, 10**6), (10**6, 5), (2, 0), (0, 40)])
+def test_language_against_plain_counts(spark, words, grams):
+    """However few words and grams are broadcast, scores are those of plain counts."""
+    train = [(f"the cat and the dog {prose(i, 20)}", "en") for i in range(9)] + [(f"der hund und die katze über {prose(i + 50, 9)}", "de") for i in range(9)]
+    asked = ["the dog zzzq", "die hunde", "qqq", "öö ß", "12", "alpha7 beta catze the the", "kater katze x", prose(77, 30)]
+    model = language_id.train(spark.createDataFrame([(i, *r) for i, r in enumerate(train)], "doc_id long, text string, lang string"), max_words=words, max_grams=grams)
+    got = sorted(language_id.predict(spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string"), model).collect())
+    for r, (lang, score) in zip(got, brute_language(train, asked), strict=True):
+        assert r.lang_pred == lang and abs(r.score - score) < 1e-4
+
+
+def test_exact_dedup_groups_survivors_only(docs):
+    rows = exact_dedup.refined(docs, digest_all=True).collect()
+    copies = Counter(normal(r.text) for r in docs.collect())
+    assert all((r.full is None) != (r.rest is None) for r in rows)
+    assert sum(r.full is not None for r in rows) <= sum(n for n in copies.values() if n > 1) + 2
