@@ -34,6 +34,8 @@ from .common import id_and_bytes
 RANKS = "byte_bpe_50k.tiktoken"
 #: Units kept by a worker process; beyond this the store starts anew. It bounds memory, not what is encoded.
 KEPT_UNITS = 200_000
+#: The same for units, and for words, of the merge replay, where an unseen word costs more.
+KEPT_WORDS = 400_000
 #: Two white-space characters of which one is a plain space: only there can a cut before a space fall inside a match.
 _UNSAFE = re.compile(r" \s|\s |\x00")
 
@@ -57,12 +59,14 @@ class MergeReplay:
     #: Stands after each word and at places that a merge has used up; no pair has it.
     GONE = 0xFFFF
 
-    def __init__(self, path: str, pattern: str, kept_units: int = KEPT_UNITS) -> None:
+    def __init__(self, path: str, pattern: str, kept_units: int = KEPT_WORDS) -> None:
         import regex
 
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        self.vocab = {i: t for t, i in ranks.items()}
+        self.vocab = [b""] * (max(ranks.values()) + 1)
+        for t, i in ranks.items():
+            self.vocab[i] = t
         self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
         # Every pair of tokens that joins to a token, as one integer, and the rank of that merge: the token's own id.
         self.merges = {ranks[t[:k]] << 16 | ranks[t[k:]]: r for t, r in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks}
