@@ -13,7 +13,7 @@ from evigrade.jobs.calibration import SCORED, _scores
 from evigrade.operators import fits as op
 from evigrade.operators import mixtures, ranges
 from evigrade.operators.bootstrap import draws_sql
-from evigrade.sources.staging import cut
+from evigrade.sources.staging import cut, once
 
 SEEDS, BINS, PLACES, ROUNDS = 8, 256, 41, 8
 MODES = {"pn": (0, 1, 2), "pu": (0, 2), "nu": (1, 2)}
@@ -27,21 +27,26 @@ def _rows(spark: SparkSession, sf: str) -> DataFrame:
 
 def _counts(spark: SparkSession, sf: str) -> DataFrame:
     """lang, mode, seed, sample, x, rows, n: each mode keeps the counts of its samples."""
+    return once(spark, "fit-counts", sf, lambda: _counted(spark, sf))
+
+
+def _counted(spark: SparkSession, sf: str) -> DataFrame:
     counts = mixtures.counted_scores(_rows(spark, sf), "lang", SEEDS, BINS).withColumn("x", F.round("x", 9))
     in_mode = F.array(*[F.struct(F.lit(m).alias("mode"), F.array(*[F.lit(s) for s in samples]).alias("samples")) for m, samples in MODES.items()])
     each = counts.select("*", F.explode(in_mode).alias("m")).where(F.array_contains("m.samples", F.col("sample")))
-    return cut(each.select("lang", "m.mode", "seed", "sample", "x", "rows", "n"), "fit-counts")
+    return each.select("lang", "m.mode", "seed", "sample", "x", "rows", "n")
 
 
 def _fits(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     counts = _counts(spark, sf)
-    return cut(op.moment_fits(counts, FIT, ROUNDS), "moment-fits"), counts
+    return once(spark, "moment-fits", sf, lambda: op.moment_fits(counts, FIT, ROUNDS)), counts
 
 
-def _priors(fits: DataFrame, counts: DataFrame) -> DataFrame:
+def _priors(spark: SparkSession, sf: str) -> DataFrame:
     """The prior of each fit, from its densities at the population's scores."""
+    fits, counts = _fits(spark, sf)
     population = counts.where(F.col("sample") == op.POPULATION).select(*FIT, "x", F.col("rows").alias("n"))
-    return cut(op.fit_priors(op.at_places(fits.drop("lo", "hi"), population, FIT), FIT), "fit-priors")
+    return once(spark, "fit-priors", sf, lambda: op.fit_priors(op.at_places(fits.drop("lo", "hi"), population, FIT), FIT))
 
 
 def _grid(spark: SparkSession, sf: str) -> DataFrame:
@@ -53,9 +58,8 @@ def _grid(spark: SparkSession, sf: str) -> DataFrame:
 
 def _ratios(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """Log ratios of all fits over the grid, and the priors of the fits."""
-    fits, counts = _fits(spark, sf)
-    priors = _priors(fits, counts)
-    return op.log_ratio(op.at_places(fits, _grid(spark, sf), DATASET), priors, FIT), priors
+    priors = _priors(spark, sf)
+    return once(spark, "fit-ratios", sf, lambda: op.log_ratio(op.at_places(_fits(spark, sf)[0], _grid(spark, sf), DATASET), priors, FIT)), priors
 
 
 def moment_fits(spark: SparkSession, sf: str) -> DataFrame:
@@ -67,20 +71,19 @@ def moment_fits(spark: SparkSession, sf: str) -> DataFrame:
 
 def fit_densities(spark: SparkSession, sf: str) -> DataFrame:
     """Log densities of both classes over the grid, that of a class without a sample unmixed from the population."""
-    fits, counts = _fits(spark, sf)
-    seen = op.at_places(fits, _grid(spark, sf), DATASET).join(_priors(fits, counts), FIT, "left")
+    seen = op.at_places(_fits(spark, sf)[0], _grid(spark, sf), DATASET).join(_priors(spark, sf), FIT, "left")
     p, b = op.class_log_densities(F.col("log_p"), F.col("log_b"), F.col("log_pop"), F.col("prior"))
     return seen.select(*FIT, "grid", F.round(p, 3).alias("log_p"), F.round(b, 3).alias("log_b"), F.round("log_pop", 3).alias("log_pop"))
 
 
 def fit_priors(spark: SparkSession, sf: str) -> DataFrame:
     """The prior of each fit, null where it can't be told."""
-    return _priors(*_fits(spark, sf)).withColumn("prior", F.round("prior", 4))
+    return _priors(spark, sf).withColumn("prior", F.round("prior", 4))
 
 
 def fitted_priors(spark: SparkSession, sf: str) -> DataFrame:
     """Each dataset's prior, the share of fits that kept theirs, and whether it is unstable."""
-    return op.dataset_priors(_priors(*_fits(spark, sf)), DATASET).withColumns({"prior": F.round("prior", 4), "kept": F.round("kept", 6)})
+    return op.dataset_priors(_priors(spark, sf), DATASET).withColumns({"prior": F.round("prior", 4), "kept": F.round("kept", 6)})
 
 
 def fit_lr_curves(spark: SparkSession, sf: str) -> DataFrame:
@@ -105,8 +108,7 @@ def fit_evidence(spark: SparkSession, sf: str) -> DataFrame:
 
     Curves are taken at the distinct scores and joined back, so no row carries the curves of the fits.
     """
-    fits, counts = _fits(spark, sf)
-    priors = _priors(fits, counts)
+    fits, priors = _fits(spark, sf)[0], _priors(spark, sf)
     rows = _rows(spark, sf).where("lang IS NOT NULL")
     places = rows.select("lang", F.col("score").alias("x")).distinct().withColumn("mode", F.lit("pn"))
     found = op.curve_percentiles(op.log_ratio(op.at_places(fits, places, DATASET), priors, FIT), [*DATASET, "x"])
@@ -117,7 +119,12 @@ def fit_evidence(spark: SparkSession, sf: str) -> DataFrame:
     return at.select("doc_id", "fits", "l5", "l95", F.when(up > 0, up).otherwise(down).alias("points"))
 
 
-QUERIES = {f.__name__: f for f in (moment_fits, fit_densities, fit_priors, fitted_priors, fit_lr_curves, fit_point_ranges, fit_evidence)}
+def ratio_checks(spark: SparkSession, sf: str) -> DataFrame:
+    """For each fit whether neighbouring components' density ratios and the likelihood ratio are monotone over the grid."""
+    return op.ratio_checks(_fits(spark, sf)[0].drop("lo", "hi"), _grid(spark, sf), DATASET, FIT)
+
+
+QUERIES = {f.__name__: f for f in (ratio_checks, moment_fits, fit_densities, fit_priors, fitted_priors, fit_lr_curves, fit_point_ranges, fit_evidence)}
 
 _C = repr(op.LOG_ROOT_TAU)
 
@@ -177,7 +184,7 @@ priors AS MATERIALIZED (SELECT lang, mode, seed, CASE WHEN last > 0.001 AND last
   UNION ALL SELECT lang, mode, seed, CASE WHEN told = 0 THEN {mixtures.NO_SIGNAL} WHEN raw >= {mixtures.MOST} OR raw < 0 THEN NULL ELSE greatest(raw, {mixtures.LEAST}) END FROM bounds),
 told AS (SELECT lang, mode, round(coalesce(CASE WHEN median > 0 AND median < 1 THEN median END, {op.FALLBACK}), 4) AS prior, round(kept, 6) AS kept, median IS NULL OR median <= 0 OR median >= 1 OR kept < {op.LEAST_KEPT} AS unstable
   FROM (SELECT lang, mode, quantile_cont(prior, 0.5) AS median, avg((prior IS NOT NULL)::INT) AS kept FROM priors GROUP BY ALL))"""
-_LEFT = "log_pop + ln(greatest((1 - ({share}) * exp({other} - log_pop)) / (1 - ({share})), 1e-10))"
+_LEFT = "CASE WHEN {other} IS NOT NULL THEN log_pop + ln(greatest((1 - ({share}) * exp({other} - log_pop)) / (1 - ({share})), 1e-10)) END"
 _SIDES = f"""CASE WHEN prior > 0 AND prior < 1 THEN coalesce(log_p, {_LEFT.format(share="1 - prior", other="log_b")}) END AS f_p, CASE WHEN prior > 0 AND prior < 1 THEN coalesce(log_b, {_LEFT.format(share="prior", other="log_p")}) END AS f_b"""
 
 
@@ -200,8 +207,16 @@ def _runs(side: str) -> str:
   SELECT *, lag({side}) OVER w AS before, row_number() OVER w AS i, max(grid) OVER (PARTITION BY lang, mode) AS last FROM graded WINDOW w AS (PARTITION BY lang, mode ORDER BY grid)) WHERE i = 1 OR {side} IS DISTINCT FROM before WINDOW w AS (PARTITION BY lang, mode ORDER BY grid)) WHERE {side} <> 0"""
 
 
+_CHECKS = f"""gridded AS ({{grid}}), placed AS (SELECT lang, mode, seed, grid, x FROM gridded JOIN whole USING (lang, mode)), gridlogs AS MATERIALIZED ({_logs("placed", "lang, mode, seed, grid")}),
+by_loc AS (SELECT lang, mode, seed, k, row_number() OVER (PARTITION BY lang, mode, seed ORDER BY loc) AS i FROM comp), ordered AS (SELECT * FROM gridlogs JOIN by_loc USING (lang, mode, seed, k)),
+pairs AS (SELECT a.lang, a.mode, a.seed, a.i, a.grid, a.l - b.l AS r FROM ordered a JOIN ordered b ON a.lang = b.lang AND a.mode = b.mode AND a.seed = b.seed AND a.grid = b.grid AND b.i = a.i + 1 WHERE a.l > {mixtures.MASS} AND b.l > {mixtures.MASS}),
+falls AS (SELECT lang, mode, seed, coalesce(NOT bool_or(step > {mixtures.SLACK}), true) AS ratios_fall FROM (SELECT *, r - lag(r) OVER (PARTITION BY lang, mode, seed, i ORDER BY grid) AS step FROM pairs) GROUP BY lang, mode, seed),
+mixed AS ({_mixed("gridlogs", "lang, mode, seed, grid")}),
+lr AS (SELECT lang, mode, seed, NOT bool_or(step > {mixtures.SLACK}) AS lr_falls, NOT bool_or(-step > {mixtures.SLACK}) AS lr_rises FROM (SELECT *, log_p - log_b - lag(log_p - log_b) OVER (PARTITION BY lang, mode, seed ORDER BY grid) AS step FROM mixed) GROUP BY lang, mode, seed)
+SELECT lang, mode, seed, coalesce(ratios_fall, true) AS ratios_fall, lr_falls, lr_rises FROM whole LEFT JOIN falls USING (lang, mode, seed) LEFT JOIN lr USING (lang, mode, seed)"""
 _CURVES = "curves AS (SELECT lang, mode, grid, count(f_p - f_b) AS fits, round(quantile_cont(f_p - f_b, 0.05), 2) + 0 AS p5, round(quantile_cont(f_p - f_b, 0.5), 2) + 0 AS p50, round(quantile_cont(f_p - f_b, 0.95), 2) + 0 AS p95 FROM at_fit GROUP BY ALL)"
 SQL = {
+    "ratio_checks": f"{_FIT_SQL}, {_CHECKS.format(grid=_GRID)}",
     "moment_fits": f"{_FIT_SQL} SELECT lang, mode, seed, k, round(a, 5) + 0 AS a, round(loc, 5) + 0 AS loc, round(scale, 5) + 0 AS scale, round(w_p, 5) + 0 AS w_p, round(w_b, 5) + 0 AS w_b, round(w_pop, 5) + 0 AS w_pop FROM comp JOIN weights USING (lang, mode, seed, k)",
     "fit_densities": f"{_FIT_SQL}, {_at(_GRID, 'grid')} SELECT lang, mode, seed, grid, round(f_p, 3) + 0 AS log_p, round(f_b, 3) + 0 AS log_b, round(log_pop, 3) + 0 AS log_pop FROM at_fit",
     "fit_priors": f"{_FIT_SQL} SELECT lang, mode, seed, round(prior, 4) AS prior FROM priors",

@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 
 from evigrade.jobs.calibration import SCORED, _scores
 from evigrade.operators import mixtures as op
-from evigrade.sources.staging import cut
+from evigrade.sources.staging import once
 
 SEEDS, POINTS = 3, 99
 
 
 def _best(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    counts = cut(op.counted_scores(_scores(spark, sf), "lang", SEEDS), "score-counts")
-    return cut(op.best_fits(op.mixture_fits(counts, "lang"), "lang"), "best-fits"), counts
+    counts = once(spark, "score-counts", sf, lambda: op.counted_scores(_scores(spark, sf), "lang", SEEDS))
+    return once(spark, "best-fits", sf, lambda: op.best_fits(op.mixture_fits(counts, "lang"), "lang")), counts
 
 
 def mixture_fits(spark: SparkSession, sf: str) -> DataFrame:

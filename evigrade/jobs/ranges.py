@@ -15,7 +15,7 @@ from evigrade.jobs.scales import _class
 from evigrade.operators import ranges as op
 from evigrade.operators.bootstrap import draws, draws_sql
 from evigrade.operators.evidence import sorted_percentile
-from evigrade.sources.staging import cut, table
+from evigrade.sources.staging import cut, once, table
 
 SEEDS, FIRST, LAST = 16, 1, 50
 KEYS = {"dataset": "CAST(l_linenumber AS INT)", "id": "l_partkey * 100000000 + l_orderkey * 10 + l_linenumber"}
@@ -25,11 +25,16 @@ FIELDS = {"at": "CAST(floor(avg(l_quantity)) AS INT)", "score": "round(avg(l_qua
 
 def _rows(spark: SparkSession, sf: str) -> DataFrame:
     keyed = table(spark, sf, "lineitem").withColumns({n: F.expr(e) for n, e in KEYS.items()})
-    return keyed.groupBy(*KEYS).agg(*[F.expr(e).alias(n) for n, e in FIELDS.items()])
+    return once(spark, "variant-rows", sf, lambda: keyed.groupBy(*KEYS).agg(*[F.expr(e).alias(n) for n, e in FIELDS.items()]))
 
 
 def _counts(spark: SparkSession, sf: str) -> DataFrame:
-    return cut(op.curve_counts(_rows(spark, sf), "dataset", "at", "id", "p", "b", SEEDS), "curve-counts")
+    return once(spark, "curve-counts", sf, lambda: op.curve_counts(_rows(spark, sf), "dataset", "at", "id", "p", "b", SEEDS))
+
+
+def _curves(spark: SparkSession, sf: str) -> DataFrame:
+    """Each seed's log ratios."""
+    return once(spark, "curves", sf, lambda: op.log_ratios(_counts(spark, sf), "dataset"))
 
 
 def _percentiles(curves: DataFrame) -> DataFrame:
@@ -51,7 +56,7 @@ def bootstrap_draws(spark: SparkSession, sf: str) -> DataFrame:
 
 def lr_curves(spark: SparkSession, sf: str) -> DataFrame:
     """Percentiles over the bootstraps of each dataset's log ratio along the scores."""
-    return _percentiles(op.log_ratios(_counts(spark, sf), "dataset"))
+    return _percentiles(_curves(spark, sf))
 
 
 def dataset_priors(spark: SparkSession, sf: str) -> DataFrame:
@@ -61,7 +66,7 @@ def dataset_priors(spark: SparkSession, sf: str) -> DataFrame:
 def fit_ranges(spark: SparkSession, sf: str) -> DataFrame:
     """Ranges of points of each bootstrap by its own curve and prior, for and against."""
     counts = _counts(spark, sf)
-    curves = op.log_ratios(counts, "dataset").where("l IS NOT NULL").join(op.seed_priors(counts, "dataset").where("prior IS NOT NULL"), ["dataset", "seed"])
+    curves = _curves(spark, sf).where("l IS NOT NULL").join(op.seed_priors(counts, "dataset").where("prior IS NOT NULL"), ["dataset", "seed"])
     step = op.step_of(F.col("prior"))
     graded = cut(curves.select("dataset", "seed", "grid", op.points_up(F.col("l"), step).alias("up"), op.points_down(F.col("l"), step).alias("down")), "fit-points")
     sides = [op.runs_of(graded.select("dataset", "seed", "grid", F.col(c).alias("points")), ["dataset", "seed"], "points") for c in ("up", "down")]
@@ -71,7 +76,7 @@ def fit_ranges(spark: SparkSession, sf: str) -> DataFrame:
 def _graded(spark: SparkSession, sf: str, against: float = 1.0) -> DataFrame:
     """dataset, grid, up, down: points by the low and the high percentile; the prior against may be another one, in proportion."""
     counts = _counts(spark, sf)
-    curves = _percentiles(op.log_ratios(counts, "dataset")).join(_prior(counts), "dataset")
+    curves = _percentiles(_curves(spark, sf)).join(_prior(counts), "dataset")
     up, down = op.points_up(F.col("p5"), op.step_of(F.col("prior"))), op.points_down(F.col("p95"), op.step_of(F.col("prior") * against))
     return cut(curves.select("dataset", "grid", up.alias("up"), down.alias("down")), "graded-curves")
 
@@ -94,7 +99,7 @@ def dual_ranges(spark: SparkSession, sf: str) -> DataFrame:
 def class_ranges(spark: SparkSession, sf: str) -> DataFrame:
     """Ranges of classes along the scores by the posterior of the low percentile, and of the high one."""
     counts = _counts(spark, sf)
-    curves = _percentiles(op.log_ratios(counts, "dataset")).join(_prior(counts), "dataset")
+    curves = _percentiles(_curves(spark, sf)).join(_prior(counts), "dataset")
     of = lambda c: sc.class_of(F.round(th.posterior_from_lr(F.exp(c), F.col("prior")), 6))
     up = F.when(F.col("p5").isNotNull() & of("p5").isin("P", "LP"), of("p5"))
     down = F.when(F.col("p95").isNotNull() & of("p95").isin("B", "LB"), of("p95"))
@@ -123,29 +128,33 @@ def range_cleanup(spark: SparkSession, sf: str) -> DataFrame:
     return op.cleaned(ranges.join(missing, "dataset").join(about, "dataset"), "dataset")
 
 
-def _curve_arrays(spark: SparkSession, sf: str) -> DataFrame:
-    """dataset, prior, curves: for each seed its values from FIRST to LAST; a row a dataset."""
-    counts = _counts(spark, sf)
-    values = op.log_ratios(counts, "dataset").groupBy("dataset", "seed").agg(F.map_from_entries(F.collect_list(F.struct("grid", "l"))).alias("m"))
-    filled = values.select("dataset", "seed", F.transform(F.sequence(F.lit(FIRST), F.lit(LAST)), lambda g: F.col("m")[g]).alias("c"))
-    priors = op.seed_priors(counts, "dataset")
-    packed = filled.join(priors, ["dataset", "seed"]).groupBy("dataset").agg(F.sort_array(F.collect_list(F.struct("seed", "c", "prior"))).alias("curves"))
-    return cut(packed.join(_prior(counts), "dataset"), "curve-arrays")
-
-
-def _at_scores(spark: SparkSession, sf: str, kept) -> DataFrame:
-    """dataset, id, score, prior, l5, l95 and n: percentiles of the curves that ``kept`` (of seed and draws) leaves, at each variant's score."""
-    rows = _rows(spark, sf).withColumn("draws", F.array(*draws(F.col("id"), SEEDS))).join(_curve_arrays(spark, sf), "dataset")
-    seen = F.filter("curves", lambda x: kept(x))
-    ls = F.filter(F.transform(seen, lambda x: op.interpolated(x["c"], FIRST, F.col("score"))), lambda v: v.isNotNull())
-    found = rows.select("dataset", "id", "score", "prior", F.array_sort(ls).alias("ls"), F.array_sort(F.filter(F.transform(seen, lambda x: x["prior"]), lambda v: v.isNotNull())).alias("priors"))
-    return found.select("dataset", "id", "score", "prior", F.size("ls").cast("long").alias("n"), F.round(sorted_percentile(F.col("priors"), 0.5), 9).alias("own_prior"), *[F.when(F.size("ls") > 0, F.round(sorted_percentile(F.col("ls"), q), 6)).alias(n) for n, q in (("l5", 0.05), ("l95", 0.95))])
+def _at_scores(spark: SparkSession, sf: str, oob: bool) -> DataFrame:
+    """dataset, id, score, prior, l5, l95 and n: percentiles of the seeds' curves at each variant's score, of those that never drew it if oob.
+
+    A row meets the pieces of the curves at its own place only. Without oob that happens once for each distinct score.
+    """
+    rows, counts = _rows(spark, sf), _counts(spark, sf)
+    pieces = once(spark, "curve-places", sf, lambda: op.at_places(_curves(spark, sf), "dataset"))
+    priors = once(spark, "curve-priors", sf, lambda: op.seed_priors(counts, "dataset").groupBy("dataset").agg(F.sort_array(F.collect_list(F.struct("seed", "prior"))).alias("seeds")).join(_prior(counts), "dataset"))
+    at = rows.select("dataset", "id", "score") if oob else rows.select("dataset", "score").distinct()
+    at = at.withColumn("grid", F.floor("score").cast("int")).join(pieces, ["dataset", "grid"], "left").join(F.broadcast(priors), "dataset")
+    seen = F.coalesce("pieces", F.array().cast("array<struct<seed:bigint,l:double,next:double>>"))
+    told = F.col("seeds")
+    if oob:
+        at = at.withColumn("draws", F.array(*draws(F.col("id"), SEEDS)))
+        unseen = lambda x: F.get("draws", x["seed"].cast("int")) == 0
+        seen, told = F.filter(seen, unseen), F.filter(told, unseen)
+    ls = F.sort_array(F.filter(F.transform(seen, lambda x: op.interpolated(x, F.col("score"))), lambda v: v.isNotNull()))
+    own = F.sort_array(F.filter(F.transform(told, lambda x: x["prior"]), lambda v: v.isNotNull()))
+    found = at.withColumns({"ls": ls, "own": own})
+    found = found.select("dataset", *(["id"] if oob else []), "score", "prior", F.size("ls").cast("long").alias("n"), F.round(sorted_percentile(F.col("own"), 0.5), 9).alias("own_prior"), *[F.when(F.size("ls") > 0, F.round(sorted_percentile(F.col("ls"), q), 6)).alias(n) for n, q in (("l5", 0.05), ("l95", 0.95))])
+    return found if oob else rows.select("dataset", "id", "score").join(found, ["dataset", "score"])
 
 
 def evidence_table(spark: SparkSession, sf: str) -> DataFrame:
     """Each variant's points by the ranges of its dataset, percentiles of its ratio and posterior, class and fractional points."""
     ranges = cut(score_ranges(spark, sf), "evidence-ranges").groupBy("dataset").agg(F.sort_array(F.collect_list(F.struct("points", "lo", "hi"))).alias("ranges"))
-    rows = _at_scores(spark, sf, lambda x: F.lit(True)).join(ranges, "dataset", "left")
+    rows = _at_scores(spark, sf, oob=False).join(ranges, "dataset", "left")
     # The first range that holds the score, weakest against first.
     points = F.coalesce(F.get(F.filter("ranges", lambda r: F.col("score").between(r["lo"], r["hi"])), F.lit(0))["points"], F.lit(0))
     post = lambda c: F.round(th.posterior_from_lr(F.exp(c), F.col("prior")), 6)
@@ -158,7 +167,7 @@ def evidence_table(spark: SparkSession, sf: str) -> DataFrame:
 
 def evidence_oob(spark: SparkSession, sf: str) -> DataFrame:
     """Each variant's evidence from the bootstraps that never drew it: percentiles, prior and points."""
-    rows = _at_scores(spark, sf, lambda x: F.get(F.col("draws"), x["seed"].cast("int")) == 0)
+    rows = _at_scores(spark, sf, oob=True)
     step = op.step_of(F.col("own_prior"))
     up, down = op.points_up(F.col("l5"), step), op.points_down(F.col("l95"), step)
     return rows.select("id", "n", "l5", "l95", F.round("own_prior", 6).alias("prior"), F.when(F.col("n") > 0, F.when(up > 0, up).otherwise(down)).alias("points"))

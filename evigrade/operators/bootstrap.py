@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Bits of a draw, and the draws that they are cut into: 0, 1, 2 and so on times, each as likely as Poisson with mean 1 says.
@@ -16,14 +16,37 @@ BITS = 16
 STEPS = [round(2**BITS * sum(math.exp(-1) / math.factorial(j) for j in range(k + 1))) for k in range(8)]
 
 
-def times_drawn(row_id: Column, seed: Column) -> Column:
-    """How often the seed's bootstrap takes the row; a null id is never taken."""
-    digest = F.md5(F.concat(row_id.cast("string"), F.lit(":"), F.floor(seed / 8).cast("string")))
-    x = F.conv(F.substring(digest, (1 + 4 * (seed % 8)).cast("int"), F.lit(4)), 16, 10).cast("int")
+def _times(digest: Column, place: Column) -> Column:
+    """The draw that four hex digits of a digest give, place being 0 to 7."""
+    x = F.conv(F.substring(digest, (1 + 4 * place).cast("int"), F.lit(4)), 16, 10).cast("int")
     found = F.lit(len(STEPS))
     for k in reversed(range(len(STEPS))):
         found = F.when(x < STEPS[k], k).otherwise(found)
-    return F.when(row_id.isNotNull(), found).otherwise(0)
+    return found
+
+
+def _digest(row_id: Column, block: Column) -> Column:
+    return F.md5(F.concat(row_id.cast("string"), F.lit(":"), block.cast("string")))
+
+
+def times_drawn(row_id: Column, seed: Column) -> Column:
+    """How often the seed's bootstrap takes the row; a null id is never taken."""
+    return F.when(row_id.isNotNull(), _times(_digest(row_id, F.floor(seed / 8)), seed % 8)).otherwise(0)
+
+
+def with_block_draws(rows: DataFrame, row_id: str, seeds: int) -> DataFrame:
+    """rows once for each block of eight seeds, with the number of the block and the draws d0 to d7 of its seeds.
+
+    Sums by block have eight columns however many seeds there are, and copies of a row don't outlive the partial sums.
+    """
+    each = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit((seeds - 1) // 8)))).withColumn("_digest", _digest(F.col(row_id), F.col("block")))
+    return each.withColumns({f"d{i}": F.when(F.col(row_id).isNotNull(), _times(F.col("_digest"), F.lit(i))).otherwise(0) for i in range(8)}).drop("_digest")
+
+
+def seeds_of_blocks(sums: DataFrame, keep: list[str], fields: dict[str, list[Column]], seeds: int) -> DataFrame:
+    """keep, seed and fields, each given as the columns of a block's eight seeds."""
+    each = F.explode(F.array(*[F.struct((F.col("block") * 8 + i).cast("long").alias("seed"), *[of[i].alias(n) for n, of in fields.items()]) for i in range(8)])).alias("_of_seed")
+    return sums.select(*keep, each).select(*keep, "_of_seed.*").where(F.col("seed") < seeds)
 
 
 def draws(row_id: Column, seeds: int) -> list[Column]:

@@ -18,7 +18,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evigrade.operators import mixtures
@@ -75,9 +75,9 @@ def at_places(fits: DataFrame, places: DataFrame, dataset: list[str], method: st
 
 
 def unmixed(log_pop: Column, share: Column, log_class: Column) -> Column:
-    """Log density of the population without a class that has this share of it, at least FLOOR of the population's."""
+    """Log density of the population without a class that has this share of it, at least FLOOR of the population's; null if the class has none."""
     left = (1 - share * F.exp(log_class - log_pop)) / (1 - share)
-    return log_pop + F.ln(F.greatest(left, F.lit(FLOOR)))
+    return F.when(log_class.isNotNull(), log_pop + F.ln(F.greatest(left, F.lit(FLOOR))))
 
 
 def class_log_densities(log_p: Column, log_b: Column, log_pop: Column, prior: Column) -> tuple[Column, Column]:
@@ -140,6 +140,24 @@ def curve_percentiles(ratios: DataFrame, keys: list[str]) -> DataFrame:
     return found.select(*keys, "fits", *[F.col("q")[i].alias(n) for i, n in enumerate(("p5", "p50", "p95"))])
 
 
+def ratio_checks(fits: DataFrame, places: DataFrame, dataset: list[str], keys: list[str]) -> DataFrame:
+    """keys, and whether the fit's density ratios and its likelihood ratio are monotone along the places (dataset, grid and x).
+
+    ratios_fall: each component's density over that of the next one, by location, never rises where both log densities are
+    above the mass that counts. lr_falls and lr_rises: the first class over the second one, null without both.
+    """
+    ordered = fits.withColumn("by_loc", F.array_sort(F.transform("components", lambda c: F.struct(c["loc"].alias("loc"), c.alias("c")))))
+    each = places.join(ordered, dataset).withColumn("logs", F.transform("by_loc", lambda c: skew_normal_log_pdf(F.col("x"), c["c"])))
+    pair = each.select(*keys, "grid", F.explode(F.sequence(F.lit(1), F.size("logs") - 1)).alias("k"), "logs").where(F.size("logs") > 1)
+    a, b = F.get("logs", F.col("k") - 1), F.get("logs", F.col("k"))
+    seen = pair.select(*keys, "k", "grid", (a - b).alias("r"), ((a > mixtures.MASS) & (b > mixtures.MASS)).alias("seen")).where("seen")
+    steps = seen.select(*keys, (F.col("r") - F.lag("r").over(Window.partitionBy(*keys, "k").orderBy("grid"))).alias("step"))
+    falls = steps.groupBy(*keys).agg(F.coalesce(~F.bool_or(F.col("step") > mixtures.SLACK), F.lit(True)).alias("ratios_fall"))
+    lr = at_places(fits, places, dataset).select(*keys, (F.col("log_p") - F.col("log_b") - F.lag(F.col("log_p") - F.col("log_b")).over(Window.partitionBy(*keys).orderBy("grid"))).alias("step"))
+    lr = lr.groupBy(*keys).agg(*[(~F.bool_or(sign * F.col("step") > mixtures.SLACK)).alias(n) for n, sign in (("lr_falls", 1), ("lr_rises", -1))])
+    return fits.select(*keys).join(falls, keys, "left").join(lr, keys, "left").withColumn("ratios_fall", F.coalesce("ratios_fall", F.lit(True)))
+
+
 def moment_component(n: Column, s1: Column, s2: Column, s3: Column) -> Column:
     """The skew normal with the mean, variance and skewness that counts say; null for fewer than three rows or one single value.
 

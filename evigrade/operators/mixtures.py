@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evigrade.operators.bootstrap import draws
+from evigrade.operators.bootstrap import seeds_of_blocks, with_block_draws
 
 SAMPLES = ("is_plp", "is_blb", "is_pop")
 BINS, MAX_STEPS, TOLERANCE = 1024, 200, 1e-7
@@ -29,16 +29,17 @@ _ERFC = np.frompyfunc(math.erfc, 1, 1)
 def counted_scores(rows: DataFrame, dataset: str, seeds: int, bins: int = BINS, row_id: str = "doc_id") -> DataFrame:
     """dataset, seed, sample, x, rows, n, unseen: the rows of a bin, how often the seed drew them, and how many of them it never drew.
 
-    A row's draws in all seeds are summed side by side, so rows aren't copied by seed.
+    A row's draws are summed by blocks of eight seeds, so the plan is the same for any number of seeds.
     """
     ok = rows.where(F.col("score").isNotNull() & ~F.isnan("score"))
     ends = ok.groupBy(dataset).agg(F.min("score").alias("lo"), F.max("score").alias("hi")).where("hi > lo")
     member = F.filter(F.array(*[F.when(F.col(c), F.lit(i)) for i, c in enumerate(SAMPLES)]), lambda s: s.isNotNull())
     place = F.least(F.lit(bins - 1), F.floor((F.col("score") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins)).cast("int")
-    times = [t.alias(f"_d{i}") for i, t in enumerate(draws(F.col(row_id), seeds))]
-    placed = ok.join(ends, dataset).select(dataset, "score", place.alias("bin"), member.alias("samples"), *times).select("*", F.explode("samples").alias("sample"))
-    sums = placed.groupBy(dataset, "sample", "bin").agg(F.avg("score").alias("x"), F.count("*").alias("rows"), F.array(*[F.struct(F.lit(i).cast("long").alias("seed"), F.sum(f"_d{i}").alias("n"), F.count_if(F.col(f"_d{i}") == 0).alias("unseen")) for i in range(seeds)]).alias("seeds"))
-    return sums.select(dataset, "sample", "x", "rows", F.explode("seeds").alias("s")).select(dataset, "s.seed", "sample", "x", "rows", "s.n", "s.unseen")
+    placed = ok.join(ends, dataset).select(dataset, "score", row_id, place.alias("bin"), member.alias("samples")).select("*", F.explode("samples").alias("sample"))
+    drawn = with_block_draws(placed, row_id, seeds)
+    sums = drawn.groupBy(dataset, "sample", "bin", "block").agg(F.avg("score").alias("x"), F.count("*").alias("rows"), *[c for i in range(8) for c in (F.sum(f"d{i}").alias(f"n{i}"), F.count_if(F.col(f"d{i}") == 0).alias(f"u{i}"))])
+    found = seeds_of_blocks(sums, [dataset, "sample", "x", "rows"], {"n": [F.col(f"n{i}") for i in range(8)], "unseen": [F.col(f"u{i}") for i in range(8)]}, seeds)
+    return found.select(dataset, "seed", "sample", "x", "rows", "n", "unseen")
 
 
 def log_cdf(z: np.ndarray) -> np.ndarray:
@@ -70,13 +71,71 @@ def start(x: np.ndarray, n: np.ndarray, k: int, fit_idx: int, seed: int) -> tupl
     return mean + rng.normal(0, 0.2 * sd, k) * (fit_idx > 0), 0.5 * sd * sign, np.full(k, sd * sd)
 
 
-def fit_mixture(sample: np.ndarray, x: np.ndarray, n: np.ndarray, k: int, fit_idx: int, seed: int, max_steps: int = MAX_STEPS) -> dict:
-    """Expectation-maximisation on counts; log-likelihoods by step are in ``trace`` and never fall."""
+#: The density ratio of neighbouring components is looked at on so many places, where both log densities are above MASS.
+RATIO_PLACES, MASS, HALVINGS, SLACK = 256, -7.0, 12, 1e-9
+
+
+def ratio_falls(logs: list[np.ndarray]) -> bool:
+    """Whether each component's log density over that of the next one never rises along the places, where both have mass."""
+    for a, b in zip(logs, logs[1:], strict=False):
+        seen = (a > MASS) & (b > MASS)
+        if seen.sum() > 1 and (np.diff((a - b)[seen]) > SLACK).any():
+            return False
+    return True
+
+
+class Constraint:
+    """Parameters move towards what the maximisation asks for only as far as the density ratios of neighbours stay monotone.
+
+    A parameter's conditional likelihood rises all the way to its maximum, so a part of the way never lowers it.
+    """
+
+    def __init__(self, low: float, high: float, loc: np.ndarray, delta: np.ndarray, gamma: np.ndarray) -> None:
+        self.places = np.linspace(low, high, RATIO_PLACES)
+        self.values = {"loc": loc, "delta": delta, "gamma": gamma}
+        self.logs = [self._log(j, {}) for j in range(len(loc))]
+
+    def _log(self, j: int, changed: dict) -> np.ndarray:
+        own = [np.array([changed.get(n, v[j])]) for n, v in self.values.items()]
+        return component_log_pdf(self.places, *own)[0][0]
+
+    def moved(self, name: str, asked: np.ndarray) -> np.ndarray:
+        """The parameter of that name of all components, moved towards asked one component after the other."""
+        own = self.values[name] = self.values[name].copy()
+        for j, to in enumerate(asked):
+            low, share = 0.0, 1.0
+            for _ in range(HALVINGS):
+                value = own[j] + share * (to - own[j])
+                logs = [*self.logs[:j], self._log(j, {name: value}), *self.logs[j + 1 :]]
+                if ratio_falls(logs[max(j - 1, 0) : j + 2]):
+                    low, kept = share, (value, logs)
+                    if share == 1:
+                        break
+                    share += (high - share) / 2
+                else:
+                    high = share
+                    share = (low + share) / 2
+            if low:
+                own[j], self.logs = kept
+        return own
+
+
+def fit_mixture(sample: np.ndarray, x: np.ndarray, n: np.ndarray, k: int, fit_idx: int, seed: int, max_steps: int = MAX_STEPS, constrained: bool = False) -> dict:
+    """Expectation-maximisation on counts; log-likelihoods by step are in ``trace`` and never fall.
+
+    A constrained fit begins with one skew and one scale for all components, whose density ratios are monotone, and keeps
+    them so in every step.
+    """
     s_of, samples = sample.astype(int), len(SAMPLES)
     use, n = n > 0, n.astype(float)
     s_of, x, n = s_of[use], x[use], n[use]
     loc, delta, gamma = start(x, n, k, fit_idx, seed)
     w, trace, floor = np.full((samples, k), 1 / k), [], 1e-6 * max(np.ptp(x), 1e-9) ** 2
+    held = None
+    if constrained:
+        order = np.argsort(loc)
+        loc, delta = loc[order], np.full(k, abs(delta[0]) * (-1) ** fit_idx)
+        held = Constraint(x.min(), x.max(), loc, delta, gamma)
     for _ in range(max_steps):
         lp, v1, v2 = component_log_pdf(x, loc, delta, gamma)
         joint = lp + np.log(np.maximum(w[s_of].T, 1e-300))
@@ -87,12 +146,14 @@ def fit_mixture(sample: np.ndarray, x: np.ndarray, n: np.ndarray, k: int, fit_id
             break
         r = np.exp(joint - total) * n
         mass = np.maximum(r.sum(1), 1e-12)
-        loc = (r * (x - v1 * delta[:, None])).sum(1) / mass
+        to = lambda name, asked: held.moved(name, asked) if held else asked
+        loc = to("loc", (r * (x - v1 * delta[:, None])).sum(1) / mass)
         d = x[None, :] - loc[:, None]
-        delta = (r * v1 * d).sum(1) / np.maximum((r * v2).sum(1), 1e-12)
-        gamma = np.maximum((r * (d * d - 2 * delta[:, None] * v1 * d + delta[:, None] ** 2 * v2)).sum(1) / mass, floor)
+        delta = to("delta", (r * v1 * d).sum(1) / np.maximum((r * v2).sum(1), 1e-12))
+        gamma = to("gamma", np.maximum((r * (d * d - 2 * delta[:, None] * v1 * d + delta[:, None] ** 2 * v2)).sum(1) / mass, floor))
         w = np.stack([r[:, s_of == s].sum(1) / max(n[s_of == s].sum(), 1e-12) if (s_of == s).any() else np.full(k, 1 / k) for s in range(samples)])
-    order = np.argsort(loc + delta * math.sqrt(2 / math.pi))
+    # A constrained fit's components are in the order of their ratios.
+    order = np.arange(k) if constrained else np.argsort(loc + delta * math.sqrt(2 / math.pi))
     return {"loc": loc[order], "delta": delta[order], "gamma": gamma[order], "w": w[:, order], "trace": trace}
 
 
@@ -104,7 +165,7 @@ def log_likelihood(sample: np.ndarray, x: np.ndarray, n: np.ndarray, m: dict) ->
     return float((n * (top + np.log(np.exp(joint - top).sum(0)))).sum() / n.sum()) if n.sum() else math.nan
 
 
-def mixture_fits(counts: DataFrame, dataset: str, components: tuple[int, ...] = (2, 3), restarts: int = 2) -> DataFrame:
+def mixture_fits(counts: DataFrame, dataset: str, components: tuple[int, ...] = (2, 3), restarts: int = 2, constrained: bool = False) -> DataFrame:
     """A row a fit: dataset, seed, n_c, fit_idx, likelihoods a row on drawn and unseen rows, components by rising mean, weights by sample."""
     spark, kind = counts.sparkSession, dict(counts.dtypes)[dataset]
     grid = spark.createDataFrame([(k, i) for k in components for i in range(restarts)], "n_c int, fit_idx int")
@@ -116,7 +177,7 @@ def mixture_fits(counts: DataFrame, dataset: str, components: tuple[int, ...] =
         k, i = int(first.n_c), int(first.fit_idx)
         if n.sum() == 0 or np.ptp(x[n > 0]) == 0:
             return pd.DataFrame()
-        m = fit_mixture(s, x, n, k, i, int(first.seed))
+        m = fit_mixture(s, x, n, k, i, int(first.seed), constrained=constrained)
         parts = [{"a": float(d / math.sqrt(g)), "loc": float(c), "scale": math.sqrt(g + d * d)} for c, d, g in zip(m["loc"], m["delta"], m["gamma"], strict=True)]
         return pd.DataFrame([{dataset: first[dataset], "seed": first.seed, "n_c": k, "fit_idx": i, "steps": len(m["trace"]), "train_ll": log_likelihood(s, x, n, m), "val_ll": log_likelihood(s, x, unseen, m), "components": parts, "weights": m["w"].tolist()}])
 

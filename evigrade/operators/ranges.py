@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evigrade.operators.bootstrap import draws
+from evigrade.operators.bootstrap import seeds_of_blocks, with_block_draws
 
 TIERS = 8
 #: A range: where it begins and ends.
@@ -23,12 +23,10 @@ RANGE_TYPE = "map<int,array<struct<lo:double,hi:double>>>"
 
 def curve_counts(rows: DataFrame, dataset: str, at: str, row_id: str, first: str, second: str, seeds: int) -> DataFrame:
     """dataset, grid, seed, p, b, n: rows of the first class, of the second, and all that each seed drew at each place."""
-    times = draws(F.col(row_id), seeds)
-    drawn = rows.select(dataset, F.col(at).cast("int").alias("grid"), first, second, *[t.alias(f"d{i}") for i, t in enumerate(times)])
+    drawn = with_block_draws(rows.select(dataset, F.col(at).cast("int").alias("grid"), row_id, first, second), row_id, seeds)
     of = lambda flag, i: F.sum(F.when(F.col(flag), F.col(f"d{i}")).otherwise(0) if flag else F.col(f"d{i}"))
-    sums = drawn.groupBy(dataset, "grid").agg(*[of(f, i).alias(f"{n}{i}") for n, f in (("p", first), ("b", second), ("n", None)) for i in range(seeds)])
-    each = F.explode(F.array(*[F.struct(F.lit(i).cast("long").alias("seed"), *[F.col(f"{n}{i}").alias(n) for n in "pbn"]) for i in range(seeds)])).alias("x")
-    return sums.select(dataset, "grid", each).select(dataset, "grid", "x.*")
+    sums = drawn.groupBy(dataset, "grid", "block").agg(*[of(f, i).alias(f"{n}{i}") for n, f in (("p", first), ("b", second), ("n", None)) for i in range(8)])
+    return seeds_of_blocks(sums, [dataset, "grid"], {n: [F.col(f"{n}{i}") for i in range(8)] for n in "pbn"}, seeds)
 
 
 def log_ratios(counts: DataFrame, dataset: str) -> DataFrame:
@@ -69,13 +67,17 @@ def runs_of(curve: DataFrame, keys: list[str], value: str) -> DataFrame:
     return ended.where(F.col(value).isNotNull() & (F.col(value).cast("string") != "0")).select(*keys, F.col("grid").cast("double").alias("lo"), F.col("hi").cast("double").alias("hi"), value)
 
 
-def interpolated(curve: Column, first: int, score: Column) -> Column:
-    """Value at score of a curve given at whole places from ``first`` on; null outside and where a neighbour is null."""
-    low = F.floor(score).cast("int")
-    at = low - first
-    a, b = F.get(curve, F.when(at >= 0, at)), F.get(curve, F.when(at >= 0, at + 1))
-    f = score - low
-    return F.when(f == 0, a).otherwise(a + (b - a) * f)
+def at_places(curves: DataFrame, dataset: str) -> DataFrame:
+    """dataset, grid and pieces: at each place an array of (seed, l, next), the values there and at the next place; a row a place, whatever the number of rows."""
+    following = curves.select(dataset, "seed", (F.col("grid") - 1).alias("grid"), F.col("l").alias("next"))
+    both = curves.join(following, [dataset, "seed", "grid"], "left")
+    return both.groupBy(dataset, "grid").agg(F.array_sort(F.collect_list(F.struct("seed", "l", "next"))).alias("pieces"))
+
+
+def interpolated(piece: Column, score: Column) -> Column:
+    """Value at score of a piece that begins at the whole place below it; null where a neighbour that counts is null."""
+    f = score - F.floor(score)
+    return F.when(f == 0, piece["l"]).otherwise(piece["l"] + (piece["next"] - piece["l"]) * f)
 
 
 def chosen_class(l5: Column, l95: Column, low: Column, high: Column) -> tuple[Column, Column]:

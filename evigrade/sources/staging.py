@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,3 +37,14 @@ def cut(df: DataFrame, name: str, **options: str) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+_ONCE: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def once(spark: SparkSession, name: str, source: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """The table that ``make`` gives, staged once in a session for each name and source; tables under ``source`` mustn't change meanwhile."""
+    key = (spark.sparkContext.applicationId, name, source)
+    if key not in _ONCE:
+        _ONCE[key] = cut(make(), name)
+    return _ONCE[key]
