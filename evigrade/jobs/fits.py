@@ -129,7 +129,8 @@ QUERIES = {f.__name__: f for f in (ratio_checks, moment_fits, fit_densities, fit
 _C = repr(op.LOG_ROOT_TAU)
 
 
-def _log_cdf(z: str) -> str:
+def log_cdf_sql(z: str) -> str:
+    """Log of the normal distribution function as SQL of DuckDB, z being a column or an expression in brackets."""
     x = f"abs({z})"
     fraction = f"list_reduce(list_prepend({x}, range({op.LEVELS}, 0, -1)::DOUBLE[]), lambda acc, k: {x} + k / acc)"
     series = f"list_reduce(list_prepend(1.0::DOUBLE, range({op.TERMS}, 0, -1)::DOUBLE[]), lambda acc, k: 1 + {z} * {z} / (2 * k + 1) * acc)"
@@ -139,7 +140,7 @@ def _log_cdf(z: str) -> str:
 
 def _logs(table: str, keys: str) -> str:
     """Rows of table (keys and x) times the components of their fit: keys, k and l, the log density of the component there."""
-    return f"SELECT {keys}, k, ln(2) - {_C} - ln(scale) - d * d / 2 + {_log_cdf('z')} AS l FROM (SELECT {keys}, k, scale, (x - loc) / scale AS d, a * (x - loc) / scale AS z FROM {table} JOIN comp USING (lang, mode, seed))"
+    return f"SELECT {keys}, k, ln(2) - {_C} - ln(scale) - d * d / 2 + {log_cdf_sql('z')} AS l FROM (SELECT {keys}, k, scale, (x - loc) / scale AS d, a * (x - loc) / scale AS z FROM {table} JOIN comp USING (lang, mode, seed))"
 
 
 #: Log densities of the samples by place, from the component's log densities l and weights.

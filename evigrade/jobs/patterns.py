@@ -5,10 +5,14 @@ A variant in several dimensions is a user and a sixteenth of their events; a dim
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evigrade.jobs.calibration import SCORED, _scores
+from evigrade.jobs.fits import log_cdf_sql
+from evigrade.operators import multivariate as mv
 from evigrade.operators import patterns as op
 from evigrade.operators.stratified import sized_draws, sized_draws_sql
 from evigrade.sources.staging import cut, table
@@ -68,13 +72,58 @@ def supported_subsets(spark: SparkSession, sf: str) -> DataFrame:
     return op.supported_subsets(_counts(spark, sf), len(DIMS), "sample", ["P", "B"], LEAST)
 
 
-QUERIES = {f.__name__: f for f in (sample_bootstrap, pattern_bootstrap, pattern_counts, dimension_overlaps, connected_dims, supported_subsets)}
+#: A literal fit over two of the dimensions, in hundreds: components by sample.
+PAIR = ["view", "signup"]
+MODEL = {"mu": [[0.5, 3.0], [1.6, 2.7]], "delta": [[0.6, 0.3], [0.8, -0.2]], "gamma": [[[0.3, 0.05], [0.05, 0.2]], [[0.6, -0.1], [-0.1, 0.3]]], "w": [[0.8, 0.2], [0.25, 0.75], [0.5, 0.5]]}
+PRIOR, ENOUGH = 0.2, 40
+
+
+def _pair(spark: SparkSession, sf: str) -> DataFrame:
+    """Few rows of the second class have both dimensions."""
+    rows = _wide(spark, sf).select("id", "sample", *[F.round(F.col(c) / 100, 6).alias(c) for c in PAIR])
+    return rows.withColumn("view", F.when((F.col("sample") != "B") | F.col("signup").isNull() | (F.col("id") % 5 == 0), F.col("view")))
+
+
+def pattern_ratios(spark: SparkSession, sf: str) -> DataFrame:
+    """Each variant's log ratio from both dimensions or the one it has, in each mode for patterns that a class lacks."""
+    rows = _pair(spark, sf)
+    told = cut(mv.support(op.pattern_counts(rows, PAIR, ["sample"]), len(PAIR), ENOUGH), "pattern-support")
+    found = [mv.pattern_ratios(rows, PAIR, "id", MODEL, told, PRIOR, m).select("id", "mask", F.lit(m).alias("mode"), F.round("l", 5).alias("l")) for m in mv.MODES]
+    return reduce(DataFrame.unionByName, found)
+
+
+def pattern_prior(spark: SparkSession, sf: str) -> DataFrame:
+    """The share of the first class in the population, over all patterns together."""
+    prior = mv.pattern_prior(_pair(spark, sf).where("sample = 'population'"), PAIR, MODEL)
+    return spark.range(1).select(F.round(F.lit(None if prior != prior else prior).cast("double"), 4).alias("prior"))
+
+
+QUERIES = {f.__name__: f for f in (sample_bootstrap, pattern_bootstrap, pattern_counts, dimension_overlaps, connected_dims, supported_subsets, pattern_ratios, pattern_prior)}
 
 _WIDE = f"""x AS (SELECT {", ".join(f"{e} AS {n}" for n, e in KEYS.items())}, event_type, {VALUE} AS value FROM events),
 wide AS (SELECT id, sample, {", ".join(f"avg(value) FILTER (WHERE event_type = '{d}') AS {d}" for d in DIMS)} FROM x GROUP BY ALL),
 masked AS (SELECT id, sample, ({" + ".join(f"CASE WHEN {d} IS NOT NULL THEN {1 << i} ELSE 0 END" for i, d in enumerate(DIMS))})::BIGINT AS mask FROM wide), counts AS (SELECT sample, mask, count(*) AS n FROM masked GROUP BY ALL)"""
 _SUMS = lambda strata, i: f"SELECT {strata}, seed, count(*) AS rows, sum(times)::BIGINT AS drawn, count(*) FILTER (WHERE times = 0) AS unseen, count(*) FILTER (WHERE times > 1) AS again, sum(times * ({i} % 101))::BIGINT AS mixed FROM drawn GROUP BY {strata}, seed"
 _PAIRS = f"pairs AS (SELECT i, j, sum(n)::BIGINT AS n FROM counts, range({len(DIMS)}) a(i), range({len(DIMS)}) b(j) WHERE i < j AND mask & (1 << i) > 0 AND mask & (1 << j) > 0 GROUP BY ALL)"
+
+
+def _component(c: int) -> str:
+    """Log density of a component at (x, y), of which either may be null."""
+    (m0, m1), (d0, d1), ((g00, g01), (_, g11)) = MODEL["mu"][c], MODEL["delta"][c], MODEL["gamma"][c]
+    o00, o01, o11 = g00 + d0 * d0, g01 + d0 * d1, g11 + d1 * d1
+    det = o00 * o11 - o01 * o01
+    s0, s1 = (o11 * d0 - o01 * d1) / det, (o00 * d1 - o01 * d0) / det
+    r0, r1 = f"(x - {m0})", f"(y - {m1})"
+    one = lambda r, o, d: f"ln(2) - ln(2 * pi() * {o}) / 2 - {r} * {r} / {2 * o} + ({log_cdf_sql(f'({r} * {d / o / (1 - d * d / o) ** 0.5})')})"
+    both = f"ln(2) - ln(2 * pi()) - ln({det}) / 2 - ({o11} * {r0} * {r0} - {2 * o01} * {r0} * {r1} + {o00} * {r1} * {r1}) / {2 * det} + ({log_cdf_sql(f'(({s0} * {r0} + {s1} * {r1}) / {(1 - d0 * s0 - d1 * s1) ** 0.5})')})"
+    return f"CASE WHEN x IS NULL AND y IS NULL THEN 0 WHEN y IS NULL THEN {one(r0, o00, d0)} WHEN x IS NULL THEN {one(r1, o11, d1)} ELSE {both} END"
+
+
+_MIXED = lambda w: f"greatest(c0 + ln({w[0]}), c1 + ln({w[1]})) + ln(exp(c0 + ln({w[0]}) - greatest(c0 + ln({w[0]}), c1 + ln({w[1]}))) + exp(c1 + ln({w[1]}) - greatest(c0 + ln({w[0]}), c1 + ln({w[1]}))))"
+_PAIR = f"""{_WIDE}, hundreds AS (SELECT id, sample, round(view / 100, 6) AS v, round(signup / 100, 6) AS y FROM wide), pair AS (SELECT id, sample, CASE WHEN sample <> 'B' OR y IS NULL OR id % 5 = 0 THEN v END AS x, y FROM hundreds),
+of_mask AS (SELECT *, ((x IS NOT NULL)::INT + 2 * (y IS NOT NULL)::INT)::BIGINT AS mask FROM pair)"""
+_DENSE = lambda t: f"(SELECT *, {', '.join(f'{_MIXED(w)} AS {n}' for w, n in zip(MODEL['w'], ('log_p', 'log_b', 'log_pop'), strict=True))} FROM (SELECT *, {_component(0)} AS c0, {_component(1)} AS c1 FROM {t}))"
+_LEFT = lambda share, own: f"(log_pop + ln(greatest((1 - {share} * exp({own} - log_pop)) / (1 - {share}), 1e-10)))"
 SQL = {
     "sample_bootstrap": f"""WITH RECURSIVE {SCORED}, members AS (SELECT lang, doc_id, unnest(list_filter([CASE WHEN is_plp THEN 'P' END, CASE WHEN is_blb THEN 'B' END, 'population'], lambda v: v IS NOT NULL)) AS sample FROM s),
 {sized_draws_sql("members", ["lang", "sample"], "doc_id", SEEDS)} {_SUMS("lang, sample", "doc_id")}""",
@@ -89,4 +138,15 @@ SELECT dim, root, size, root = (SELECT root FROM sized ORDER BY size DESC, root
 fine AS (SELECT subset FROM (SELECT subset, sample, sum(n) AS n FROM (SELECT DISTINCT subset FROM sub) q JOIN counts c ON c.mask & subset = subset WHERE sample IN ('P', 'B') GROUP BY ALL) WHERE n >= {LEAST} GROUP BY subset HAVING count(*) = 2),
 ranked AS (SELECT mask, subset, row_number() OVER (PARTITION BY mask ORDER BY bit_count(subset) DESC, list_filter(range({len(DIMS)}), lambda i: subset & (1 << i) > 0)) AS i FROM sub JOIN fine USING (subset))
 SELECT mask, subset AS supported FROM p LEFT JOIN (SELECT mask, subset FROM ranked WHERE i = 1) USING (mask)""",
+    "pattern_ratios": f"""WITH {_PAIR}, masks AS (SELECT sample, mask, count(*) AS n FROM of_mask GROUP BY ALL),
+has AS (SELECT s.mask, {", ".join(f"coalesce(sum(n) FILTER (WHERE sample = '{n}'), 0) >= {ENOUGH} AS has_{k}" for n, k in (("P", "p"), ("B", "b"), ("population", "pop")))} FROM (SELECT DISTINCT mask FROM masks WHERE mask > 0) s JOIN masks m ON m.mask & s.mask = s.mask GROUP BY s.mask),
+whole AS (SELECT h.mask, has_p, has_b, has_pop, (SELECT arg_min(t.mask, {{'size': -bit_count(t.mask), 'mask': t.mask}}) FROM has t WHERE t.mask & h.mask = t.mask AND t.has_p AND t.has_b) AS sub FROM has h),
+each AS (SELECT id, p.mask, mode, has_p, has_b, has_pop, CASE WHEN mode <> 'project' OR coalesce(sub, p.mask) & 1 > 0 THEN x END AS x, CASE WHEN mode <> 'project' OR coalesce(sub, p.mask) & 2 > 0 THEN y END AS y
+  FROM of_mask p LEFT JOIN whole USING (mask), (VALUES {", ".join(f"('{m}')" for m in mv.MODES)}) t(mode)), dense AS {_DENSE("each")}
+SELECT id, mask, mode, round(CASE WHEN mask = 0 OR (mode = 'gate' AND NOT has_b) THEN NULL WHEN mode = 'local_unmixing' AND has_p AND NOT has_b AND has_pop THEN log_p - {_LEFT(PRIOR, "log_p")}
+  WHEN mode = 'local_unmixing' AND NOT has_p AND has_b AND has_pop THEN {_LEFT(1 - PRIOR, "log_b")} - log_b ELSE log_p - log_b END, 5) + 0 AS l FROM dense""",
+    "pattern_prior": f"""WITH RECURSIVE {_PAIR}, dense AS {_DENSE("of_mask")}, r AS (SELECT round(greatest(-30.0, least(30.0, log_p - log_b)), 3) AS l, count(*) AS n FROM dense WHERE sample = 'population' AND mask > 0 GROUP BY 1),
+it AS (SELECT list(exp(least(l, 0)) ORDER BY l) AS f1, list(exp(-greatest(l, 0)) ORDER BY l) AS f2, list(n ORDER BY l) AS n, 0.5::DOUBLE AS prior, 1.0::DOUBLE AS diff, 0 AS step FROM r
+  UNION ALL SELECT f1, f2, n, new, abs(new - prior), step + 1 FROM (SELECT *, list_sum(list_transform(range(1, len(n) + 1), lambda i: n[i] * prior * f1[i] / (prior * f1[i] + (1 - prior) * f2[i]))) / list_sum(n) AS new FROM it WHERE diff >= 1e-6 AND step < 10000 AND prior > 0 AND prior < 1))
+SELECT round(CASE WHEN last > 0.001 AND last < 0.999 THEN last END, 4) AS prior FROM (SELECT arg_max(prior, step) AS last FROM it)""",
 }
