@@ -43,6 +43,11 @@ def confusion_metrics(spark: SparkSession, sf: str) -> DataFrame:
     return op.metrics(op.confusion(_called(spark, sf), ["source"], F.col("truth"), F.col("points")))
 
 
+def classification_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    """All metrics by source, uncertain calls left out and taken in, with infinite ratios."""
+    return op.full_metrics(op.confusion(_called(spark, sf), ["source"], F.col("truth"), F.col("points")))
+
+
 def author_confusion(spark: SparkSession, sf: str) -> DataFrame:
     items = table(spark, sf, "lineitem").groupBy("l_linestatus", "l_returnflag").count()
     return items.groupBy("l_linestatus").agg(*[F.sum(F.when(F.col("l_returnflag") == f, F.col("count")).otherwise(0)).cast("long").alias(n) for f, n in (("R", "abnormal"), ("A", "indeterminate"), ("N", "normal"))])
@@ -162,15 +167,26 @@ def strata_summary(spark: SparkSession, sf: str) -> DataFrame:
     return named.groupBy("r_name").agg(F.sum("n").alias("n"), F.countDistinct("s_suppkey").alias("suppliers"), F.round(F.sum("wx") / F.sum("w"), 6).alias("weighted_mean"))
 
 
-QUERIES = {f.__name__: f for f in (scoreset, point_lookup, confusion_metrics, author_confusion, vus_coverage, evidence_distribution, source_priors, piecewise_evidence, replicates, assay_matrix, merged_assays, curve_runs, curve_percentiles, best_restarts, empirical_cdf, flag_filter, quantile_clip, interval_parse, out_of_bag, strata_summary)}
+QUERIES = {f.__name__: f for f in (scoreset, point_lookup, confusion_metrics, classification_metrics, author_confusion, vus_coverage, evidence_distribution, source_priors, piecewise_evidence, replicates, assay_matrix, merged_assays, curve_runs, curve_percentiles, best_restarts, empirical_cdf, flag_filter, quantile_clip, interval_parse, out_of_bag, strata_summary)}
 
 CALLED = f"WITH {SCORED}, c AS (SELECT *, CASE WHEN is_plp THEN 'P' WHEN is_blb THEN 'B' END AS truth, {FIRST} AS points FROM s)"
 BAND = "sign(points)::BIGINT * CASE WHEN abs(points) >= 8 THEN 8 WHEN abs(points) >= 4 THEN 4 WHEN abs(points) >= 2 THEN 2 ELSE abs(points) END"
 _LOGS = [f"ln({q} * 0.9 / (0.1 * {1 - q}))" for _, q in th.KNOTS]
 _SEG = [f"{_LOGS[i]} + (points - ({th.KNOTS[i][0]})) * ({_LOGS[i + 1]} - {_LOGS[i]}) / ({th.KNOTS[i + 1][0] - th.KNOTS[i][0]})" for i in range(3)]
+_SHARE = lambda a, b: f"coalesce(({a})::DOUBLE / nullif(({a}) + ({b}), 0), 0)"
+_ODDS = lambda tp, fn, fp, tn: f"CASE WHEN ({fp}) > 0 AND ({fn}) > 0 THEN round((({tp}) * ({tn}))::DOUBLE / (({fp}) * ({fn})), 6) ELSE 'inf'::DOUBLE END"
+_PLUS = lambda tp, fn, fp, tn: f"CASE WHEN {_SHARE(tn, fp)} < 1 THEN round({_SHARE(tp, fn)} / (1 - {_SHARE(tn, fp)}), 6) ELSE 'inf'::DOUBLE END"
+_MINUS = lambda tp, fn, fp, tn: f"CASE WHEN {_SHARE(tn, fp)} > 0 THEN round((1 - {_SHARE(tp, fn)}) / {_SHARE(tn, fp)}, 6) ELSE 'inf'::DOUBLE END"
+_CELLS, _FIRST, _SECOND = ("tp", "fn", "fp", "tn"), ("tp", "fn + p_vus", "fp", "tn + b_vus"), ("tn", "fp + b_vus", "fn", "tp + p_vus")
+_SURE = {"accuracy": f"round({_SHARE('tp + tn', 'fp + fn')}, 6)", "sensitivity": f"round({_SHARE('tp', 'fn')}, 6)", "specificity": f"round({_SHARE('tn', 'fp')}, 6)",
+    "mcc": "round(coalesce((tp * tn - fp * fn)::DOUBLE / nullif(sqrt((tp + fp)::DOUBLE * (tp + fn) * (tn + fp) * (tn + fn)), 0), 0), 6) + 0", "dor_standard": _ODDS(*_CELLS), "lr_plus_standard": _PLUS(*_CELLS), "lr_minus_standard": _MINUS(*_CELLS)}
+_ALL = {"coverage": f"round({_SHARE('called', 'p_vus + b_vus')}, 6)", "lr_plus_pathogenic": _PLUS(*_FIRST), "lr_plus_benign": _PLUS(*_SECOND), "dor_pathogenic": _ODDS(*_FIRST), "dor_benign": _ODDS(*_SECOND)}
 SQL = {
     "scoreset": f"WITH {SCORED} SELECT * REPLACE (round(score, 6) AS score) FROM s",
     "point_lookup": f"WITH {SCORED} SELECT doc_id, ({FIRST})::BIGINT AS first_points, ({LAST})::BIGINT AS last_points, ({BAND.replace('points', '(' + FIRST + ')')})::BIGINT AS band FROM s",
+    "classification_metrics": CALLED + f""", m AS (SELECT source, count(*) FILTER (truth = 'P' AND points > 0) AS tp, count(*) FILTER (truth = 'P' AND points = 0) AS p_vus, count(*) FILTER (truth = 'P' AND points < 0) AS fn,
+  count(*) FILTER (truth = 'B' AND points > 0) AS fp, count(*) FILTER (truth = 'B' AND points = 0) AS b_vus, count(*) FILTER (truth = 'B' AND points < 0) AS tn FROM c GROUP BY source), n AS (SELECT *, tp + fn + fp + tn AS called FROM m)
+SELECT source, tp, p_vus, fn, fp, b_vus, tn, {", ".join(f"CASE WHEN called > 0 THEN {e} ELSE 0 END AS {n}" for n, e in _SURE.items())}, {", ".join(f"{e} AS {n}" for n, e in _ALL.items())} FROM n""",
     "confusion_metrics": CALLED + """, m AS (SELECT source, count(*) FILTER (truth = 'P' AND points > 0) AS tp, count(*) FILTER (truth = 'P' AND points = 0) AS p_vus, count(*) FILTER (truth = 'P' AND points < 0) AS fn,
   count(*) FILTER (truth = 'B' AND points > 0) AS fp, count(*) FILTER (truth = 'B' AND points = 0) AS b_vus, count(*) FILTER (truth = 'B' AND points < 0) AS tn FROM c GROUP BY source),
 h AS (SELECT *, CASE WHEN fp = 0 OR fn = 0 THEN 0.5 ELSE 0 END::DOUBLE AS h, (tp + fn + fp + tn)::DOUBLE AS called FROM m)

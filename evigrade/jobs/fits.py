@@ -6,14 +6,17 @@ Fits are by moments, so that SQL can make them too; the operators take any fits,
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evigrade.jobs.calibration import SCORED, _scores
+from evigrade.operators import choice, mixtures, ranges
 from evigrade.operators import fits as op
-from evigrade.operators import mixtures, ranges
 from evigrade.operators.bootstrap import draws_sql
-from evigrade.sources.staging import cut, once
+from evigrade.sources import scoresets
+from evigrade.sources.staging import cut, once, shared_folder
 
 SEEDS, BINS, PLACES, ROUNDS = 8, 256, 41, 8
 MODES = {"pn": (0, 1, 2), "pu": (0, 2), "nu": (1, 2)}
@@ -26,7 +29,7 @@ def _rows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _counts(spark: SparkSession, sf: str) -> DataFrame:
-    """lang, mode, seed, sample, x, rows, n: each mode keeps the counts of its samples."""
+    """lang, mode, seed, sample, x, rows, n, unseen: each mode keeps the counts of its samples."""
     return once(spark, "fit-counts", sf, lambda: _counted(spark, sf))
 
 
@@ -34,7 +37,7 @@ def _counted(spark: SparkSession, sf: str) -> DataFrame:
     counts = mixtures.counted_scores(_rows(spark, sf), "lang", SEEDS, BINS).withColumn("x", F.round("x", 9))
     in_mode = F.array(*[F.struct(F.lit(m).alias("mode"), F.array(*[F.lit(s) for s in samples]).alias("samples")) for m, samples in MODES.items()])
     each = counts.select("*", F.explode(in_mode).alias("m")).where(F.array_contains("m.samples", F.col("sample")))
-    return each.select("lang", "m.mode", "seed", "sample", "x", "rows", "n")
+    return each.select("lang", "m.mode", "seed", "sample", "x", "rows", "n", "unseen")
 
 
 def _fits(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -124,7 +127,33 @@ def ratio_checks(spark: SparkSession, sf: str) -> DataFrame:
     return op.ratio_checks(_fits(spark, sf)[0].drop("lo", "hi"), _grid(spark, sf), DATASET, FIT)
 
 
-QUERIES = {f.__name__: f for f in (ratio_checks, moment_fits, fit_densities, fit_priors, fitted_priors, fit_lr_curves, fit_point_ranges, fit_evidence)}
+def model_gains(spark: SparkSession, sf: str) -> DataFrame:
+    """lang, seed and gain: how much likelier the rows that a bootstrap never drew are, on average, under the fit with both classes than under that with the first one only."""
+    fits, counts = _fits(spark, sf)[0], _counts(spark, sf)
+    unseen = counts.where((F.col("sample") == op.POPULATION) & (F.col("unseen") > 0)).select(*FIT, "x", "unseen")
+    ll = op.at_places(fits.drop("lo", "hi"), unseen, FIT).groupBy(*FIT).agg((F.sum(F.col("log_pop") * F.col("unseen")) / F.sum("unseen")).alias("ll"))
+    both = ll.groupBy("lang", "seed").agg(*[F.max(F.when(F.col("mode") == m, F.col("ll"))).alias(m) for m in ("pn", "pu")])
+    return both.where("pn IS NOT NULL AND pu IS NOT NULL").select("lang", "seed", F.round(F.col("pn") - F.col("pu"), 6).alias("gain"))
+
+
+def paired_choice(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether the larger model is to be taken: by the signed ranks of its gains, and, more cautiously, by their 5th percentile."""
+    gains = cut(model_gains(spark, sf), "model-gains")
+    low = gains.groupBy("lang").agg(F.percentile("gain", 0.05).alias("low"))
+    tested = choice.signed_rank(gains, ["lang"], "gain").join(low, "lang")
+    return tested.select("lang", "n", F.round("w", 3).alias("w"), F.round("p", 6).alias("p"), (F.col("p") < 0.05).alias("larger"), (F.col("low") > 0).alias("larger_cautious"))
+
+
+def calibration_file(spark: SparkSession, sf: str) -> DataFrame:
+    """Calibrations written as JSON lines, one a dataset, and read back: prior, its stability, and the ranges of each tier."""
+    path = f"{shared_folder(spark)}/calibrations-{uuid.uuid4().hex}"
+    calibrations = scoresets.calibrations(fitted_priors(spark, sf), fit_point_ranges(spark, sf), DATASET)
+    scoresets.write_json(calibrations, path)
+    back = scoresets.read_json(spark, path, calibrations.schema)
+    return back.select(*DATASET, "prior", "unstable", F.explode_outer("ranges").alias("points", "rs")).select(*DATASET, "prior", "unstable", F.col("points").cast("long").alias("points"), F.size("rs").cast("long").alias("n"), F.get("rs", F.lit(0))["lo"].alias("lo"), F.get("rs", F.size("rs") - 1)["hi"].alias("hi"))
+
+
+QUERIES = {f.__name__: f for f in (model_gains, paired_choice, calibration_file, ratio_checks, moment_fits, fit_densities, fit_priors, fitted_priors, fit_lr_curves, fit_point_ranges, fit_evidence)}
 
 _C = repr(op.LOG_ROOT_TAU)
 
@@ -163,8 +192,8 @@ _FIT_SQL = f"""WITH RECURSIVE {SCORED}, r AS (SELECT * REPLACE (round(score, 9)
 e AS (SELECT lang, min(score) AS lo, max(score) AS hi FROM r GROUP BY 1 HAVING max(score) > min(score)),
 m AS (SELECT doc_id, lang, score, unnest(list_filter([CASE WHEN is_plp THEN 0 END, CASE WHEN is_blb THEN 1 END, 2], lambda v: v IS NOT NULL)) AS sample, least({BINS - 1}, floor((score - lo) / (hi - lo) * {BINS}))::INT AS bin FROM r JOIN e USING (lang)),
 at_bin AS (SELECT lang, sample, bin, round(avg(score), 9) AS x, count(*) AS rows FROM m GROUP BY ALL),
-drawn AS (SELECT lang, seed, sample, bin, sum({draws_sql("doc_id", "seed")}) AS n FROM m, range({SEEDS}) t(seed) GROUP BY ALL),
-counts AS MATERIALIZED (SELECT lang, mode, seed, sample, bin, x, rows, n FROM drawn JOIN at_bin USING (lang, sample, bin), (VALUES {", ".join(f"('{m}', {list(v)})" for m, v in MODES.items())}) t(mode, samples) WHERE list_contains(samples, sample)),
+drawn AS (SELECT lang, seed, sample, bin, sum({draws_sql("doc_id", "seed")}) AS n, count(*) FILTER (WHERE {draws_sql("doc_id", "seed")} = 0) AS unseen FROM m, range({SEEDS}) t(seed) GROUP BY ALL),
+counts AS MATERIALIZED (SELECT lang, mode, seed, sample, bin, x, rows, n, unseen FROM drawn JOIN at_bin USING (lang, sample, bin), (VALUES {", ".join(f"('{m}', {list(v)})" for m, v in MODES.items())}) t(mode, samples) WHERE list_contains(samples, sample)),
 sums AS (SELECT lang, mode, seed, sample, sum(n) AS n, sum(n * x) / sum(n) AS mean, sum(n * x * x) / sum(n) AS q2, sum(n * x * x * x) / sum(n) AS q3, min(x) FILTER (WHERE n > 0) AS lo, max(x) FILTER (WHERE n > 0) AS hi FROM counts GROUP BY ALL),
 vars AS (SELECT *, q2 - mean * mean AS var, q3 - 3 * mean * q2 + 2 * mean * mean * mean AS third FROM sums),
 skews AS (SELECT *, CASE WHEN var > 1e-9 THEN greatest(-0.99, least(0.99, third / pow(var, 1.5))) END AS skew FROM vars),
@@ -216,7 +245,20 @@ mixed AS ({_mixed("gridlogs", "lang, mode, seed, grid")}),
 lr AS (SELECT lang, mode, seed, NOT bool_or(step > {mixtures.SLACK}) AS lr_falls, NOT bool_or(-step > {mixtures.SLACK}) AS lr_rises FROM (SELECT *, log_p - log_b - lag(log_p - log_b) OVER (PARTITION BY lang, mode, seed ORDER BY grid) AS step FROM mixed) GROUP BY lang, mode, seed)
 SELECT lang, mode, seed, coalesce(ratios_fall, true) AS ratios_fall, lr_falls, lr_rises FROM whole LEFT JOIN falls USING (lang, mode, seed) LEFT JOIN lr USING (lang, mode, seed)"""
 _CURVES = "curves AS (SELECT lang, mode, grid, count(f_p - f_b) AS fits, round(quantile_cont(f_p - f_b, 0.05), 2) + 0 AS p5, round(quantile_cont(f_p - f_b, 0.5), 2) + 0 AS p50, round(quantile_cont(f_p - f_b, 0.95), 2) + 0 AS p95 FROM at_fit GROUP BY ALL)"
+_GAINS = """gains AS (SELECT lang, seed, round(pn - pu, 6) AS gain FROM (SELECT lang, seed, max(ll) FILTER (WHERE mode = 'pn') AS pn, max(ll) FILTER (WHERE mode = 'pu') AS pu FROM (
+  SELECT lang, mode, seed, sum(log_pop * unseen) / sum(unseen) AS ll FROM popseen JOIN (SELECT lang, mode, seed, bin, unseen FROM counts WHERE sample = 2 AND unseen > 0) USING (lang, mode, seed, bin) GROUP BY ALL) GROUP BY ALL) WHERE pn IS NOT NULL AND pu IS NOT NULL)"""
 SQL = {
+    "model_gains": f"{_FIT_SQL}, {_GAINS} SELECT lang, seed, gain + 0 AS gain FROM gains",
+    "paired_choice": f"""{_FIT_SQL}, {_GAINS}, tied AS (SELECT lang, abs(gain) AS a, count(*) AS t, count(*) FILTER (WHERE gain > 0) AS up FROM gains WHERE gain <> 0 GROUP BY ALL),
+ranked AS (SELECT *, sum(t) OVER (PARTITION BY lang ORDER BY a) - (t - 1) / 2 AS r FROM tied),
+sums_of AS (SELECT lang, sum(t)::BIGINT AS n, sum(r * up)::DOUBLE AS w, sum(t * t * t - t) AS ties FROM ranked GROUP BY lang),
+chances AS (SELECT lang, n, w, ties, count(*) FILTER (WHERE list_sum(list_transform(range(n), lambda i: CASE WHEN s & (1 << i::INT) > 0 THEN i + 1 ELSE 0 END)) >= w) / count(*) AS exact,
+  (w - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - ties / 48) AS z FROM sums_of, range({2**SEEDS}) r(s) WHERE s < (1 << n) GROUP BY lang, n, w, ties),
+ps AS (SELECT lang, n, w, CASE WHEN ties = 0 THEN exact ELSE exp({log_cdf_sql("(-z)")}) END AS p FROM chances)
+SELECT l.lang, coalesce(n, 0) AS n, round(coalesce(w, 0), 3) AS w, round(coalesce(p, 1), 6) AS p, coalesce(p, 1) < 0.05 AS larger, low > 0 AS larger_cautious FROM (SELECT lang, quantile_cont(gain, 0.05) AS low FROM gains GROUP BY 1) l LEFT JOIN ps USING (lang)""",
+    "calibration_file": f"""{_FIT_SQL}, {_at(_GRID, 'grid')}, {_CURVES}, graded AS (SELECT lang, mode, grid, {_UP('p5')} AS up, -{_UP('(-p95)')} AS down FROM curves JOIN told USING (lang, mode)), pr AS ({_runs('up')} UNION ALL {_runs('down')}),
+tiers AS (SELECT lang, mode, points, count(*) AS n, arg_min(lo, lo) AS lo, arg_max(hi, lo) AS hi FROM pr GROUP BY ALL)
+SELECT lang, mode, prior, unstable, points, n, lo, hi FROM told LEFT JOIN tiers USING (lang, mode)""",
     "ratio_checks": f"{_FIT_SQL}, {_CHECKS.format(grid=_GRID)}",
     "moment_fits": f"{_FIT_SQL} SELECT lang, mode, seed, k, round(a, 5) + 0 AS a, round(loc, 5) + 0 AS loc, round(scale, 5) + 0 AS scale, round(w_p, 5) + 0 AS w_p, round(w_b, 5) + 0 AS w_b, round(w_pop, 5) + 0 AS w_pop FROM comp JOIN weights USING (lang, mode, seed, k)",
     "fit_densities": f"{_FIT_SQL}, {_at(_GRID, 'grid')} SELECT lang, mode, seed, grid, round(f_p, 3) + 0 AS log_p, round(f_b, 3) + 0 AS log_b, round(log_pop, 3) + 0 AS log_pop FROM at_fit",

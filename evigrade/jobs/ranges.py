@@ -17,7 +17,7 @@ from evigrade.operators.bootstrap import draws, draws_sql
 from evigrade.operators.evidence import sorted_percentile
 from evigrade.sources.staging import cut, once, table
 
-SEEDS, FIRST, LAST = 16, 1, 50
+SEEDS, SET_SEEDS = 16, 6
 KEYS = {"dataset": "CAST(l_linenumber AS INT)", "id": "l_partkey * 100000000 + l_orderkey * 10 + l_linenumber"}
 #: Measurements of one variant are averaged, and its flags follow.
 FIELDS = {"at": "CAST(floor(avg(l_quantity)) AS INT)", "score": "round(avg(l_quantity) - avg(l_tax), 9)", "p": "avg(l_quantity) + max(l_partkey) % 23 > 42", "b": "avg(l_quantity) + max(l_partkey) % 23 < 24"}
@@ -173,6 +173,29 @@ def evidence_oob(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("id", "n", "l5", "l95", F.round("own_prior", 6).alias("prior"), F.when(F.col("n") > 0, F.when(up > 0, up).otherwise(down)).alias("points"))
 
 
+def evidence_oob_full(spark: SparkSession, sf: str) -> DataFrame:
+    """Each variant's points by the cleaned ranges of the bootstraps that never drew it, null where every one did.
+
+    Curves, ranges and clean-up run once for each set of bootstraps and dataset, not once a variant.
+    """
+    rows = _rows(spark, sf).select("dataset", "id", "score", op.unseen_set(draws(F.col("id"), SET_SEEDS)).alias("unseen"))
+    sets = rows.select("dataset", "unseen").distinct()
+    priors = op.seed_priors(_counts(spark, sf), "dataset").where("prior IS NOT NULL")
+    curves = op.set_curves(sets, _curves(spark, sf).where(F.col("l").isNotNull()), priors, "dataset", SET_SEEDS)
+    step = op.step_of(F.col("prior"))
+    graded = cut(curves.select("dataset", "unseen", "grid", op.points_up(F.col("p5"), step).alias("up"), op.points_down(F.col("p95"), step).alias("down")), "set-points")
+    keys = ["dataset", "unseen"]
+    up, down = (op.runs_of(graded.select(*keys, "grid", F.col(c).alias("points")), keys, "points") for c in ("up", "down"))
+    side = lambda c: F.avg(F.when(F.col(c), F.col("score")))
+    flipped = _rows(spark, sf).groupBy("dataset").agg(F.coalesce(side("p") > side("b"), F.lit(False)).alias("is_flipped"))
+    ranges = cut(op.outer_ranges(up.unionByName(down).join(F.broadcast(flipped), "dataset"), keys, "is_flipped"), "set-ranges")
+    packed = ranges.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("points", "lo", "hi"))).alias("ranges"))
+    at = rows.join(packed, keys, "left")
+    # The first range that holds the score, weakest against first.
+    points = F.coalesce(F.get(F.filter("ranges", lambda r: F.col("score").between(r["lo"], r["hi"])), F.lit(0))["points"], F.lit(0).cast("long"))
+    return at.select("id", F.bit_count("unseen").cast("long").alias("seeds"), F.when(F.col("unseen") > 0, points).alias("points"))
+
+
 def variant_report(spark: SparkSession, sf: str) -> DataFrame:
     """The evidence table with out-of-bag points beside the standard ones: what counts, by dataset and sign."""
     both = evidence_table(spark, sf).select("id", "points").join(evidence_oob(spark, sf).select("id", F.col("points").alias("oob_points")), "id", "left")
@@ -181,7 +204,7 @@ def variant_report(spark: SparkSession, sf: str) -> DataFrame:
     return both.groupBy(dataset, s).agg(F.count("*").alias("n"), F.count_if(F.col("oob_points").isNull()).alias("in_bag"), F.count_if(~F.col("points").eqNullSafe(F.col("oob_points"))).alias("changed"))
 
 
-QUERIES = {f.__name__: f for f in (bootstrap_draws, lr_curves, dataset_priors, fit_ranges, score_ranges, dual_ranges, class_ranges, reached_by_bootstraps, range_cleanup, evidence_table, evidence_oob, variant_report)}
+QUERIES = {f.__name__: f for f in (bootstrap_draws, lr_curves, dataset_priors, fit_ranges, score_ranges, dual_ranges, class_ranges, reached_by_bootstraps, range_cleanup, evidence_table, evidence_oob, evidence_oob_full, variant_report)}
 
 _ROWS = "x AS (SELECT " + ", ".join(f'{e} AS "{n}"' for n, e in (KEYS | FIELDS).items()) + " FROM lineitem GROUP BY 1, 2)"
 BAG = f"WITH {_ROWS}, w AS (SELECT x.*, seed, {draws_sql('id', 'seed')} AS d FROM x, range({SEEDS}) r(seed))"
@@ -236,6 +259,16 @@ SQL = {
 SELECT dataset, k AS points, round(avg(CASE WHEN k > 0 THEN top < k ELSE low > k END::INT), 6) AS missing FROM ev, range(-8, 9) r(k) WHERE k <> 0 GROUP BY 1, 2""",
     "evidence_table": _EVIDENCE + f" SELECT id, points, l5, l95, post5, post95, class, {_DISPLAY} AS display FROM us",
     "evidence_oob": CURVES + _AT + _OOB + " SELECT * FROM ob",
+    "evidence_oob_full": CURVES + f""", un AS (SELECT dataset, id, any_value(score) AS score, sum(CASE WHEN d = 0 THEN 1 << seed::INT ELSE 0 END)::BIGINT AS unseen FROM w WHERE seed < {SET_SEEDS} GROUP BY 1, 2),
+st AS (SELECT DISTINCT dataset, unseen, seed FROM un, range({SET_SEEDS}) r(seed) WHERE unseen & (1 << seed::INT) > 0),
+pr AS (SELECT dataset, unseen, round(median(prior), 9) AS prior FROM st JOIN sp USING (dataset, seed) WHERE prior > 0 AND prior < 1 GROUP BY 1, 2),
+sc AS (SELECT dataset, unseen, grid, round(quantile_cont(l, 0.05), 6) AS p5, round(quantile_cont(l, 0.95), 6) AS p95 FROM st JOIN c USING (dataset, seed) WHERE l IS NOT NULL GROUP BY 1, 2, 3),
+rr AS ({_sides("sc JOIN pr USING (dataset, unseen)", "dataset, unseen", _UP.format("p5", _STEP.format("prior")), _down("p95", _STEP.format("prior")), "points")}),
+fl AS (SELECT dataset, coalesce(avg(score) FILTER (p) > avg(score) FILTER (b), false) AS flipped FROM x GROUP BY 1),
+ou AS (SELECT dataset, unseen, points, lo, hi FROM (SELECT *, row_number() OVER (PARTITION BY dataset, unseen, points ORDER BY CASE WHEN (points > 0) = flipped THEN lo ELSE -lo END) AS i FROM rr JOIN fl USING (dataset)) WHERE i = 1),
+cl AS (SELECT * FROM ou a WHERE NOT EXISTS (SELECT 1 FROM ou q WHERE q.dataset = a.dataset AND q.unseen = a.unseen AND q.points * a.points > 0 AND abs(q.points) > abs(a.points) AND q.lo <= a.lo AND a.hi <= q.hi)),
+hit AS (SELECT un.id, arg_min(points, {{'p': points, 'l': lo}}) AS points FROM un JOIN cl ON cl.dataset = un.dataset AND cl.unseen = un.unseen AND un.score BETWEEN cl.lo AND cl.hi GROUP BY 1)
+SELECT un.id, bit_count(unseen)::BIGINT AS seeds, CASE WHEN unseen > 0 THEN coalesce(hit.points, 0) END AS points FROM un LEFT JOIN hit USING (id)""",
     "variant_report": _EVIDENCE + _OOB + """, bo AS (SELECT us.id, us.points, ob.points AS oob FROM us LEFT JOIN ob USING (id))
 SELECT id % 10 AS dataset, sign(coalesce(oob, points))::BIGINT AS sign, count(*) AS n, count(*) FILTER (oob IS NULL) AS in_bag, count(*) FILTER (points IS DISTINCT FROM oob) AS changed FROM bo GROUP BY 1, 2""",
 }

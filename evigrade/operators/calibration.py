@@ -34,6 +34,36 @@ def metrics(matrix: DataFrame) -> DataFrame:
     })
 
 
+def full_metrics(matrix: DataFrame) -> DataFrame:
+    """Metrics of determinate calls, and of the calls for either class against all others, uncertain ones included.
+
+    Here a ratio without a denominator is 0, a likelihood ratio without false calls is infinite, as is an odds ratio where a
+    kind of false call is missing; without determinate calls those of determinate calls are 0.
+    """
+    c = {n: F.col(n).cast("double") for n in ("tp", "p_vus", "fn", "fp", "b_vus", "tn")}
+    zero, endless = F.lit(0.0), F.lit(float("inf"))
+    share = lambda a, b: F.coalesce(F.try_divide(a, a + b), zero)
+    odds = lambda tp, fn, fp, tn: F.when((fp > 0) & (fn > 0), tp * tn / (fp * fn)).otherwise(endless)
+
+    def lr_plus(tp: Column, fn: Column, fp: Column, tn: Column) -> Column:
+        specific = share(tn, fp)
+        return F.when(specific < 1, share(tp, fn) / (1 - specific)).otherwise(endless)
+
+    def lr_minus(tp: Column, fn: Column, fp: Column, tn: Column) -> Column:
+        specific = share(tn, fp)
+        return F.when(specific > 0, (1 - share(tp, fn)) / specific).otherwise(endless)
+
+    called = c["tp"] + c["fn"] + c["fp"] + c["tn"]
+    sure = c["tp"], c["fn"], c["fp"], c["tn"]
+    first = c["tp"], c["fn"] + c["p_vus"], c["fp"], c["tn"] + c["b_vus"]
+    second = c["tn"], c["fp"] + c["b_vus"], c["fn"], c["tp"] + c["p_vus"]
+    root = F.sqrt((c["tp"] + c["fp"]) * (c["tp"] + c["fn"]) * (c["tn"] + c["fp"]) * (c["tn"] + c["fn"]))
+    of_sure = {"accuracy": share(c["tp"] + c["tn"], c["fp"] + c["fn"]), "sensitivity": share(c["tp"], c["fn"]), "specificity": share(c["tn"], c["fp"]), "mcc": F.coalesce(F.try_divide(c["tp"] * c["tn"] - c["fp"] * c["fn"], root), zero), "dor_standard": odds(*sure), "lr_plus_standard": lr_plus(*sure), "lr_minus_standard": lr_minus(*sure)}
+    of_all = {"coverage": share(called, c["p_vus"] + c["b_vus"]), "lr_plus_pathogenic": lr_plus(*first), "lr_plus_benign": lr_plus(*second), "dor_pathogenic": odds(*first), "dor_benign": odds(*second)}
+    rounded = lambda v: F.when(v == endless, endless).otherwise(F.round(v, 6))
+    return matrix.withColumns({n: rounded(F.when(called > 0, v).otherwise(zero)) for n, v in of_sure.items()} | {n: rounded(v) for n, v in of_all.items()})
+
+
 def replicate_mean(rows: DataFrame, keys: list[str], score: str, flags: list[str]) -> DataFrame:
     """One row a variant: mean of the measured scores, any() of each flag, and how many measurements there were."""
     return rows.groupBy(*keys).agg(F.avg(F.nanvl(score, F.lit(None).cast("double"))).alias("score"), F.count(score).alias("n"), *[F.bool_or(f).alias(f) for f in flags])

@@ -74,6 +74,38 @@ def at_places(curves: DataFrame, dataset: str) -> DataFrame:
     return both.groupBy(dataset, "grid").agg(F.array_sort(F.collect_list(F.struct("seed", "l", "next"))).alias("pieces"))
 
 
+def outer_ranges(ranges: DataFrame, keys: list[str], flipped: str) -> DataFrame:
+    """keys, points, lo and hi: of each tier the range towards the middle; a tier goes where a stronger one of its sign covers all of it.
+
+    The same as ``liberal`` on rows instead of one dataset's dictionary. flipped is a column that is one value for each of keys.
+    """
+    ends = F.struct("lo", "hi")
+    tiers = ranges.groupBy(*keys, "points").agg(F.min_by(ends, "lo").alias("low"), F.max_by(ends, "lo").alias("high"), F.first(flipped).alias("flipped"))
+    kept = tiers.select(*keys, "points", F.when((F.col("points") > 0) == F.col("flipped"), F.col("low")).otherwise(F.col("high")).alias("r")).select(*keys, "points", "r.lo", "r.hi")
+    stronger = kept.select(*keys, F.col("points").alias("q"), F.col("lo").alias("q_lo"), F.col("hi").alias("q_hi"))
+    covered = kept.join(stronger, keys).where("q * points > 0 AND abs(q) > abs(points) AND q_lo <= lo AND hi <= q_hi").select(*keys, "points").distinct()
+    return kept.join(covered, [*keys, "points"], "left_anti")
+
+
+def unseen_set(times: list[Column]) -> Column:
+    """The seeds that never drew a row, as a bit mask."""
+    bits = [F.when(t == 0, 1 << i).otherwise(0).cast("long") for i, t in enumerate(times)]
+    return sum(bits[1:], bits[0])
+
+
+def set_curves(sets: DataFrame, curves: DataFrame, priors: DataFrame, dataset: str, seeds: int) -> DataFrame:
+    """dataset, unseen, grid, p5, p95 and prior: percentiles of the curves of each set of seeds, and the median of their priors.
+
+    sets has the distinct dataset and unseen. However many variants share a set, its curves are taken once; a set of no seeds has none.
+    """
+    seed = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(seeds - 1).cast("long"))).alias("seed")
+    of_set = sets.select(dataset, "unseen", seed).where(F.expr("unseen & shiftleft(1L, CAST(seed AS INT)) > 0"))
+    prior = of_set.join(priors, [dataset, "seed"]).groupBy(dataset, "unseen").agg(F.round(F.percentile("prior", 0.5), 9).alias("prior"))
+    q = F.percentile("l", F.array(F.lit(0.05), F.lit(0.95)))
+    found = of_set.join(curves, [dataset, "seed"]).groupBy(dataset, "unseen", "grid").agg(q.alias("q"))
+    return found.join(prior, [dataset, "unseen"]).select(dataset, "unseen", "grid", "prior", *[F.round(F.col("q")[i], 6).alias(n) for i, n in enumerate(("p5", "p95"))])
+
+
 def interpolated(piece: Column, score: Column) -> Column:
     """Value at score of a piece that begins at the whole place below it; null where a neighbour that counts is null."""
     f = score - F.floor(score)

@@ -59,3 +59,11 @@ def read_by_path(spark: SparkSession, path: str, schema: T.StructType, pattern:
     """All delimited files below path with what their paths say: one column a group of the pattern."""
     raw = spark.read.option("recursiveFileLookup", "true").option("header", "true").schema(schema).csv(path)
     return raw.select("*", *[F.regexp_extract(F.col("_metadata.file_path"), pattern, i + 1).alias(n) for i, n in enumerate(names)])
+
+
+def calibrations(priors: DataFrame, ranges: DataFrame, dataset: list[str]) -> DataFrame:
+    """One row a dataset: the columns of priors, and ranges, a map from points, as text for JSON, to their ranges in order; a dataset without ranges has an empty one."""
+    tiers = ranges.groupBy(*dataset, F.col("points").cast("string").alias("points")).agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("rs"))
+    packed = tiers.groupBy(*dataset).agg(F.map_from_entries(F.collect_list(F.struct("points", "rs"))).alias("ranges"))
+    none = F.create_map().cast("map<string,array<struct<lo:double,hi:double>>>")
+    return priors.join(packed, dataset, "left").withColumn("ranges", F.coalesce("ranges", none))

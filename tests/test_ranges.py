@@ -1,6 +1,7 @@
 """Clean-up of ranges on cases written out by hand, and the pieces of the curves."""
 
 import math
+import random
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -68,9 +69,12 @@ def test_draws_have_the_law_of_poisson(spark):
 
 
 def test_interpolation_and_class(spark):
-    c = F.array(F.lit(0.0), F.lit(2.0), F.lit(None).cast("double"))
-    at = [r[0] for r in spark.createDataFrame([(1.0,), (1.25,), (2.0,), (2.5,), (3.0,), (0.9,), (9.0,)], "s double").select(op.interpolated(c, 1, F.col("s"))).collect()]
-    assert at == [0.0, 0.5, 2.0, None, None, None, None]
+    curve = spark.createDataFrame([("d", 7, 1, 0.0), ("d", 7, 2, 2.0), ("d", 7, 3, None), ("d", 8, 1, 1.0)], "dataset string, seed long, grid int, l double")
+    places = {r.grid: r.pieces for r in op.at_places(curve, "dataset").collect()}
+    assert [tuple(p) for p in places[1]] == [(7, 0.0, 2.0), (8, 1.0, None)] and set(places) == {1, 2, 3}
+    scores = spark.createDataFrame([(1.0,), (1.25,), (2.0,), (2.5,), (3.0,), (0.9,), (9.0,)], "s double").withColumn("dataset", F.lit("d")).withColumn("grid", F.floor("s").cast("int"))
+    at = scores.join(op.at_places(curve, "dataset"), ["dataset", "grid"], "left").select("s", op.interpolated(F.get("pieces", F.lit(0)), F.col("s")).alias("v"))
+    assert {r.s: r.v for r in at.collect()} == {1.0: 0.0, 1.25: 0.5, 2.0: 2.0, 2.5: None, 3.0: None, 0.9: None, 9.0: None}
     rows = spark.createDataFrame([(2.0, 3.0, "LP", "P"), (-4.0, -3.0, "B", "LB"), (5.0, -1.0, "P", "LB"), (-0.1, 3.0, "VUS", "P"), (None, None, None, None)], "a double, b double, low string, high string")
     l, name = op.chosen_class(F.col("a"), F.col("b"), F.col("low"), F.col("high"))  # noqa: E741
     assert [tuple(r) for r in rows.select(l, name).collect()] == [(2.0, "LP"), (-3.0, "LB"), (5.0, "P"), (-0.1, "VUS"), (None, "Unknown")]
@@ -81,3 +85,19 @@ def test_keys_close_over_assays(spark):
     keyed = alignment.keyed(rows, "assay", F.col("g"), F.col("c"), F.lit(None).cast("string"), F.col("i").cast("string"))
     got = {r.i: r.variant for r in alignment.with_variant(keyed).collect()}
     assert got == {1: "c:c1", 2: "c:c1", 3: "g:g1", 4: "i:4", 5: "i:5"}
+
+
+def test_outer_ranges_are_liberal(spark):
+    """On rows as on one dataset's dictionary, over random ranges."""
+    rng = random.Random(6)
+    rows, want = [], {}
+    for k in range(60):
+        flipped = k % 2 == 0
+        ranges = {p: sorted((lo := rng.randint(0, 20), lo + rng.randint(0, 9)) for _ in range(rng.randint(0, 3))) for p in (*range(1, 5), *range(-4, 0))}
+        ranges = {p: [r for i, r in enumerate(rs) if not i or r[0] != rs[i - 1][0]] for p, rs in ranges.items()}
+        rows += [(k, p, float(lo), float(hi), flipped) for p, rs in ranges.items() for lo, hi in rs]
+        want[k] = {(p, *map(float, r)) for p, rs in op.liberal(ranges, flipped).items() for r in rs}
+    got = {k: set() for k in want}
+    for r in op.outer_ranges(spark.createDataFrame(rows, "k int, points int, lo double, hi double, f boolean"), ["k"], "f").collect():
+        got[r.k].add((r.points, r.lo, r.hi))
+    assert got == want
