@@ -9,7 +9,7 @@ from evigrade.jobs.calibration import SCORED, _scores
 from evigrade.operators import mixtures as op
 from evigrade.sources.staging import once
 
-SEEDS, POINTS = 3, 99
+SEEDS, POINTS, SIMULATIONS = 3, 99, 19
 
 
 def _best(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -36,11 +36,23 @@ def component_choice(spark: SparkSession, sf: str) -> DataFrame:
     return gain.groupBy("lang").agg(p5.alias("gain_p5"), F.when(p5 > 0, 3).otherwise(2).alias("n_c"))
 
 
+def constrained_fits(spark: SparkSession, sf: str) -> DataFrame:
+    """The best restart for each language and bootstrap, of two components whose density ratio stays monotone."""
+    counts = once(spark, "score-counts", sf, lambda: op.counted_scores(_scores(spark, sf), "lang", SEEDS))
+    return op.best_fits(op.mixture_fits(counts, "lang", (2,), constrained=True), "lang")
+
+
+def ratio_test(spark: SparkSession, sf: str) -> DataFrame:
+    """Three components against two for each language, by draws from the fit of two."""
+    counts = once(spark, "score-counts", sf, lambda: op.counted_scores(_scores(spark, sf), "lang", SEEDS)).where("seed = 0")
+    return op.likelihood_ratio_test(counts, "lang", SIMULATIONS, bins=128, max_steps=100)
+
+
 def quantile_distance(spark: SparkSession, sf: str) -> DataFrame:
     return op.quantile_distance(_scores(spark, sf), "lang", POINTS).withColumn("distance", F.round("distance", 6))
 
 
-QUERIES = {f.__name__: f for f in (mixture_fits, density_priors, component_choice, quantile_distance)}
+QUERIES = {f.__name__: f for f in (mixture_fits, density_priors, component_choice, constrained_fits, ratio_test, quantile_distance)}
 SQL = {
     "quantile_distance": f"""WITH {SCORED}, p AS (SELECT i, (i / {POINTS + 1}.0::DOUBLE)::DOUBLE AS q FROM range(1, {POINTS + 1}) r(i)),
 c AS (SELECT lang, list_sort(list(score) FILTER (is_plp)) AS a, list_sort(list(score) FILTER (is_blb)) AS b FROM s GROUP BY 1),

@@ -76,6 +76,7 @@ def supported_subsets(spark: SparkSession, sf: str) -> DataFrame:
 PAIR = ["view", "signup"]
 MODEL = {"mu": [[0.5, 3.0], [1.6, 2.7]], "delta": [[0.6, 0.3], [0.8, -0.2]], "gamma": [[[0.3, 0.05], [0.05, 0.2]], [[0.6, -0.1], [-0.1, 0.3]]], "w": [[0.8, 0.2], [0.25, 0.75], [0.5, 0.5]]}
 PRIOR, ENOUGH = 0.2, 40
+FITTED, STEPS = 2, 15
 
 
 def _pair(spark: SparkSession, sf: str) -> DataFrame:
@@ -98,7 +99,18 @@ def pattern_prior(spark: SparkSession, sf: str) -> DataFrame:
     return spark.range(1).select(F.round(F.lit(None if prior != prior else prior).cast("double"), 4).alias("prior"))
 
 
-QUERIES = {f.__name__: f for f in (sample_bootstrap, pattern_bootstrap, pattern_counts, dimension_overlaps, connected_dims, supported_subsets, pattern_ratios, pattern_prior)}
+def multivariate_fits(spark: SparkSession, sf: str) -> DataFrame:
+    """Components of two bootstraps by sample and pattern, fitted to two dimensions with gaps: a row a seed and component."""
+    rows = _pair(spark, sf).withColumn("mask", op.pattern(PAIR))
+    drawn = sized_draws(rows.select("id", "sample", "mask"), ["sample", "mask"], "id", FITTED).select("id", F.transform("times", lambda v: v.cast("int")).alias("times"))
+    member = F.array(F.when(F.col("sample") == "P", 0).when(F.col("sample") == "B", 1).otherwise(2)).alias("samples")
+    given = cut(rows.select("id", *PAIR, member).join(drawn, "id"), "pair-rows")
+    fits = mv.fit(given, PAIR, 3, 2, FITTED, STEPS)
+    made = [(f["seed"], c, f["mu"][c].tolist(), f["delta"][c].tolist(), f["gamma"][c].tolist(), f["w"][:, c].tolist(), len(f["trace"]), float(f["trace"][-1])) for f in fits for c in range(2)]
+    return spark.createDataFrame(made, "seed long, component long, mu array<double>, delta array<double>, gamma array<array<double>>, weights array<double>, steps long, ll double")
+
+
+QUERIES = {f.__name__: f for f in (sample_bootstrap, pattern_bootstrap, pattern_counts, dimension_overlaps, connected_dims, supported_subsets, pattern_ratios, pattern_prior, multivariate_fits)}
 
 _WIDE = f"""x AS (SELECT {", ".join(f"{e} AS {n}" for n, e in KEYS.items())}, event_type, {VALUE} AS value FROM events),
 wide AS (SELECT id, sample, {", ".join(f"avg(value) FILTER (WHERE event_type = '{d}') AS {d}" for d in DIMS)} FROM x GROUP BY ALL),

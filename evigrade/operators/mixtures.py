@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evigrade.operators.bootstrap import seeds_of_blocks, with_block_draws
+from evigrade.sources.staging import cut
 
 SAMPLES = ("is_plp", "is_blb", "is_pop")
 BINS, MAX_STEPS, TOLERANCE = 1024, 200, 1e-7
@@ -193,6 +194,53 @@ def best_fits(fits: DataFrame, dataset: str) -> DataFrame:
     return best.select(dataset, "seed", "n_c", "fit.*")
 
 
+def best_of(sample: np.ndarray, x: np.ndarray, n: np.ndarray, k: int, restarts: int, seed: int, **options) -> tuple[float, dict]:
+    """The summed log-likelihood and the fit of the best of the restarts."""
+    fits = [fit_mixture(sample, x, n, k, i, seed, **options) for i in range(restarts)]
+    lls = [log_likelihood(sample, x, n, m) * n.sum() for m in fits]
+    return max(lls), fits[int(np.argmax(lls))]
+
+
+def simulated_counts(m: dict, sizes: list[int], low: float, high: float, bins: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """sample, x and n of as many draws from the mixture as each sample has rows, counted by bin at once: no draw is ever a row."""
+    x = low + (np.arange(bins) + 0.5) * (high - low) / bins
+    pdf = np.exp(component_log_pdf(x, m["loc"], m["delta"], m["gamma"])[0])
+    n = [rng.multinomial(size, (p := w @ pdf) / p.sum()) if size else np.zeros(bins, int) for w, size in zip(m["w"], sizes, strict=True)]
+    return np.repeat(np.arange(len(sizes)), bins), np.tile(x, len(sizes)), np.concatenate(n)
+
+
+def likelihood_ratio_test(counts: DataFrame, dataset: str, simulations: int = 19, small: int = 2, large: int = 3, restarts: int = 2, bins: int = BINS, **options) -> DataFrame:
+    """dataset, statistic and p: whether the larger mixture is likelier than chance makes it where the smaller one is true.
+
+    Both are fitted to the counts (dataset, sample, x, rows) and to ``simulations`` draws of the same size from the smaller fit, each in a
+    task of its own; p is one more than the simulations that reach the statistic, over one more than all of them. Datasets of one value have no row.
+    """
+    kind = dict(counts.dtypes)[dataset]
+    model = "loc array<double>, delta array<double>, gamma array<double>, w array<array<double>>, sizes array<long>, low double, high double"
+
+    def observed(one: pd.DataFrame) -> pd.DataFrame:
+        s, x, n = (one[c].to_numpy() for c in ("sample", "x", "rows"))
+        if not len(x) or np.ptp(x) == 0:
+            return pd.DataFrame()
+        (ll, m), (more, _) = (best_of(s, x, n, k, restarts, 0, **options) for k in (small, large))
+        sizes = [int(n[s == i].sum()) for i in range(len(SAMPLES))]
+        return pd.DataFrame([{dataset: one[dataset].iloc[0], "statistic": 2 * (more - ll), **{c: m[c].tolist() for c in ("loc", "delta", "gamma", "w")}, "sizes": sizes, "low": x.min(), "high": x.max()}])
+
+    def again(one: pd.DataFrame) -> pd.DataFrame:
+        r = one.iloc[0]
+        m = {c: np.array(list(r[c]), float) for c in ("loc", "delta", "gamma")} | {"w": np.stack(list(r.w))}
+        rng = np.random.default_rng(zlib.crc32(f"{r[dataset]}/{r.simulation}".encode()))
+        s, x, n = simulated_counts(m, list(r.sizes), r.low, r.high, bins, rng)
+        ll, more = (best_of(s, x, n, k, restarts, 0, **options)[0] for k in (small, large))
+        return pd.DataFrame([{dataset: r[dataset], "simulated": 2 * (more - ll)}])
+
+    found = cut(counts.select(dataset, "sample", "x", "rows").groupBy(dataset).applyInPandas(observed, f"`{dataset}` {kind}, statistic double, {model}"), "ratio-observed")
+    each = found.withColumn("simulation", F.explode(F.sequence(F.lit(1), F.lit(simulations)))).drop("statistic")
+    drawn = each.groupBy(dataset, "simulation").applyInPandas(again, f"`{dataset}` {kind}, simulated double")
+    reached = found.select(dataset, "statistic").join(drawn, dataset).groupBy(dataset, "statistic").agg(F.count_if(F.col("simulated") >= F.col("statistic")).alias("reached"))
+    return reached.select(dataset, "statistic", ((1 + F.col("reached")) / (1 + simulations)).alias("p"))
+
+
 def class_prior(f1: np.ndarray, f2: np.ndarray, n: np.ndarray, steps: int = 10_000, tolerance: float = 1e-6) -> float:
     """Share of the first class in the population: fixed point from 0.5; NaN if it ends within a thousandth of 0 or 1. Places where both densities are 0 say nothing."""
     seen = (f1 > 0) | (f2 > 0)

@@ -91,3 +91,22 @@ def test_empty_and_quantile_distance(spark, rows):
     q = np.arange(1, 100) / 100
     a, b = (np.quantile(mine.score[mine[c]], q) for c in op.SAMPLES[:2])
     assert math.isclose(found["a"], math.sqrt(((a - b) ** 2).mean()), rel_tol=1e-9) and found["one"] == 0
+
+
+def test_likelihood_ratio_test_tells_three_components_from_two(spark):
+    rng = np.random.default_rng(2)
+    rows = []
+    for name, centres in (("two", (-3.0, 3.0)), ("three", (-6.0, 0.0, 6.0))):
+        x = np.concatenate([rng.normal(c, 0.6, 200) for c in centres])
+        n, edges = np.histogram(x, 48)
+        rows += [(name, s, float((edges[i] + edges[i + 1]) / 2), int(v)) for s in range(3) for i, v in enumerate(n) if v]
+    counts = spark.createDataFrame([*rows, ("one", 0, 1.0, 5)], "g string, sample int, x double, rows long")
+    got = {r.g: r for r in op.likelihood_ratio_test(counts, "g", 9, restarts=1, bins=48, max_steps=60).collect()}
+    assert set(got) == {"two", "three"} and got["three"].p == 0.1 and got["two"].p > 0.1 and got["three"].statistic > got["two"].statistic
+
+
+def test_simulated_counts_have_the_size_and_shape_of_the_mixture():
+    m = {"loc": np.array([0.0]), "delta": np.array([1.0]), "gamma": np.array([0.5]), "w": np.ones((3, 1))}
+    sample, x, n = op.simulated_counts(m, [100_000, 0, 7], -4.0, 6.0, 200, np.random.default_rng(1))
+    assert [n[sample == s].sum() for s in range(3)] == [100_000, 0, 7]
+    assert abs(np.average(x[sample == 0], weights=n[sample == 0]) - math.sqrt(2 / math.pi)) < 0.02
