@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from evigrade.jobs.calibration import SCORED, _scores
 from evigrade.jobs.fits import log_cdf_sql
+from evigrade.operators import monotone as mono
 from evigrade.operators import multivariate as mv
 from evigrade.operators import patterns as op
 from evigrade.operators.stratified import sized_draws, sized_draws_sql
@@ -77,6 +78,10 @@ PAIR = ["view", "signup"]
 MODEL = {"mu": [[0.5, 3.0], [1.6, 2.7]], "delta": [[0.6, 0.3], [0.8, -0.2]], "gamma": [[[0.3, 0.05], [0.05, 0.2]], [[0.6, -0.1], [-0.1, 0.3]]], "w": [[0.8, 0.2], [0.25, 0.75], [0.5, 0.5]]}
 PRIOR, ENOUGH = 0.2, 40
 FITTED, STEPS = 2, 15
+#: Cells of a grid of 11 columns, their log ratio, and the bars of its regions.
+GRID, CELL = 11, {"i": "CAST(floor((l_quantity - 1) / 5) AS BIGINT)", "j": "CAST(floor(l_discount * 100 + 0.5) AS BIGINT)"}
+RETURNED = "ln((count(CASE WHEN l_returnflag = 'R' THEN 1 END) + 0.5) / (count(CASE WHEN l_returnflag = 'A' THEN 1 END) + 0.5))"
+BARS = [(1, "l >= -0.05"), (2, "l >= 0.0"), (3, "l >= 0.05")]
 
 
 def _pair(spark: SparkSession, sf: str) -> DataFrame:
@@ -110,7 +115,28 @@ def multivariate_fits(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame(made, "seed long, component long, mu array<double>, delta array<double>, gamma array<array<double>>, weights array<double>, steps long, ll double")
 
 
-QUERIES = {f.__name__: f for f in (sample_bootstrap, pattern_bootstrap, pattern_counts, dimension_overlaps, connected_dims, supported_subsets, pattern_ratios, pattern_prior, multivariate_fits)}
+def score_directions(spark: SparkSession, sf: str) -> DataFrame:
+    """Which way the first class lies in each dimension."""
+    return mono.directions(_wide(spark, sf), DIMS, "sample", "P", "B")
+
+
+def monotone_ratios(spark: SparkSession, sf: str) -> DataFrame:
+    """Ratios of the literal fit made monotone along both dimensions, strictly and liberally."""
+    rows = _pair(spark, sf)
+    told = cut(mv.support(op.pattern_counts(rows, PAIR, ["sample"]), len(PAIR), ENOUGH), "pattern-support")
+    ratios = cut(rows.join(mv.pattern_ratios(rows, PAIR, "id", MODEL, told, PRIOR, "trust_global").select("id", F.round("l", 5).alias("l")), "id"), "pair-ratios")
+    ways = mono.directions(rows, PAIR, "sample", "P", "B")
+    found = [mono.repaired(ratios, "id", PAIR, "l", ways, liberal, STEPS).select("id", F.lit(liberal).alias("liberal"), F.round("l", 4).alias("l")) for liberal in (False, True)]
+    return found[0].unionByName(found[1])
+
+
+def monotone_regions(spark: SparkSession, sf: str) -> DataFrame:
+    """On a grid of quantity and discount, the main region of each bar of the log ratio of returns, each inside the one before."""
+    cells = table(spark, sf, "lineitem").groupBy(*[F.expr(e).alias(n) for n, e in CELL.items()]).agg(F.expr(f"round({RETURNED}, 6)").alias("l"))
+    return mono.nested_regions(cut(cells, "ratio-cells"), GRID, BARS)
+
+
+QUERIES = {f.__name__: f for f in (sample_bootstrap, pattern_bootstrap, pattern_counts, dimension_overlaps, connected_dims, supported_subsets, pattern_ratios, pattern_prior, multivariate_fits, score_directions, monotone_ratios, monotone_regions)}
 
 _WIDE = f"""x AS (SELECT {", ".join(f"{e} AS {n}" for n, e in KEYS.items())}, event_type, {VALUE} AS value FROM events),
 wide AS (SELECT id, sample, {", ".join(f"avg(value) FILTER (WHERE event_type = '{d}') AS {d}" for d in DIMS)} FROM x GROUP BY ALL),
@@ -161,4 +187,22 @@ SELECT id, mask, mode, round(CASE WHEN mask = 0 OR (mode = 'gate' AND NOT has_b)
 it AS (SELECT list(exp(least(l, 0)) ORDER BY l) AS f1, list(exp(-greatest(l, 0)) ORDER BY l) AS f2, list(n ORDER BY l) AS n, 0.5::DOUBLE AS prior, 1.0::DOUBLE AS diff, 0 AS step FROM r
   UNION ALL SELECT f1, f2, n, new, abs(new - prior), step + 1 FROM (SELECT *, list_sum(list_transform(range(1, len(n) + 1), lambda i: n[i] * prior * f1[i] / (prior * f1[i] + (1 - prior) * f2[i]))) / list_sum(n) AS new FROM it WHERE diff >= 1e-6 AND step < 10000 AND prior > 0 AND prior < 1))
 SELECT round(CASE WHEN last > 0.001 AND last < 0.999 THEN last END, 4) AS prior FROM (SELECT arg_max(prior, step) AS last FROM it)""",
+    "score_directions": f"WITH {_WIDE}, m AS (SELECT {', '.join(f'avg({d}) FILTER (WHERE sample = {chr(39)}{c}{chr(39)}) AS {d}_{c}' for d in DIMS for c in 'PB')} FROM wide) " + " UNION ALL ".join(f"SELECT {i}::BIGINT AS dim, CASE WHEN {d}_P <= {d}_B THEN -1 ELSE 1 END::BIGINT AS up FROM m" for i, d in enumerate(DIMS)),
+    "monotone_ratios": f"""WITH {_PAIR}, dense AS {_DENSE("of_mask")}, rated AS (SELECT id, x, y, CASE WHEN mask > 0 THEN round(log_p - log_b, 5) END AS l FROM dense),
+ways AS (SELECT CASE WHEN avg(x) FILTER (WHERE sample = 'P') <= avg(x) FILTER (WHERE sample = 'B') THEN -1 ELSE 1 END AS ux, CASE WHEN avg(y) FILTER (WHERE sample = 'P') <= avg(y) FILTER (WHERE sample = 'B') THEN -1 ELSE 1 END AS uy FROM pair),
+long_form AS (SELECT id, l, 0 AS dim, x * ux AS v FROM rated, ways WHERE x IS NOT NULL AND l IS NOT NULL UNION ALL SELECT id, l, 1, y * uy FROM rated, ways WHERE y IS NOT NULL AND l IS NOT NULL),
+ends AS (SELECT dim, min(v) AS lo, max(v) AS hi FROM long_form GROUP BY dim HAVING max(v) > min(v) AND count(*) >= {mono.LEAST}),
+placed AS (SELECT id, l, dim, least({STEPS} - 1, floor((v - lo) / (hi - lo) * {STEPS})) AS place FROM long_form LEFT JOIN ends USING (dim)),
+means AS (SELECT dim, place, avg(greatest(l, 0)) AS up, avg(greatest(-l, 0)) AS down, count(*) AS n FROM placed WHERE place IS NOT NULL GROUP BY ALL),
+spans AS (SELECT a.dim, a.place AS a, b.place AS b, sum(m.up * m.n) / sum(m.n) AS up, sum(m.down * m.n) / sum(m.n) AS down FROM means a JOIN means b ON a.dim = b.dim AND a.place <= b.place JOIN means m ON m.dim = a.dim AND m.place BETWEEN a.place AND b.place GROUP BY ALL),
+tops AS (SELECT m.dim, m.place, s.a, min(s.up) AS up FROM means m JOIN spans s ON s.dim = m.dim AND s.a <= m.place AND s.b >= m.place GROUP BY ALL), downs AS (SELECT m.dim, m.place, s.b, min(s.down) AS down FROM means m JOIN spans s ON s.dim = m.dim AND s.a <= m.place AND s.b >= m.place GROUP BY ALL),
+fits AS (SELECT dim, place, max(up) - (SELECT max(down) FROM downs d WHERE d.dim = t.dim AND d.place = t.place) AS w FROM tops t GROUP BY dim, place),
+valued AS (SELECT id, coalesce(w, l) AS w FROM placed LEFT JOIN fits USING (dim, place)),
+whole AS (SELECT id, min(w) FILTER (WHERE w > 0) AS low, max(w) FILTER (WHERE w < 0) AS high, max(w) AS top FROM valued GROUP BY id)
+SELECT r.id, liberal, round(CASE WHEN w.id IS NULL THEN l WHEN liberal THEN top WHEN low IS NOT NULL AND high IS NOT NULL THEN 0 ELSE coalesce(low, high, 0) END, 4) + 0 AS l FROM rated r LEFT JOIN whole w USING (id), (VALUES (false), (true)) v(liberal)""",
+    "monotone_regions": "WITH RECURSIVE cells AS MATERIALIZED (SELECT " + ", ".join(f"{e} AS {n}" for n, e in CELL.items()) + f", round({RETURNED}, 6) AS l FROM lineitem GROUP BY 1, 2), "
+    + ", ".join(f"""k{p} AS MATERIALIZED (SELECT i, j, i * {GRID} + j AS cell FROM cells WHERE {c}), e{p} AS MATERIALIZED (SELECT a.cell AS a, b.cell AS b FROM k{p} a JOIN k{p} b ON abs(a.i - b.i) + abs(a.j - b.j) = 1),
+r{p} AS (SELECT cell AS a, cell AS b FROM k{p} UNION SELECT r.a, e.b FROM r{p} r JOIN e{p} e ON e.a = r.b), o{p} AS (SELECT a AS cell, min(b) AS root FROM r{p} GROUP BY a),
+m{p} AS (SELECT i, j FROM k{p} JOIN o{p} USING (cell) WHERE root = (SELECT root FROM o{p} GROUP BY root ORDER BY count(*) DESC, root LIMIT 1){f" AND (i, j) IN (SELECT (i, j) FROM m{p - 1})" if p > 1 else ""})""" for p, c in BARS)
+    + " " + " UNION ALL ".join(f"SELECT {p}::BIGINT AS points, i, j FROM m{p}" for p, _ in BARS),
 }
