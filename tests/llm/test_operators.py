@@ -12,6 +12,8 @@ import duckdb
 import numpy as np
 import pytest
 
+from test_tries_alignment_rules import brute_alignment, brute_counts, brute_trie
+
 from evigrade.llm import bpe, exact_dedup, language_id, media, near_dedup, packing, pii, quality, registry, sharding, simhash_dedup, warc
 
 SF = "/root/testdata/sf0.001"
@@ -363,6 +365,7 @@ def small_tables(spark, tmp_path_factory):
         spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{at}/documents.parquet")
         spark.createDataFrame([(i, i % 2, 0) for i in range(len(texts))], "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
         spark.createDataFrame([(i, None, t) for i, t in enumerate(texts)], "page_id long, url string, html string").write.parquet(f"{at}/pages.parquet")
+        spark.createDataFrame([(i // 3 if i % 7 else None, i % 3 or None, None if i % 5 == 0 else "user", t) for i, t in enumerate(texts)], "conv_id long, turn long, role string, text string").write.parquet(f"{at}/conversations.parquet")
         out.append((str(at), len(rows)))
     return out
 
@@ -374,10 +377,33 @@ def test_queries_on_odd_and_on_empty_tables(spark, small_tables, name):
     assert registry.QUERIES[name](spark, none).count() == 0
     if name == "op7_packing":
         assert got.select("doc_id", "doc_tokens").distinct().count() >= n - 3
+    elif name == "op11_prefix_trie":
+        rows = [tuple(r) for r in spark.read.parquet(f"{full}/conversations.parquet").collect()]
+        assert sorted(map(tuple, got.collect()), key=repr) == brute_trie(rows)
     else:
         assert got.count() == (n if name != "op1_warc" else n - 2)
 
 
+def test_query_values_on_odd_tables(spark, small_tables):
+    """Null ids and texts, repeats and very long texts: the values of queries, each against its own brute force."""
+    import public_tokenizers
+    import tiktoken
+
+    full = small_tables[0][0]
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{full}/documents.parquet").collect()]
+    collected = lambda name, *columns: sorted((tuple(r[c] for c in columns) for r in registry.QUERIES[name](spark, full).collect()), key=repr)
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as lines:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    encode = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    sha = lambda raw: hashlib.sha256(raw).hexdigest()
+    ids = [(i, np.array(encode(t or ""), "<u4"), (t or "").encode()) for i, t in rows]
+    assert collected("op5_bpe", "doc_id", "n_tokens", "ids_sha256", "decoded_sha256") == sorted(((i, len(x), sha(x.tobytes()), sha(raw)) for i, x, raw in ids), key=repr)
+    assert collected("op10_exact_dedup", "doc_id", "keep_id", "group_size", "kept", "text_sha256") == brute_exact(rows)
+    assert collected("op12_token_alignment", "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256") == brute_alignment([r for r in rows if len(r[1] or "") < 10_000] + [r for r in rows if len(r[1] or "") >= 10_000])
+    counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+    assert collected("op13_quality_rules", "doc_id", *counts) == sorted(((i, *brute_counts(t)) for i, t in rows), key=repr)
+
+
 def test_pipeline(spark, small_tables):
     """Every stage keeps its promise on the tables, on odd rows and on none, and sequences are gapless."""
     import corpus_pipeline
@@ -389,6 +415,13 @@ def test_pipeline(spark, small_tables):
             assert docs.columns == before.columns and docs.count() <= before.count()
         if name == "exact dedup":
             assert docs.count() == len({normal(r.text) for r in before.collect()})
+        if name == "simhash near-dedup":
+            rows = sorted((r.doc_id, r.text) for r in before.collect())
+            root = list(range(len(rows)))
+            for i, j in brute_links([t for _, t in rows]):
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+            assert sorted(r.doc_id for r in docs.collect()) == [rows[i][0] for i in sorted(set(root))]
         if name == "pii":
             assert docs.count() == before.count() and not [r.text for r in docs.collect() if brute_spans(r.text)]
     assert {r.doc_id for r in docs.select("doc_id").collect()} == {r.doc_id for r in before.select("doc_id").collect()}

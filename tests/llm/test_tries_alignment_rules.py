@@ -98,8 +98,11 @@ def brute_alignment(rows):
         cuts = sorted(set(end_a) & set(end_b))
         groups = []
         for low, high in zip([0, *cuts], cuts, strict=False):
-            groups.append("|".join(",".join(str(i) for i, e in zip(ids, ends, strict=True) if low < e <= high) for ids, ends in ((a_ids, end_a), (b_ids, end_b))))
-        links = [(i, k) for i, e, x in zip(a_ids, end_a, of_a, strict=True) for k, f, y in zip(b_ids, end_b, of_b, strict=True) if e - len(x) < f and f - len(y) < e]
+            groups.append("|".join(",".join(map(str, ids[bisect.bisect_right(ends, low) : bisect.bisect_right(ends, high)])) for ids, ends in ((a_ids, end_a), (b_ids, end_b))))
+        links, first = [], 0
+        for i, e, x in zip(a_ids, end_a, of_a, strict=True):
+            first = bisect.bisect_right(end_b, e - len(x))
+            links += [(i, b_ids[k]) for k in range(first, bisect.bisect_left(end_b, e) + 1)]
         counts.update(set(links))
         found.append((doc_id, len(a_ids), len(b_ids), len(cuts), hashlib.sha256(";".join(groups).encode()).hexdigest(), links))
     best = defaultdict(int)
