@@ -8,12 +8,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from evigrade.jobs import alignment, calibration, evaluation, evidence, labels, ranges, robustness, scales, sources
+from evigrade.jobs import alignment, calibration, evaluation, evidence, fits, labels, patterns, ranges, robustness, scales, sources
 from evigrade.operators.components import connected_components
 from evigrade.operators.evidence import best_constants, combined_pair, isotonic
 
 SF = "/root/testdata/sf0.001"
-JOBS = (calibration, evidence, scales, labels, evaluation, ranges, alignment, sources, robustness)
+JOBS = (calibration, evidence, fits, patterns, scales, labels, evaluation, ranges, alignment, sources, robustness)
 QUERIES, SQL = {n: q for j in JOBS for n, q in j.QUERIES.items()}, {n: q for j in JOBS for n, q in j.SQL.items()}
 
 
