@@ -43,8 +43,16 @@ _ONCE: dict[tuple[str, str, str], DataFrame] = {}
 
 
 def once(spark: SparkSession, name: str, source: str, make: Callable[[], DataFrame]) -> DataFrame:
-    """The table that ``make`` gives, staged once in a session for each name and source; tables under ``source`` mustn't change meanwhile."""
+    """The table that ``make`` gives, staged once in a session for each name and source, and again where the shared folder was cleared.
+
+    Tables under ``source`` mustn't change meanwhile.
+    """
     key = (spark.sparkContext.applicationId, name, source)
-    if key not in _ONCE:
+    if key not in _ONCE or not all(_is_there(spark, f) for f in _ONCE[key].inputFiles()[:1]):
         _ONCE[key] = cut(make(), name)
     return _ONCE[key]
+
+
+def _is_there(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
