@@ -35,7 +35,7 @@ RANKS = "byte_bpe_50k.tiktoken"
 #: Units kept by a worker process; beyond this the store starts anew. It bounds memory, not what is encoded.
 KEPT_UNITS = 200_000
 #: The same for units, and for words, of the merge replay, where an unseen word costs more.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 500_000
 #: Two white-space characters of which one is a plain space: only there can a cut before a space fall inside a match.
 _UNSAFE = re.compile(r" \s|\s |\x00")
 
@@ -115,16 +115,16 @@ class MergeReplay:
                 sooner = False
                 q = merge(r << 16 | tok[nxt])
                 if q is not None:
-                    if q in index:
-                        index[q].append(i)
+                    if own := index.get(q):
+                        own.append(i)
                     else:
                         index[q] = [i]
                         heapq.heappush(order, q)
                     sooner = q < r
                 left = before[i]
                 if left >= 0 and (q := merge(tok[left] << 16 | r)) is not None:
-                    if q in index:
-                        index[q].append(left)
+                    if own := index.get(q):
+                        own.append(left)
                     else:
                         index[q] = [left]
                         heapq.heappush(order, q)
