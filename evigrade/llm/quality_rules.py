@@ -37,11 +37,13 @@ RULES = {
     "exclaiming": ("n_marks / n_words", 0.15, 0.05, "n_words >= 5"),
     "lines": ("n_dup_lines / n_lines", 0.30, 0.10, "n_lines >= 3"),
     "repeats": ("n_repeat_words / n_words", 0.20, 0.10, "n_words >= 20"),
-    "variety": ("n_distinct / least(n_words, 1000)", 0.08, 0.20, "n_words >= 20"),
+    "variety": ("n_distinct / n_words", 0.08, 0.20, "n_words >= 20"),
     "short_words": ("word_chars / n_words", 2.5, 3.2, "n_words >= 5"),
     "long_words": ("word_chars / n_words", 14.0, 10.5, "n_words >= 5"),
     "plain_words": ("n_plain / n_words", 0.50, 0.80, "n_words >= 5"),
 }
+#: Distinct words are counted in blocks of this many and added up, since their share falls with a text's length.
+VARIETY_BLOCK = 1000
 ROUNDS, PRIOR = 100, 0.8
 #: Chances to vote for a good and for a poor text, where estimation begins and how near to 0 and 1 it may come.
 BEGIN, EDGE = (0.95, 0.6), 0.01
@@ -62,13 +64,16 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     # A window covers three words, but for those that the next one covers too.
     covered = F.aggregate("twice", F.struct(F.lit(-3).alias("last"), F.lit(0).alias("n")), lambda a, at: F.struct(at.alias("last"), (a["n"] + F.least(F.lit(3), at - a["last"])).alias("n")), lambda a: a["n"])
 
+    blocks = F.sequence(F.lit(1), F.greatest(F.size(words), F.lit(1)), F.lit(VARIETY_BLOCK))
+    distinct = F.aggregate(blocks, F.lit(0), lambda n, at: n + F.size(F.array_distinct(F.slice("words", at, VARIETY_BLOCK))))
+
     def chars(pattern: str) -> Column:
         """Characters that pattern, a class, doesn't exclude."""
         return F.length(F.regexp_replace(text, pattern, ""))
 
     counts = {
         "n_words": F.size(words), "word_chars": F.length(normalised(text)), "n_symbols": chars(r"[^#*$%&|<>]+"), "n_dup_lines": F.size("rows") - F.size(F.array_distinct("rows")),
-        "n_repeat_words": F.coalesce(covered, F.lit(0)), "n_lines": F.size("rows"), "n_distinct": F.size(F.array_distinct(F.slice(words, 1, 1000))), "n_capitals": chars(r"\P{Lu}+"), "n_letters": chars(r"\P{L}+"),
+        "n_repeat_words": F.coalesce(covered, F.lit(0)), "n_lines": F.size("rows"), "n_distinct": distinct, "n_capitals": chars(r"\P{Lu}+"), "n_letters": chars(r"\P{L}+"),
         "n_marks": chars(r"[^!?]+"), "n_plain": F.size(F.filter(words, lambda w: F.rlike(w, F.lit(r"^\p{L}+[.,;:]?$")))),
     }
     return wide.select("doc_id", *[c.cast("long").alias(name) for name, c in counts.items()])
