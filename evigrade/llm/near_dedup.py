@@ -12,8 +12,9 @@ same count filtering:
    first m - ceil(similarity * m) + 1; two texts that share none of those cannot be similar enough. Shingles that nobody
    else has need no posting, and a text with too many of them has no partner either.
 3. Members of a posting are compared with its most central member first, that with the fewest rarer shingles. Those that
-   are then outside its component are compared with the members of other components, as far as the bound holds: neither
-   text has what stands before the posting's shingle in the other's order, so those shingles are lost to what they share.
+   are then outside its component meet the most central ones of ``FEW`` random parts of the posting, and what is outside
+   even then is compared with all members of other components, as far as the bound holds: neither text has what stands
+   before the posting's shingle in the other's order, so those shingles are lost to what they share.
    Each set also has a parity fingerprint, in which a shingle turns one bit over: two sets that may differ in d shingles
    differ in d bits at most, and pairs that differ in more go uncompared.
    Leaders go on in rounds until every such member has led: of two members in different components one at least has led,
@@ -49,7 +50,9 @@ SKETCH, MISS = 32, 1e-11
 #: Words of a set's parity fingerprint, and their columns.
 PARITY = 4
 PARITIES = tuple(f"p{i}" for i in range(PARITY))
-#: Leaders of a posting in the second round; each further round has WIDER times as many.
+#: Members of a posting that the others meet before all of them lead.
+FEW = 4
+#: Leaders of a posting in the first round in which all members lead; each further round has WIDER times as many.
 LEADERS, WIDER = 64, 16
 #: Candidate texts up to this number are found by a broadcast of their hashes, more of them by a shuffle join.
 BROADCAST_ROWS = 500_000
@@ -233,6 +236,42 @@ def components_of(found: DataFrame) -> DataFrame:
     return cut(connected_components(found).select("node", F.col("root").alias("component")), "near-roots")
 
 
+def mixed(posted: DataFrame, roots: DataFrame) -> DataFrame:
+    """The members of postings that hold several components, with their component and bulk, that of the most central member."""
+    placed = posted.join(roots, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    placed = cut(placed.select("shingle", "node", "m", "at", "component", *PARITIES), "near-placed")
+    central = F.min(F.struct("at", "m", "node", "component")).alias("c")
+    bulk = placed.groupBy("shingle").agg(central, F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+    return cut(placed.join(cut(bulk.select("shingle", F.col("c.component").alias("bulk")), "near-mixed"), "shingle"), "near-posted")
+
+
+def met(members: DataFrame, leads: DataFrame, similarity: float) -> DataFrame:
+    """Pairs of members and leads of a posting, in different components, that the bounds allow to be similar enough."""
+    lead = leads.select("shingle", F.col("node").alias("lead"), F.col("m").alias("lm"), F.col("at").alias("lat"), F.col("component").alias("of_lead"), *[F.col(p).alias(f"l{p}") for p in PARITIES])
+    own, its = {"m": F.col("m"), "at": F.col("at")}, {"m": F.col("lm"), "at": F.col("lat")}
+    alike = bits_allow(F.col("m"), F.col("lm"), [F.col(p) for p in PARITIES], [F.col(f"l{p}") for p in PARITIES], similarity)
+    pairs = members.join(lead, "shingle").where("component <> of_lead").where(can_reach(own, its, similarity)).where(alike)
+    return cut(pairs.select(*_pair("node", "lead")).distinct(), "near-pairs")
+
+
+def joined(roots: DataFrame, found: DataFrame) -> DataFrame:
+    """roots after the links in found."""
+    return roots if found.isEmpty() else components_of(roots.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(found))
+
+
+def gathered(posted: DataFrame, roots: DataFrame, known: DataFrame, similarity: float, few: int = FEW) -> DataFrame:
+    """roots, after the members of a posting outside its central member's component have met a few others there.
+
+    Of each of ``few`` random parts of a posting the most central member leads, so there are at most ``few`` times as many
+    pairs as rows. It loses nothing, since ``settled`` goes on with what is still in different components, and most of a
+    large group's members are in one component from here on.
+    """
+    posted = mixed(posted, roots)
+    first = F.min(F.struct("at", "m", "node", "component", *PARITIES)).alias("f")
+    leads = posted.groupBy("shingle", F.pmod(F.xxhash64("node"), F.lit(few)).alias("part")).agg(first).select("shingle", "f.*")
+    return joined(roots, verified(met(posted.where("component <> bulk"), cut(leads, "near-few"), similarity), known, similarity))
+
+
 def settled(known: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
     """roots, after every member of a posting outside its central member's component has led there, as far as the bound holds.
 
@@ -240,13 +279,9 @@ def settled(known: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
     """
     heads = known.select("node", "m", "u", *PARITIES, F.posexplode(F.slice("shared", F.lit(1), F.col("n_heads"))).alias("pos", "shingle"))
     posted, led, most = heads.select("shingle", "node", "m", (F.col("u") + F.col("pos")).alias("at"), *PARITIES), None, LEADERS
+    roots = gathered(posted, roots, known, similarity)
     while True:
-        placed = posted.join(roots, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        placed = cut(placed.select("shingle", "node", "m", "at", "component", *PARITIES), "near-placed")
-        central = F.min(F.struct("at", "m", "node", "component")).alias("c")
-        mixed = placed.groupBy("shingle").agg(central, F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-        mixed = cut(mixed.select("shingle", F.col("c.component").alias("bulk")), "near-mixed")
-        posted = cut(placed.join(mixed, "shingle"), "near-posted")
+        posted = mixed(posted, roots)
         rest = posted.where("component <> bulk").drop("bulk")
         if led is not None:
             rest = rest.join(led, ["shingle", "node"], "left_anti")
@@ -254,20 +289,14 @@ def settled(known: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
         cells = posted.groupBy("shingle", F.col("m").alias("cm"), F.col("at").alias("cat")).agg(F.min("component").alias("low"), F.max("component").alias("high"))
         own, its = {"m": F.col("m"), "at": F.col("at")}, {"m": F.col("cm"), "at": F.col("cat")}
         other = (F.col("low") != F.col("component")) | (F.col("high") != F.col("component"))
-        met = rest.join(cut(cells, "near-cells"), "shingle").where(other & can_reach(own, its, similarity))
-        rest = cut(met.groupBy("shingle", "node").agg(*[F.first(c).alias(c) for c in ("m", "at", "component", *PARITIES)]), "near-rest")
+        near = rest.join(cut(cells, "near-cells"), "shingle").where(other & can_reach(own, its, similarity))
+        rest = cut(near.groupBy("shingle", "node").agg(*[F.first(c).alias(c) for c in ("m", "at", "component", *PARITIES)]), "near-rest")
         # All members lead where they are few; of more the share that makes up ``most``, by a hash of the node alone.
         left = rest.groupBy("shingle").agg(F.count("*").alias("left"))
         lot = F.pmod(F.xxhash64("node"), F.lit(1 << 20))
         leads = rest.join(left, "shingle").withColumn("leads", lot * F.col("left") < F.lit(most << 20)).drop("left")
         leads = cut(leads, "near-leading")
-        lead = leads.where("leads").select("shingle", F.col("node").alias("lead"), F.col("m").alias("lm"), F.col("at").alias("lat"), F.col("component").alias("of_lead"), *[F.col(p).alias(f"l{p}") for p in PARITIES])
-        alike = bits_allow(F.col("m"), F.col("lm"), [F.col(p) for p in PARITIES], [F.col(f"l{p}") for p in PARITIES], similarity)
-        its = {"m": F.col("lm"), "at": F.col("lat")}
-        pairs = posted.join(lead, "shingle").where("component <> of_lead").where(can_reach(own, its, similarity)).where(alike).select(*_pair("node", "lead")).distinct()
-        found = verified(cut(pairs, "near-pairs"), known, similarity)
-        if not found.isEmpty():
-            roots = components_of(roots.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(found))
+        roots = joined(roots, verified(met(posted, leads.where("leads"), similarity), known, similarity))
         undone = cut(leads.where("NOT leads").select("shingle").distinct(), "near-undone")
         if undone.isEmpty():
             return roots

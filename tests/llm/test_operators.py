@@ -485,6 +485,33 @@ def test_components_are_those_of_brute_force(spark):
     assert sorted(r.doc_id for r in kept) == sorted(g[0] for g in groups(root))
 
 
+def test_pairs_of_a_large_group_grow_with_its_members(spark, monkeypatch):
+    """Near copies that are all apart at first: the rounds compare few pairs a member, and leave the components of brute force."""
+    rng, made, texts = np.random.default_rng(3), [], []
+    for k in range(200):
+        w = [f"b{i}" for i in range(150)]
+        for j in range(int(rng.integers(1, 4))):
+            w[int(rng.integers(150))] = f"n{k}x{j}"
+        texts.append(" ".join(w))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = near_dedup.sketches(docs, "doc_id", "text", 5)
+    known = near_dedup.rare_first(near_dedup.candidate_sets(docs, "text", rows, near_dedup.candidate_nodes(rows, 0.8), 5), 0.8)
+    cut = near_dedup.cut
+
+    def counted(df, name, **options):
+        out = cut(df, name, **options)
+        if name == "near-pairs":
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(near_dedup, "cut", counted)
+    roots = near_dedup.settled(known, spark.createDataFrame([], "node long, component long"), 0.8)
+    c = {r.doc_id: r.component or r.node for r in rows.select("doc_id", "node").join(roots, "node", "left").collect()}
+    links = brute_links(texts)
+    assert len(links) > 20 * len(texts) and not [x for x in links if c[x[0]] != c[x[1]]]
+    assert sum(made) < 20 * len(texts), made
+
+
 def test_stages_with_clashing_columns_and_repeats(spark):
     """Columns that operators could use themselves, null and repeated ids, repeated rows: all columns stay as they are."""
     names = ["doc_id", "text", "_row", "all", "mark", "row", "id", "spans", "base", "f", "node", "email", "c1"]
