@@ -21,6 +21,7 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -28,10 +29,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from evigrade.sources.staging import table
 
-from .bpe import KEPT_UNITS, batches_of, public_path, units
+from .bpe import batches_of, public_path, units
 from .common import id_and_bytes
 
 TOKENIZER = "byte_bpe_50k.json"
+#: Units that a store holds before it is put aside; a batch's units may come on top. It bounds memory, not what is encoded.
+KEPT_UNITS = 60_000
 WINDOW, PART, BLOCK, END = 1024, 256, 2048, 0
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -39,6 +42,9 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 class Units:
     """Ids of a tokenizer file, unit by unit: a unit has the same ids in any text, and those met before are kept, up to a bound.
 
+    Beyond the bound the store is put aside, and units that come again move from there to the next one, so that common
+    units are never encoded twice; what didn't come again goes when the next store is full.
+
     The tokenizers library takes over ten microseconds for a call or a row of a batch, whatever its length, so the few
     units that weren't met before go through the other library, with ranks read from the same file: a byte-level
     vocabulary's merges are in the order of the ids that they make.
@@ -58,7 +64,7 @@ class Units:
         ranks = {bytes(map(byte.__getitem__, t)): i for t, i in vocab.items() if all(c in byte for c in t) and not t.startswith("<|")}
         self.one = tiktoken.Encoding("units", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.finder = regex.compile(public_tokenizers.PATTERN).findall
-        self.kept_units, self.known = kept_units, {}
+        self.kept_units, self.known, self.aside = kept_units, dict(self.added), {}
 
     def cut(self, text: str) -> list[str]:
         """Units of text; the file's added tokens are units of their own wherever they stand."""
@@ -69,10 +75,13 @@ class Units:
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [self.cut(t) for t in texts]
         if len(self.known) > self.kept_units:
-            self.known.clear()
+            self.known, self.aside = dict(self.added), self.known
         known, one = self.known, self.one
-        known.update(self.added)
-        known.update([(u, array("I", one(u)).tobytes()) for u in set().union(*cut).difference(known)])
+        unseen = set().union(*cut).difference(known)
+        again = list(unseen.intersection(self.aside))
+        known.update(zip(again, map(self.aside.__getitem__, again), strict=True))
+        new = list(unseen.difference(again))
+        known.update(zip(new, [array("I", one(u)).tobytes() for u in new], strict=True))
         return [b"".join(map(known.__getitem__, us)) for us in cut]
 
 
@@ -109,7 +118,7 @@ def differencing(sizes: list[int], k: int) -> list[list[int]]:
                 own.extend(items)
                 merged.append((s + t, own))
         merged += a[max(0, len(b) - room) :]
-        merged.sort(key=lambda g: g[0])
+        merged.sort(key=itemgetter(0))
         least = merged[0][0] if len(merged) == k else 0
         heapq.heappush(heap, (least - merged[-1][0], tick, merged))
         tick += 1

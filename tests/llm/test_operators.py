@@ -155,6 +155,24 @@ def test_packing(docs, empty):
     assert sorted(i for g in groups for i in g) == [0, 1, 2, 3] and len(groups) == 2
 
 
+def test_units_that_come_again_are_encoded_once():
+    """A small store: units of each batch stay known though others come and go, and ids are those of a large one."""
+    path, said = packing.public_path(packing.TOKENIZER), []
+    small, large = packing.Units(path, 3), packing.Units(path)
+    one = small.one
+    small.one = lambda u: said.append(u) or one(u)
+    batches = [["x the and of", f"y the w{k} of <|endoftext|> and v{k}"] for k in range(5)]
+    assert [small.encode(b) for b in batches] == [large.encode(b) for b in batches]
+    assert len(said) == len(set(said)) and len(small.known) + len(small.aside) <= 24
+
+
+def test_cuts_before_spaces_are_unsafe_beside_white_space_only():
+    unsafe = re.compile(r" \s|\s |\x00")
+    white = [chr(c) for c in range(0x10000) if re.match(r"\s", chr(c))]
+    texts = ["", " ", "a b", " a", "a ", "\x00", *[f"a{c}b c" for c in white], *[f"a{c} b" for c in white], *[f"a {c}b" for c in white], "é\u3000b c\nd", "a\nb \u2028c"]
+    assert [bpe.is_unsafe(t) for t in texts] == [bool(unsafe.search(t)) for t in texts]
+
+
 def test_warc(spark):
     rows = [(1, "u", "<p>a</p>"), (2, None, "<p>a</p>"), (3, "u v", None), (4, "u", ""), (5, "u", "é" * 1000), (None, "u", "<p>a</p>")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
