@@ -13,7 +13,7 @@ from evigrade.functions import scales as sc
 from evigrade.functions import thresholds as th
 from evigrade.jobs.scales import _class
 from evigrade.operators import ranges as op
-from evigrade.operators.bootstrap import draws, draws_sql
+from evigrade.operators.bootstrap import draws, draws_sql, with_unseen
 from evigrade.operators.evidence import sorted_percentile
 from evigrade.sources.staging import cut, once, table
 
@@ -128,33 +128,26 @@ def range_cleanup(spark: SparkSession, sf: str) -> DataFrame:
     return op.cleaned(ranges.join(missing, "dataset").join(about, "dataset"), "dataset")
 
 
-def _at_scores(spark: SparkSession, sf: str, oob: bool) -> DataFrame:
-    """dataset, id, score, prior, l5, l95 and n: percentiles of the seeds' curves at each variant's score, of those that never drew it if oob.
+def _places(spark: SparkSession, sf: str) -> DataFrame:
+    """The pieces of the seeds' curves at each place."""
+    return once(spark, "curve-places", sf, lambda: op.at_places(_curves(spark, sf), "dataset"))
 
-    A row meets the pieces of the curves at its own place only. Without oob that happens once for each distinct score.
-    """
-    rows, counts = _rows(spark, sf), _counts(spark, sf)
-    pieces = once(spark, "curve-places", sf, lambda: op.at_places(_curves(spark, sf), "dataset"))
-    priors = once(spark, "curve-priors", sf, lambda: op.seed_priors(counts, "dataset").groupBy("dataset").agg(F.sort_array(F.collect_list(F.struct("seed", "prior"))).alias("seeds")).join(_prior(counts), "dataset"))
-    at = rows.select("dataset", "id", "score") if oob else rows.select("dataset", "score").distinct()
-    at = at.withColumn("grid", F.floor("score").cast("int")).join(pieces, ["dataset", "grid"], "left").join(F.broadcast(priors), "dataset")
+
+def _at_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """dataset, id, score, prior, l5 and l95: percentiles of the seeds' curves at each variant's score, taken once for each distinct score."""
+    rows = _rows(spark, sf).select("dataset", "id", "score")
+    at = rows.select("dataset", "score").distinct().withColumn("grid", F.floor("score").cast("int")).join(_places(spark, sf), ["dataset", "grid"], "left")
     seen = F.coalesce("pieces", F.array().cast("array<struct<seed:bigint,l:double,next:double>>"))
-    told = F.col("seeds")
-    if oob:
-        at = at.withColumn("draws", F.array(*draws(F.col("id"), SEEDS)))
-        unseen = lambda x: F.get("draws", x["seed"].cast("int")) == 0
-        seen, told = F.filter(seen, unseen), F.filter(told, unseen)
     ls = F.sort_array(F.filter(F.transform(seen, lambda x: op.interpolated(x, F.col("score"))), lambda v: v.isNotNull()))
-    own = F.sort_array(F.filter(F.transform(told, lambda x: x["prior"]), lambda v: v.isNotNull()))
-    found = at.withColumns({"ls": ls, "own": own})
-    found = found.select("dataset", *(["id"] if oob else []), "score", "prior", F.size("ls").cast("long").alias("n"), F.round(sorted_percentile(F.col("own"), 0.5), 9).alias("own_prior"), *[F.when(F.size("ls") > 0, F.round(sorted_percentile(F.col("ls"), q), 6)).alias(n) for n, q in (("l5", 0.05), ("l95", 0.95))])
-    return found if oob else rows.select("dataset", "id", "score").join(found, ["dataset", "score"])
+    found = at.join(F.broadcast(_prior(_counts(spark, sf))), "dataset").withColumn("ls", ls)
+    found = found.select("dataset", "score", "prior", *[F.when(F.size("ls") > 0, F.round(sorted_percentile(F.col("ls"), q), 6)).alias(n) for n, q in (("l5", 0.05), ("l95", 0.95))])
+    return rows.join(found, ["dataset", "score"])
 
 
 def evidence_table(spark: SparkSession, sf: str) -> DataFrame:
     """Each variant's points by the ranges of its dataset, percentiles of its ratio and posterior, class and fractional points."""
     ranges = cut(score_ranges(spark, sf), "evidence-ranges").groupBy("dataset").agg(F.sort_array(F.collect_list(F.struct("points", "lo", "hi"))).alias("ranges"))
-    rows = _at_scores(spark, sf, oob=False).join(ranges, "dataset", "left")
+    rows = _at_scores(spark, sf).join(ranges, "dataset", "left")
     # The first range that holds the score, weakest against first.
     points = F.coalesce(F.get(F.filter("ranges", lambda r: F.col("score").between(r["lo"], r["hi"])), F.lit(0))["points"], F.lit(0))
     post = lambda c: F.round(th.posterior_from_lr(F.exp(c), F.col("prior")), 6)
@@ -167,10 +160,14 @@ def evidence_table(spark: SparkSession, sf: str) -> DataFrame:
 
 def evidence_oob(spark: SparkSession, sf: str) -> DataFrame:
     """Each variant's evidence from the bootstraps that never drew it: percentiles, prior and points."""
-    rows = _at_scores(spark, sf, oob=True)
-    step = op.step_of(F.col("own_prior"))
-    up, down = op.points_up(F.col("l5"), step), op.points_down(F.col("l95"), step)
-    return rows.select("id", "n", "l5", "l95", F.round("own_prior", 6).alias("prior"), F.when(F.col("n") > 0, F.when(up > 0, up).otherwise(down)).alias("points"))
+    priors = once(spark, "packed-priors", sf, lambda: op.packed_priors(op.seed_priors(_counts(spark, sf), "dataset"), "dataset"))
+    rows = op.of_unseen(_rows(spark, sf), _places(spark, sf), priors, "dataset", "id", "score", SEEDS)
+    found = {"l5": (6, sorted_percentile(F.col("ls"), 0.05, F.col("n"))), "l95": (6, sorted_percentile(F.col("ls"), 0.95, F.col("n"))), "own_prior": (9, sorted_percentile(F.col("own"), 0.5))}
+    rows = rows.select("id", F.col("n").cast("long").alias("n"), *[c.alias(name) for name, (_, c) in found.items()])
+    rows = rows.select("id", "n", *[F.round(name, digits).alias(name) for name, (digits, _) in found.items()])
+    rows = rows.withColumn("step", op.step_of(F.col("own_prior")))
+    rows = rows.withColumns({"up": op.points_up(F.col("l5"), F.col("step")), "down": op.points_down(F.col("l95"), F.col("step"))})
+    return rows.select("id", "n", "l5", "l95", F.round("own_prior", 6).alias("prior"), F.when(F.col("n") > 0, F.when(F.col("up") > 0, F.col("up")).otherwise(F.col("down"))).alias("points"))
 
 
 def evidence_oob_full(spark: SparkSession, sf: str) -> DataFrame:
@@ -178,7 +175,7 @@ def evidence_oob_full(spark: SparkSession, sf: str) -> DataFrame:
 
     Curves, ranges and clean-up run once for each set of bootstraps and dataset, not once a variant.
     """
-    rows = _rows(spark, sf).select("dataset", "id", "score", op.unseen_set(draws(F.col("id"), SET_SEEDS)).alias("unseen"))
+    rows = with_unseen(_rows(spark, sf).select("dataset", "id", "score"), "id", SET_SEEDS)
     sets = rows.select("dataset", "unseen").distinct()
     priors = op.seed_priors(_counts(spark, sf), "dataset").where("prior IS NOT NULL")
     curves = op.set_curves(sets, _curves(spark, sf).where(F.col("l").isNotNull()), priors, "dataset", SET_SEEDS)

@@ -16,17 +16,20 @@ BITS = 16
 STEPS = [round(2**BITS * sum(math.exp(-1) / math.factorial(j) for j in range(k + 1))) for k in range(8)]
 
 
+def _below(digest: Column, place: Column, step: int) -> Column:
+    """Whether the two bytes at a place of a digest, 0 to 7, are less than a step; bytes compare as the number that they are."""
+    return F.substring(digest, (1 + 2 * place).cast("int"), F.lit(2)) < F.lit(step.to_bytes(2, "big"))
+
+
 def _times(digest: Column, place: Column) -> Column:
-    """The draw that four hex digits of a digest give, place being 0 to 7."""
-    x = F.conv(F.substring(digest, (1 + 4 * place).cast("int"), F.lit(4)), 16, 10).cast("int")
     found = F.lit(len(STEPS))
     for k in reversed(range(len(STEPS))):
-        found = F.when(x < STEPS[k], k).otherwise(found)
+        found = F.when(_below(digest, place, STEPS[k]), k).otherwise(found)
     return found
 
 
 def _digest(row_id: Column, block: Column) -> Column:
-    return F.md5(F.concat(row_id.cast("string"), F.lit(":"), block.cast("string")))
+    return F.unhex(F.md5(F.concat(row_id.cast("string"), F.lit(":"), block.cast("string"))))
 
 
 def times_drawn(row_id: Column, seed: Column) -> Column:
@@ -49,6 +52,13 @@ def seeds_of_blocks(sums: DataFrame, keep: list[str], fields: dict[str, list[Col
     return sums.select(*keep, each).select(*keep, "_of_seed.*").where(F.col("seed") < seeds)
 
 
+def with_unseen(rows: DataFrame, row_id: str, seeds: int) -> DataFrame:
+    """rows with unseen, a bit mask of the seeds, at most 63, that never drew them. A digest is taken once for its eight seeds."""
+    digests = rows.withColumns({f"_digest{b}": _digest(F.col(row_id), F.lit(b)) for b in range((seeds + 7) // 8)})
+    bits = [F.when(F.col(row_id).isNull() | _below(F.col(f"_digest{s // 8}"), F.lit(s % 8), STEPS[0]), F.lit(1 << s).cast("long")).otherwise(F.lit(0).cast("long")) for s in range(seeds)]
+    return digests.select(*rows.columns, sum(bits[1:], bits[0]).alias("unseen"))
+
+
 def draws(row_id: Column, seeds: int) -> list[Column]:
     """times_drawn of each of the seeds."""
     return [times_drawn(row_id, F.lit(s)) for s in range(seeds)]

@@ -76,10 +76,11 @@ def isotonic_curves(curves: DataFrame, key: str, at: str, y: str, weight: str) -
     return curves.groupBy(key).applyInPandas(fitted, f"`{key}` {types[key]}, `{at}` {types[at]}, fit double")
 
 
-def sorted_percentile(values: Column, q: float) -> Column:
-    """Percentile of a sorted array, linear between its places."""
-    at = (F.size(values) - 1) * F.lit(q)
-    low, high = F.get(values, F.floor(at).cast("int")), F.get(values, F.ceil(at).cast("int"))
+def sorted_percentile(values: Column, q: float, last: Column | None = None) -> Column:
+    """Percentile of a sorted array, or of as many of its last places as ``last`` says, linear between the places."""
+    n = F.size(values) if last is None else last
+    at, first = (n - 1) * F.lit(q), F.size(values) - n
+    low, high = F.get(values, first + F.floor(at).cast("int")), F.get(values, first + F.ceil(at).cast("int"))
     return low + (high - low) * (at - F.floor(at))
 
 

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evigrade.operators.bootstrap import seeds_of_blocks, with_block_draws
+from evigrade.operators.bootstrap import seeds_of_blocks, with_block_draws, with_unseen
 
 TIERS = 8
 #: A range: where it begins and ends.
@@ -24,8 +24,10 @@ RANGE_TYPE = "map<int,array<struct<lo:double,hi:double>>>"
 def curve_counts(rows: DataFrame, dataset: str, at: str, row_id: str, first: str, second: str, seeds: int) -> DataFrame:
     """dataset, grid, seed, p, b, n: rows of the first class, of the second, and all that each seed drew at each place."""
     drawn = with_block_draws(rows.select(dataset, F.col(at).cast("int").alias("grid"), row_id, first, second), row_id, seeds)
+    # Rows are summed by their flags first, so that they meet eight sums and not three times as many.
+    flagged = drawn.groupBy(dataset, "grid", "block", first, second).agg(*[F.sum(f"d{i}").alias(f"d{i}") for i in range(8)])
     of = lambda flag, i: F.sum(F.when(F.col(flag), F.col(f"d{i}")).otherwise(0) if flag else F.col(f"d{i}"))
-    sums = drawn.groupBy(dataset, "grid", "block").agg(*[of(f, i).alias(f"{n}{i}") for n, f in (("p", first), ("b", second), ("n", None)) for i in range(8)])
+    sums = flagged.groupBy(dataset, "grid", "block").agg(*[of(f, i).alias(f"{n}{i}") for n, f in (("p", first), ("b", second), ("n", None)) for i in range(8)])
     return seeds_of_blocks(sums, [dataset, "grid"], {n: [F.col(f"{n}{i}") for i in range(8)] for n in "pbn"}, seeds)
 
 
@@ -87,12 +89,6 @@ def outer_ranges(ranges: DataFrame, keys: list[str], flipped: str) -> DataFrame:
     return kept.join(covered, [*keys, "points"], "left_anti")
 
 
-def unseen_set(times: list[Column]) -> Column:
-    """The seeds that never drew a row, as a bit mask."""
-    bits = [F.when(t == 0, 1 << i).otherwise(0).cast("long") for i, t in enumerate(times)]
-    return sum(bits[1:], bits[0])
-
-
 def set_curves(sets: DataFrame, curves: DataFrame, priors: DataFrame, dataset: str, seeds: int) -> DataFrame:
     """dataset, unseen, grid, p5, p95 and prior: percentiles of the curves of each set of seeds, and the median of their priors.
 
@@ -106,6 +102,40 @@ def set_curves(sets: DataFrame, curves: DataFrame, priors: DataFrame, dataset: s
     return found.join(prior, [dataset, "unseen"]).select(dataset, "unseen", "grid", "prior", *[F.round(F.col("q")[i], 6).alias(n) for i, n in enumerate(("p5", "p95"))])
 
 
+def _mask(values: Column, seeds: int) -> Column:
+    """The places of an array that have a value, as a bit mask."""
+    bits = [F.when(F.get(values, F.lit(s)).isNotNull(), F.lit(1 << s).cast("long")).otherwise(F.lit(0).cast("long")) for s in range(seeds)]
+    return sum(bits[1:], bits[0])
+
+
+def of_unseen(rows: DataFrame, pieces: DataFrame, priors: DataFrame, dataset: str, row_id: str, score: str, seeds: int) -> DataFrame:
+    """row_id, n, ls and own: of the seeds that never drew a row the n values at its score, sorted after a null for each other seed, and their sorted priors.
+
+    pieces is as at_places gives it, and a row meets those at its own place only; nothing but small tables moves. What is done for
+    each row is Java code, one expression a seed: a lambda over the pieces is interpreted, for each seed of each row. The one over
+    the priors costs little and makes that step code of its own, in methods of a size that Java compiles; whole-stage code
+    would be one of over 8,000 bytes, which Java interprets.
+    """
+    of = F.transform(F.sequence(F.lit(0), F.lit(seeds - 1)), lambda s: F.get(F.filter("pieces", lambda x: x["seed"] == s), F.lit(0)))
+    places = pieces.select(dataset, "grid", of["l"].alias("l"), of["next"].alias("next")).withColumn("there", _mask(F.col("l"), seeds))
+    places = places.withColumn("between", F.col("there").bitwiseAND(_mask(F.col("next"), seeds)))
+    at = with_unseen(rows.select(dataset, row_id, score), row_id, seeds).withColumn("grid", F.floor(score).cast("int"))
+    at = at.join(places, [dataset, "grid"], "left").join(F.broadcast(priors), dataset).withColumn("f", F.col(score) - F.col("grid"))
+    held = F.col("unseen").bitwiseAND(F.when(F.col("f") == 0, F.col("there")).otherwise(F.col("between")))
+    at = at.withColumn("held", F.coalesce(held, F.lit(0).cast("long")))
+    l, after = ([F.get(c, F.lit(s)) for s in range(seeds)] for c in ("l", "next"))
+    value = [F.when(F.col("f") == 0, l[s]).otherwise(l[s] + (after[s] - l[s]) * F.col("f")) for s in range(seeds)]
+    ls = F.sort_array(F.array(*[F.when(F.col("held").bitwiseAND(F.lit(1 << s).cast("long")) != 0, v) for s, v in enumerate(value)]))
+    own = F.filter("priors", lambda x: x["bit"].bitwiseAND(F.col("unseen")) != 0)["prior"]
+    return at.select(row_id, F.bit_count("held").alias("n"), ls.alias("ls"), own.alias("own"))
+
+
+def packed_priors(priors: DataFrame, dataset: str) -> DataFrame:
+    """dataset and priors: an array of (prior, bit of its seed), sorted, without nulls."""
+    each = F.when(F.col("prior").isNotNull(), F.struct("prior", F.expr("shiftleft(1L, CAST(seed AS INT))").alias("bit")))
+    return priors.groupBy(dataset).agg(F.sort_array(F.collect_list(each)).alias("priors"))
+
+
 def interpolated(piece: Column, score: Column) -> Column:
     """Value at score of a piece that begins at the whole place below it; null where a neighbour that counts is null."""
     f = score - F.floor(score)

@@ -6,8 +6,10 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
+from evigrade.jobs import ranges as jobs
 from evigrade.operators import alignment, bootstrap
 from evigrade.operators import ranges as op
+from evigrade.operators.evidence import sorted_percentile
 
 INF = math.inf
 
@@ -101,3 +103,49 @@ def test_outer_ranges_are_liberal(spark):
     for r in op.outer_ranges(spark.createDataFrame(rows, "k int, points int, lo double, hi double, f boolean"), ["k"], "f").collect():
         got[r.k].add((r.points, r.lo, r.hi))
     assert got == want
+
+
+def test_percentiles_of_the_last_places(spark):
+    df = spark.createDataFrame([([None, None, 1.0, 3.0, 5.0], 3), ([None, 2.0], 1), ([None, None], 0)], "v array<double>, n int")
+    got = df.select(*[sorted_percentile(F.col("v"), q, F.col("n")) for q in (0.05, 0.5, 0.95)]).collect()
+    assert np.allclose(got[0], [1.2, 3.0, 4.8]) and list(got[1]) == [2.0] * 3 and list(got[2]) == [None] * 3
+
+
+def test_values_of_unseen_seeds(spark):
+    """Against one row after the other: seeds that are missing, null values at a place or the next, null scores, ids and priors, places without a curve."""
+    rng, seeds = random.Random(8), 11
+    curve = {(s, g): None if rng.random() < 0.2 else round(rng.uniform(-5, 5), 9) for s in range(seeds) if s != 4 for g in range(1, 6)}
+    prior = {s: None if s == 2 else rng.random() for s in range(seeds) if s != 4}
+    rows = [(i, "d", rng.choice([float(rng.randint(1, 6)), rng.uniform(0.5, 6.5)])) for i in range(300)] + [(900, "d", None), (None, "d", 2.5), (901, None, 2.5), (902, "other", 2.5)]
+    df = spark.createDataFrame(rows, "id long, d string, score double")
+    places = op.at_places(spark.createDataFrame([("d", s, g, v) for (s, g), v in curve.items()], "d string, seed long, grid int, l double"), "d")
+    priors = op.packed_priors(spark.createDataFrame([("d", s, p) for s, p in prior.items()], "d string, seed long, prior double"), "d")
+    times = {r.id: r.t for r in df.select("id", F.array(*bootstrap.draws(F.col("id"), seeds)).alias("t")).collect()}
+    assert {r.id: r.unseen for r in bootstrap.with_unseen(df, "id", seeds).collect()} == {i: sum(1 << s for s, n in enumerate(t) if n == 0) for i, t in times.items()}
+    got = {r.id: r for r in op.of_unseen(df, places, priors, "d", "id", "score", seeds).collect()}
+    assert set(got) == {i for i, d, _ in rows if d == "d"}
+    for i, d, x in rows:
+        if d != "d":
+            continue
+        unseen = [s for s in range(seeds) if times[i][s] == 0]
+        ls = []
+        for s in unseen if x is not None else []:
+            at, f = curve.get((s, math.floor(x))), x - math.floor(x)
+            after = curve.get((s, math.floor(x) + 1))
+            if at is not None and (f == 0 or after is not None):
+                ls.append(at if f == 0 else at + (after - at) * f)
+        assert got[i].n == len(ls) and got[i].ls == [None] * (seeds - len(ls)) + sorted(ls)
+        assert got[i].own == sorted(prior[s] for s in unseen if prior.get(s) is not None)
+
+
+def test_out_of_bag_rows_run_as_compiled_code(spark):
+    """Java interprets a method of 8,000 bytes or more for every row, which made evidence_oob take ten times as long."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        sf = "/root/testdata/sf0.001"
+        plans = [jobs.evidence_oob(spark, sf), op.curve_counts(jobs._rows(spark, sf), "dataset", "at", "id", "p", "b", jobs.SEEDS)]
+        for df in plans:
+            code = df._jdf.queryExecution().debug().codegenToSeq()
+            assert code.size() > 1 and max(code.apply(i)._3().maxMethodCodeSize() for i in range(code.size())) < 8000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
